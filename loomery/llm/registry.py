@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import decontamination, warc
+from loomery.llm import decontamination, line_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op6_line_dedup": line_dedup.OP6_SQL}
