@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import decontamination, line_dedup, warc
+from loomery.llm import bpe, decontamination, line_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1_warc,
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op9_byte_level_bpe": bpe.op9_byte_level_bpe,
     }
 
 
