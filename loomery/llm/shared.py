@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +31,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomery/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder as Parquet and read back: no lineage, safe against lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,3 +72,41 @@ def range_bounds(keys: DataFrame, key: str, shards: int, per_shard: int = 32) ->
         return []
     cuts = {found[(i * len(found)) // shards] for i in range(1, shards)}
     return sorted(cuts)
+
+
+def commit_files(pending: DataFrame, out: str, name: str) -> DataFrame:
+    """Moves the files that a pending manifest names from temp to file below out, and saves the final manifest.
+
+    A move that an executor finished before it was lost is found done; files of attempts that
+    no manifest names are deleted at the end.
+    """
+
+    def move(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = filesystem(out)
+        for frame in frames:
+            for file, temp in zip(frame["file"], frame["temp"], strict=True):
+                if fs.get_file_info(f"{root}/{temp}").type.name == "File":
+                    fs.move(f"{root}/{temp}", f"{root}/{file}")
+                elif fs.get_file_info(f"{root}/{file}").type.name != "File":
+                    raise FileNotFoundError(f"{root}/{temp}")
+            yield frame
+
+    committed = saved(pending.mapInPandas(move, pending.schema), name)
+    fs, root = filesystem(out)
+    if fs.get_file_info(f"{root}/_temporary").type.name == "Directory":
+        fs.delete_dir(f"{root}/_temporary")
+    return committed
+
+
+def shard_udf(bounds: list[int]):
+    """The shard of an integer key between ascending cut points; null keys are in the last one."""
+    cuts = np.array(bounds, dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def shard(key: pd.Series) -> pd.Series:
+        out = np.full(len(key), len(cuts), dtype=np.int32)
+        there = key.notna().to_numpy()
+        out[there] = np.searchsorted(cuts, key[there].astype("int64").to_numpy(), side="right")
+        return pd.Series(out)
+
+    return shard

@@ -16,8 +16,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,22 +31,6 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "file string, temp string, shard int, seq int, records long, bytes long, sha256 string"
 
 
-def _shard_udf(bounds: list[int]):
-    cuts = np.array(bounds, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def shard(key: pd.Series) -> pd.Series:
-        values = key.to_numpy(dtype="float64", na_value=np.nan) if key.hasnans else None
-        if values is None:
-            return pd.Series(np.searchsorted(cuts, key.to_numpy(dtype=np.int64), side="right").astype(np.int32))
-        out = np.full(len(key), len(cuts), dtype=np.int32)  # null keys go last
-        there = key.notna().to_numpy()
-        out[there] = np.searchsorted(cuts, key[there].astype(np.int64).to_numpy(), side="right")
-        return pd.Series(out)
-
-    return shard
-
-
 def write_warc(pages: DataFrame, out: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", roll_bytes: int = ROLL_BYTES, shards: int | None = None, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = _DATE) -> DataFrame:
     """Writes one record for each row and returns the manifest.
 
@@ -67,16 +49,12 @@ def write_warc(pages: DataFrame, out: str, *, page_id: str = "page_id", url: str
     roles = keys.join(firsts, "digest")
     bounds = shared.range_bounds(rows.select("page_id"), "page_id", n)
     stream = rows.select("page_id", "digest", "url", "html", F.lit(None).cast("long").alias("first_id")).unionByName(roles.select("page_id", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first_id"))
-    shard = _shard_udf(bounds)
+    shard = shared.shard_udf(bounds)
     dealt = stream.withColumn("shard", shard("page_id")).repartitionById(len(bounds) + 1, "shard")
     # a role precedes the pages it is about
     ordered = dealt.sortWithinPartitions(F.asc_nulls_last("page_id"), "digest", F.desc_nulls_last("first_id"), F.asc_nulls_first("url"))
     pending = shared.saved(ordered.mapInArrow(_Writer(out, roll_bytes, date), _MANIFEST), "warc-pending")
-    committed = shared.saved(pending.mapInPandas(_commit(out), _MANIFEST), "warc-manifest")
-    fs, path = shared.filesystem(out)
-    if fs.get_file_info(f"{path}/_temporary").type.name == "Directory":
-        fs.delete_dir(f"{path}/_temporary")  # files of attempts that no manifest names
-    return committed
+    return shared.commit_files(pending, out, "warc-manifest")
 
 
 def _safe(value: str) -> str:
@@ -159,20 +137,6 @@ class _Writer:
         yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=names)
 
 
-def _commit(out: str):
-    def rename(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = shared.filesystem(out)
-        for frame in frames:
-            for file, temp in zip(frame["file"], frame["temp"], strict=True):
-                if fs.get_file_info(f"{root}/{temp}").type.name == "File":
-                    fs.move(f"{root}/{temp}", f"{root}/{file}")
-                elif fs.get_file_info(f"{root}/{file}").type.name != "File":
-                    raise FileNotFoundError(f"{root}/{temp}")
-            yield frame
-
-    return rename
-
-
 def read_warc(manifest: DataFrame, out: str) -> DataFrame:
     """The records of the files that a manifest lists, each file streamed by one task and checked.
 
