@@ -62,8 +62,13 @@ def binned(sets: list[np.ndarray], layout: Layout) -> np.ndarray:
 
 
 def packed(minima: np.ndarray, layout: Layout) -> np.ndarray:
-    """(sets, size) bytes: the low bits of every minimum, low bins first."""
-    low = (mix(minima) & np.uint64((1 << layout.bits) - 1)).astype(np.uint8)
+    """(sets, size) bytes: the low bits of every minimum, low bins first.
+
+    Minima are hashed with their bin, so a value that fills many bins of a short text shows
+    other bits in each and does not agree with another value in all of them by one chance.
+    """
+    salt = np.arange(layout.bins, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    low = (mix(minima ^ salt) & np.uint64((1 << layout.bits) - 1)).astype(np.uint8)
     bits = (low[:, :, None] >> np.arange(layout.bits, dtype=np.uint8)) & 1
     return np.packbits(bits.reshape(len(minima), -1), axis=1, bitorder="little")
 
