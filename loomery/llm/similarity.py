@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,9 @@ from loomery.llm.arrays import SpanHasher, mix, row_slices, shingles, text_buffe
 from loomery.llm.components import components
 
 STAR_ROUNDS = 2
-#: Buckets up to this size are joined with themselves; larger ones are compared block by block.
+#: Buckets up to this size are joined with themselves; the members of larger ones are compared block by block.
 SMALL_BUCKET = 32
-BLOCK = 256
+BLOCK = 512
 _CHUNK = 1 << 15
 
 
@@ -41,9 +42,9 @@ class Plan:
     percent: int = 80
     rows: int = 4
     miss: float = 1e-4
-    prune_miss: float = 1e-5
+    prune_miss: float = 1e-4
     batch: int = 32
-    batches: int = 4
+    batches: int = 5
 
     @property
     def bands(self) -> int:
@@ -54,6 +55,7 @@ class Plan:
         return max(self.bands * self.rows, self.batch * self.batches)
 
 
+@cache
 def min_matches(n: int, plan: Plan) -> int:
     """Fewest equal bytes among n at which a pair stays: with a uniform prior, the posterior chance of
     a similarity of at least percent is then prune_miss or more. Unequal values agree in a byte once in 256."""
@@ -159,6 +161,32 @@ def _sign(reps: DataFrame, plan: Plan) -> DataFrame:
     return shared.saved(reps.mapInArrow(run, "cid long, buckets array<bigint>, sketch binary"), "signatures")
 
 
+def compare_blocks(frame: pd.DataFrame, plan: Plan) -> pd.DataFrame:
+    """Links between the components of one or two blocks (part i and part j); each link joins two that were apart."""
+    marks = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint8).reshape(len(frame), -1)
+    keys, parts = frame["key"].to_numpy(), frame["part"].to_numpy()
+    roots = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+    hasher, sets, found = SpanHasher(), {}, []
+
+    def own(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = next(text_sets(pa.array([frame["unit_text"].iloc[x]], pa.large_string()), plan.words, hasher))[1][0]
+        return sets[x]
+
+    left, right = np.flatnonzero(parts == frame["i"].iloc[0]), np.flatnonzero(parts == frame["j"].iloc[0])
+    for x in left:
+        there = right[(roots[right] != roots[x]) & ((parts[right] != parts[x]) | (right > x))]
+        if len(there):
+            there = there[sequential_keep(np.broadcast_to(marks[x], (len(there), marks.shape[1])), marks[there], plan)]
+        for y in there:
+            if roots[y] != roots[x]:
+                common = len(np.intersect1d(own(x), own(y), assume_unique=True))
+                if 100 * common >= plan.percent * (len(own(x)) + len(own(y)) - common):
+                    found.append((keys[x], keys[y]))
+                    roots[roots == roots[y]] = roots[x]
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
 class NearComponents:
     """Finds the components of similar classes among saved units."""
 
@@ -184,9 +212,9 @@ class NearComponents:
             one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
             tried = shared.saved(tried.unionByName(self.verify(one)), "tried")
         open_rows = self.unsettled(buckets, tried)
-        rest = self.cross_pairs(open_rows).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        links = tried.where("linked").select("a", "b").unionByName(self.verify(rest).where("linked").select("a", "b"))
-        return components(links)
+        rest = self.small_pairs(open_rows).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        more = self.verify(rest).where("linked").select("a", "b").unionByName(self.large_links(open_rows))
+        return components(tried.where("linked").select("a", "b").unionByName(more))
 
     def unsettled(self, buckets: DataFrame, tried: DataFrame) -> DataFrame:
         """Rows of the buckets whose members are in several components so far."""
@@ -195,37 +223,33 @@ class NearComponents:
         mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
         return shared.saved(rows.join(mixed.select("bucket", "size"), "bucket"), "unsettled")
 
-    def cross_pairs(self, rows: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) of keys that share a bucket and are in different components.
-
-        Large buckets are cut into blocks; a task sees two blocks and lets only pairs through
-        that the signatures do not rule out, so no task or table holds all pairs of a bucket.
-        """
+    def small_pairs(self, rows: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of keys that share a small bucket and are in different components."""
         small = rows.where(F.col("size") <= SMALL_BUCKET).select("bucket", "key", "component")
         other = small.select("bucket", F.col("key").alias("other"), F.col("component").alias("other_component"))
-        near = small.join(other, "bucket").where("key < other and component <> other_component").select(F.col("key").alias("a"), F.col("other").alias("b"))
-        large = rows.where(F.col("size") > SMALL_BUCKET).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-        large = large.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-        large = large.select("bucket", "key", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-        large = large.select("bucket", "key", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-        large = large.join(self.sketches.withColumnRenamed("cid", "key"), "key")
-        plan = self.plan
+        return small.join(other, "bucket").where("key < other and component <> other_component").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
+
+    def large_links(self, rows: DataFrame) -> DataFrame:
+        """Links (a, b) between different components among members of large buckets.
 
-        def compare(frame: pd.DataFrame) -> pd.DataFrame:
-            marks = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint8).reshape(len(frame), -1)
-            keys, comps, parts = frame["key"].to_numpy(), frame["component"].to_numpy(), frame["part"].to_numpy()
-            left = np.flatnonzero(parts == frame["i"].iloc[0])
-            right = np.flatnonzero(parts == frame["j"].iloc[0])
-            found = []
-            for x in left:
-                there = right[(comps[right] != comps[x]) & ((keys[right] > keys[x]) | (parts[right] != parts[x]))]
-                there = there[sequential_keep(np.broadcast_to(marks[x], (len(there), marks.shape[1])), marks[there], plan)] if len(there) else there
-                found.append(np.stack((np.minimum(keys[x], keys[there]), np.maximum(keys[x], keys[there])), axis=1))
-            pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-            return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-        far = large.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
-        return near.unionByName(far).distinct()
+        Buckets that share members are compared together, once. The members are dealt into
+        blocks, a task sees two blocks, rules pairs out by their signatures, compares the rest
+        on full sets, and skips pairs that its links so far connect. So what leaves a task are
+        links that join components, fewer than it has members; no pairs are shuffled.
+        """
+        large = rows.where(F.col("size") > SMALL_BUCKET)
+        leads = large.groupBy("bucket").agg(F.min("key").alias("a"))
+        groups = components(large.join(leads, "bucket").select("a", F.col("key").alias("b")))
+        nodes = large.select("key", "component").distinct().join(groups.withColumnRenamed("component", "group"), "key")
+        parts = nodes.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        dealt = shared.saved(nodes.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")), "blocks")
+        full = dealt.join(self.sketches.withColumnRenamed("cid", "key"), "key").join(self.units.select(F.col("uid").alias("key"), "unit_text"), "key")
+        spread = full.select("group", "key", "component", "part", "sketch", "unit_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+        tasks = spread.select("group", "key", "component", "part", "sketch", "unit_text", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+        plan = self.plan
+        # tasks of few bytes and much work: their number is fixed, so that they are not put together
+        tasks = tasks.repartition(4 * shared.shuffle_width(rows.sparkSession), "group", "i", "j")
+        return tasks.groupBy("group", "i", "j").applyInPandas(lambda frame: compare_blocks(frame, plan), "a long, b long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) for pairs (a, b): pruned by their signatures, then compared on full sets."""
