@@ -43,22 +43,31 @@ def _tokenizer(path: str) -> tuple[WordCache, int]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    encode = lambda words: [x.ids for x in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-    return WordCache(encode), tokenizer.get_vocab_size()
+    # the library's model reads a pre-token as one printable character a byte: printable Latin-1
+    # stands for itself, the other bytes follow in order from U+0100 on
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = sorted(set(range(256)) - set(plain))
+    shown = {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(others)}
+    tokenize = tokenizer.model.tokenize
+    return WordCache(lambda words: [[t.id for t in tokenize(w.decode("latin-1").translate(shown))] for w in words]), tokenizer.get_vocab_size()
+
+
+def id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def tokenize(docs: DataFrame, doc_id: str, text: str, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, tie, n, ids): ids as little-endian unsigned 32-bit integers with end_id appended, saved."""
+    """(doc_id, tie, n, ids): ids as little-endian unsigned integers (16 bits if they fit) with end_id appended, saved."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache_, _ = _tokenizer(vocabulary)
+        cache_, size = _tokenizer(vocabulary)
+        kind = id_type(max(size, end_id + 1))
         for batch in batches:
             offsets, raw = text_buffers(batch.column(2))
             for lo, ids in cache_.encode_column(offsets, raw, row_slices):
                 part = batch.slice(lo, len(ids))
-                ended = [np.append(x, np.uint32(end_id)).astype("<u4") for x in ids]
+                ended = [np.append(x, np.uint32(end_id)).astype(kind) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ended], pa.int64()), pa.array([x.tobytes() for x in ended], pa.large_binary()).cast(pa.binary())], names=["doc_id", "tie", "n", "ids"])
 
     return shared.saved(rows.mapInArrow(run, "doc_id long, tie long, n long, ids binary"), "token-ids", compression="zstd")
@@ -67,11 +76,13 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, vocabulary: str, end_id: i
 def rank_table(coded: DataFrame, vocabulary_size: int) -> np.ndarray:
     """Ids in order of falling frequency over all documents, ties by id; as many as the vocabulary has."""
 
+    kind = id_type(vocabulary_size)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size, dtype=np.int64)
         for batch in batches:
             for value in batch.column(0):
-                np.add.at(total, np.frombuffer(value.as_buffer(), dtype="<u4"), 1)
+                np.add.at(total, np.frombuffer(value.as_buffer(), dtype=kind), 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
 
@@ -120,13 +131,14 @@ def write_tokens(docs: DataFrame, out: str, *, doc_id: str = "doc_id", text: str
         sink.write(by_rank.tobytes())
     ranks = np.empty(size, dtype=np.uint32)
     ranks[by_rank] = np.arange(size, dtype=np.uint32)
+    kind = id_type(size)
     sent = spark.sparkContext.broadcast(ranks)  # as long as the vocabulary
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                pairs = [pack(sent.value[np.frombuffer(x.as_buffer(), dtype="<u4")]) for x in part.column(3)]
+                pairs = [pack(sent.value[np.frombuffer(x.as_buffer(), dtype=kind)]) for x in part.column(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["doc_id", "tie", "n", "control", "data"])
 
     packed = coded.mapInArrow(code, "doc_id long, tie long, n long, control binary, data binary")

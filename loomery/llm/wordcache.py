@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -19,7 +20,7 @@ class WordCache:
     anew, so memory is bounded whatever the vocabulary of the input.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], max_words: int = 1 << 19) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], max_words: int = 1 << 20) -> None:
         self.encode, self.max_words = encode, max_words
         self.bits = (4 * max_words - 1).bit_length()
         self.hasher = SpanHasher(seed=11)
@@ -47,17 +48,25 @@ class WordCache:
         return out
 
     def _add(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        mask = (1 << self.bits) - 1
-        for h, ids in zip(hashes.tolist(), self.encode(words), strict=True):
-            at = h >> (64 - self.bits)
-            while self.spots[at] >= 0:
-                at = (at + 1) & mask
-            if self.filled + len(ids) > len(self.arena):
-                self.arena = np.concatenate((self.arena, np.zeros(max(len(self.arena), len(ids)), dtype=np.uint32)))
-            self.arena[self.filled : self.filled + len(ids)] = ids
-            self.keys[at], self.spots[at] = h, self.used
-            self.starts[self.used], self.lens[self.used] = self.filled, len(ids)
-            self.used, self.filled = self.used + 1, self.filled + len(ids)
+        made = self.encode(words)
+        lens = np.fromiter(map(len, made), dtype=np.int32, count=len(made))
+        flat = np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=int(lens.sum()))
+        if self.filled + len(flat) > len(self.arena):
+            self.arena = np.concatenate((self.arena, np.zeros(max(len(self.arena), len(flat)), dtype=np.uint32)))
+        self.arena[self.filled : self.filled + len(flat)] = flat
+        new = slice(self.used, self.used + len(made))
+        self.starts[new], self.lens[new] = self.filled + np.cumsum(lens) - lens, lens
+        entries, mask = np.arange(new.start, new.stop, dtype=np.int32), (1 << self.bits) - 1
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(at):
+            # of those that meet at a free place one gets it, the others go on to the next
+            _, one = np.unique(at, return_index=True)
+            one = one[self.spots[at[one]] < 0]
+            self.keys[at[one]], self.spots[at[one]] = hashes[one], entries[one]
+            left = np.ones(len(at), dtype=bool)
+            left[one] = False
+            at, hashes, entries = (at[left] + 1) & mask, hashes[left], entries[left]
+        self.used, self.filled = self.used + len(made), self.filled + len(flat)
 
     def entries(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Entry of every word of raw; words begin at starts and end where the next begins."""
