@@ -5,23 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from loomery.operators import library as pages
+from loomery.operators.search import Fields, compile_query
+from loomery.plans import library, search
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.lower("text")
-    return (
-        docs.filter(text.contains("the") & ~text.contains("and"))
-        .select("doc_id", "source", "n_chars")
-        .orderBy(F.desc("n_chars"), F.desc("doc_id"))
-        .limit(50)
-    )
+    found = compile_query("the -and", Fields(id="doc_id", prompt="text")).apply(docs, "doc_id")
+    return pages.page(found, "n_chars", "doc_id", limit=50).select("doc_id", "source", "n_chars")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**search.QUERIES, **library.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**search.SQL, **library.SQL}
