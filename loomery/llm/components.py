@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomery.llm import shared
 
 MAX_ROUNDS = 60
+#: Edges for one task of a round; a small state is not spread over many tasks and files.
+ROWS_A_TASK = 50_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,9 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     are plain equi-joins that adaptive execution splits. Null ends are ignored.
     """
     state = shared.saved(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    was = None
+    was, width = None, 1 + state.count() // ROWS_A_TASK
     for _ in range(MAX_ROUNDS):
-        state = shared.saved(_small_star(_large_star(state)).where("a <> b").distinct(), "edges")
+        step = _small_star(_large_star(state)).where("a <> b").distinct()
+        state = shared.saved(step.coalesce(width), "edges")
         seen = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == was or not seen.n:
             break
