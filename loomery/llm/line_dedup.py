@@ -129,7 +129,7 @@ class LineIndex:
         """Without the documents whose ids doc_ids holds in its first column."""
         gone = doc_ids.select(F.col(doc_ids.columns[0]).cast("long").alias("doc_id")).distinct()
         touched = self.postings.join(gone, "doc_id", "left_semi").select("h1", "h2").distinct()
-        postings = shared.saved(self.postings.join(gone, "doc_id", "left_anti"), "line-postings")
+        postings = shared.saved(self.postings.join(gone, "doc_id", "left_anti").select(*self.postings.columns), "line-postings")
         # counts of touched keys are taken anew from what is left, all others stand
         anew = _count(postings.join(touched, ["h1", "h2"], "left_semi"))
         refs = self.refs.join(touched, ["h1", "h2"], "left_anti").unionByName(anew)
