@@ -115,15 +115,15 @@ class LineIndex:
         """
         shards = shards or shared.shuffle_width(docs.sparkSession)
         postings = shared.saved(line_postings(docs, doc_id, text, min_chars), "line-postings")
-        refs = shared.saved(_count(postings), "line-refs")
-        filters = shared.saved(_build_filters(refs.where(F.col("refs") >= min_docs), shards), "line-filters")
+        refs = shared.saved_state(_count(postings), "line-refs")
+        filters = shared.saved_state(_build_filters(refs.where(F.col("refs") >= min_docs), shards), "line-filters")
         return cls(postings, refs, filters, shards, min_chars, min_docs)
 
     def insert(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
         new = shared.saved(line_postings(docs, doc_id, text, self.min_chars), "line-postings-new")
         postings = shared.saved(self.postings.unionByName(new), "line-postings")
         joined = self.refs.unionByName(_count(new)).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.max("last_doc").alias("last_doc"))
-        return self._next(postings, shared.saved(joined, "line-refs"))
+        return self._next(postings, shared.saved_state(joined, "line-refs"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents whose ids doc_ids holds in its first column."""
@@ -133,7 +133,7 @@ class LineIndex:
         # counts of touched keys are taken anew from what is left, all others stand
         anew = _count(postings.join(touched, ["h1", "h2"], "left_semi"))
         refs = self.refs.join(touched, ["h1", "h2"], "left_anti").unionByName(anew)
-        return self._next(postings, shared.saved(refs, "line-refs"))
+        return self._next(postings, shared.saved_state(refs, "line-refs"))
 
     def _next(self, postings: DataFrame, refs: DataFrame) -> LineIndex:
         """The filters after the keys that crossed the threshold were inserted or deleted."""
@@ -153,7 +153,7 @@ class LineIndex:
         stepped = shared.saved(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, "shard int, filter binary"), "line-filters-next")
         full = stepped.where("filter is null").select("shard")
         larger = rebuilt.join(full, "shard", "left_semi").groupBy("shard").applyInPandas(lambda k, x: pd.DataFrame({"shard": np.array([k[0]], dtype=np.int32), "filter": [CuckooFilter.build(x["h1"].to_numpy()).to_bytes()]}), "shard int, filter binary")
-        filters = shared.saved(stepped.where("filter is not null").unionByName(larger), "line-filters")
+        filters = shared.saved_state(stepped.where("filter is not null").unionByName(larger), "line-filters")
         return LineIndex(postings, refs, filters, self.shards, self.min_chars, self.min_docs)
 
     def probable(self) -> DataFrame:

@@ -31,6 +31,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomery/{name}-{uuid.uuid4().hex}"
 
 
+#: Tasks a core that write a derived table; a task reads its share of shuffle partitions one after the other.
+STATE_TASKS = 4
+
+
+def saved_state(df: DataFrame, name: str) -> DataFrame:
+    """saved() for tables of keys and counts: in as many files as the cluster has use for, not one a shuffle partition."""
+    return saved(df.coalesce(STATE_TASKS * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder as Parquet and read back: no lineage, safe against lost executors."""
     path = scratch(df.sparkSession, name)

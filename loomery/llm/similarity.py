@@ -158,7 +158,7 @@ def _sign(reps: DataFrame, plan: Plan) -> DataFrame:
                 cuts = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * plan.bands)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), pa.ListArray.from_arrays(cuts, pa.array(band_hashes(sig, plan).ravel())), pa.array([m.tobytes() for m in marks], pa.binary())], names=["cid", "buckets", "sketch"])
 
-    return shared.saved(reps.mapInArrow(run, "cid long, buckets array<bigint>, sketch binary"), "signatures")
+    return shared.saved_state(reps.mapInArrow(run, "cid long, buckets array<bigint>, sketch binary"), "signatures")
 
 
 def compare_blocks(frame: pd.DataFrame, plan: Plan) -> pd.DataFrame:
@@ -193,7 +193,7 @@ class NearComponents:
     def __init__(self, units: DataFrame, order: list[str], plan: Plan) -> None:
         self.plan, self.units = plan, units
         first = F.min(F.struct(*order)).alias("first")
-        self.classes = shared.saved(units.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("cid"), first, F.count("*").alias("copies")), "classes")
+        self.classes = shared.saved_state(units.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("cid"), first, F.count("*").alias("copies")), "classes")
 
     def run(self) -> DataFrame:
         """(key, component) of the classes that are linked with another one."""
@@ -201,16 +201,16 @@ class NearComponents:
         self.sketches = signed.select("cid", "sketch")
         rows = signed.select(F.explode("buckets").alias("bucket"), F.col("cid").alias("key"))
         shared_buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("lead")).where("size > 1")
-        buckets = shared.saved(rows.join(shared_buckets, "bucket"), "buckets")
+        buckets = shared.saved_state(rows.join(shared_buckets, "bucket"), "buckets")
         stars = buckets.where("key <> lead").groupBy("key").agg(F.min("lead").alias("lead"))
-        tried = shared.saved(self.verify(stars.select(F.col("lead").alias("a"), F.col("key").alias("b"))), "tried")
+        tried = shared.saved_state(self.verify(stars.select(F.col("lead").alias("a"), F.col("key").alias("b"))), "tried")
         for _ in range(STAR_ROUNDS - 1):
             open_rows = self.unsettled(buckets, tried)
             leads = open_rows.groupBy("bucket").agg(F.min(F.struct("component", "key")).alias("lead"))
             pairs = open_rows.join(leads, "bucket").where("component <> lead.component").select(F.col("lead.key").alias("x"), "key")
             pairs = pairs.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
             one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            tried = shared.saved(tried.unionByName(self.verify(one)), "tried")
+            tried = shared.saved_state(tried.unionByName(self.verify(one)), "tried")
         open_rows = self.unsettled(buckets, tried)
         rest = self.small_pairs(open_rows).join(tried.select("a", "b"), ["a", "b"], "left_anti")
         more = self.verify(rest).where("linked").select("a", "b").unionByName(self.large_links(open_rows))
@@ -221,7 +221,7 @@ class NearComponents:
         found = components(tried.where("linked").select("a", "b"))
         rows = buckets.select("bucket", "key").join(found, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
         mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        return shared.saved(rows.join(mixed.select("bucket", "size"), "bucket"), "unsettled")
+        return shared.saved_state(rows.join(mixed.select("bucket", "size"), "bucket"), "unsettled")
 
     def small_pairs(self, rows: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) of keys that share a small bucket and are in different components."""
@@ -242,7 +242,7 @@ class NearComponents:
         groups = components(large.join(leads, "bucket").select("a", F.col("key").alias("b")))
         nodes = large.select("key", "component").distinct().join(groups.withColumnRenamed("component", "group"), "key")
         parts = nodes.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        dealt = shared.saved(nodes.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")), "blocks")
+        dealt = shared.saved_state(nodes.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")), "blocks")
         full = dealt.join(self.sketches.withColumnRenamed("cid", "key"), "key").join(self.units.select(F.col("uid").alias("key"), "unit_text"), "key")
         spread = full.select("group", "key", "component", "part", "sketch", "unit_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
         tasks = spread.select("group", "key", "component", "part", "sketch", "unit_text", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
@@ -263,7 +263,7 @@ class NearComponents:
                 keep = sequential_keep(*sides, plan) if batch.num_rows else np.zeros(0, dtype=bool)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep)], names=["a", "b", "keep"])
 
-        judged = shared.saved(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long, keep boolean"), "judged")
+        judged = shared.saved_state(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long, keep boolean"), "judged")
         texts = self.units.select("uid", "unit_text")
         both = judged.where("keep").select("a", "b").join(texts.select(F.col("uid").alias("b"), F.col("unit_text").alias("tb")), "b")
         both = both.join(texts.select(F.col("uid").alias("a"), F.col("unit_text").alias("ta")), "a").select("a", "b", "ta", "tb")
