@@ -115,6 +115,12 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, hasher: SpanHasher) -> tup
 
 
 def _hash_words(raw: np.ndarray, offsets: np.ndarray, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
+    begin, stop = word_spans(raw, offsets)
+    return hasher(LOWER_TABLE[raw], begin, stop), np.searchsorted(begin, offsets)
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions at which the words of consecutive texts begin and end."""
     is_word = ~SPACE[raw]
     starts = is_word.copy()
     starts[1:] &= ~is_word[:-1]
@@ -124,8 +130,7 @@ def _hash_words(raw: np.ndarray, offsets: np.ndarray, hasher: SpanHasher) -> tup
     ends[:-1] &= ~is_word[1:]
     last = first_last(offsets)
     ends[last] = is_word[last]
-    begin, stop = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return hasher(LOWER_TABLE[raw], begin, stop), np.searchsorted(begin, offsets)
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
 def first_last(offsets: np.ndarray) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Substring dedup by paragraphs: MinHash banding, exact Jaccard, removals clustered by components."""
+"""Substring dedup: near copies of lines by MinHash banding and exact Jaccard, and repeated passages anywhere in the texts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.llm.passages import repeated_passages
 from loomery.llm.similarity import NearComponents, Plan, make_units
 
 #: Three rows a band keep the bands few; thirteen of them miss one in ten thousand pairs at 0.8.
@@ -74,6 +75,22 @@ def drop_paragraphs(docs: DataFrame, repeats: DataFrame, *, doc_id: str = "doc_i
     return joined.select(*[F.when(F.col("gone_lines").isNull(), body).otherwise(kept).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns])
 
 
+def drop_passages(docs: DataFrame, repeats: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the removed spans (start, end) of repeats, of passages, paragraphs or both; other columns as they are."""
+    spans = repeats.where("removed").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct(F.col("start"), F.col("end")))).alias("gone_spans"))
+    spans = spans.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone_spans")
+    body = F.col(f"d.`{text}`")
+    joined = docs.alias("d").join(spans, F.col(f"d.`{doc_id}`").eqNullSafe(F.col("gone_id")) & (F.xxhash64(body) == F.col("gone_hash")), "left")
+    kept = F.aggregate(
+        "gone_spans",
+        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
+        lambda acc, s: F.struct(F.concat(acc.out, F.substring(body, acc.at.cast("int") + 1, F.greatest(s.start - acc.at, F.lit(0)).cast("int"))).alias("out"), F.greatest(acc.at, s.end).alias("at")),
+        lambda acc: F.concat(acc.out, F.substring(body, acc.at.cast("int") + 1, F.length(body))),
+    )
+    return joined.select(*[F.when(F.col("gone_spans").isNull(), body).otherwise(kept).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns])
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return repeated_paragraphs(docs).select("doc_id", "paragraph", "start", "end", "cluster_doc_id", "cluster_paragraph", "removed")
+    lines = repeated_paragraphs(docs).select("doc_id", "paragraph", "start", "end", "cluster_doc_id", "cluster_paragraph", F.lit(None).cast("long").alias("cluster_start"), "removed")
+    return lines.unionByName(repeated_passages(docs).drop("text_hash"), allowMissingColumns=True)

@@ -327,3 +327,31 @@ def test_toxicity_without_labels(spark, empty):
     model = toxicity.fit(docs, labels)
     assert [r.predicted for r in model.score(docs).orderBy("doc_id").collect()] == [1, 0]
     assert model.score(empty).count() == 0 and toxicity.fit(empty, labels).score(docs).count() == 2
+
+
+def test_passages_in_long_lines_and_across_lines(spark, empty):
+    shared_words, other = _prose(901, 51).split(" "), _prose(902, 51)
+    cut = lambda sizes: "\n".join(" ".join(shared_words[sum(sizes[:i]) : sum(sizes[: i + 1])]) for i in range(len(sizes)))
+    texts = [
+        f"{_prose(903, 90)} {cut([51])} {_prose(904, 70)}",
+        f"{_prose(905, 20)}\n{cut([20, 17, 14])}\n{_prose(906, 9)}",
+        f"É {_prose(907, 30)} {cut([38, 13]).upper()} {_prose(908, 120)}",
+        f"{_prose(909, 60)} {' '.join(shared_words[:50])} {_prose(910, 60)}",
+        f"{other} {_prose(911, 10)}\n{other}",
+        None,
+        _prose(912, 50),
+        _prose(912, 50),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = paragraph_dedup.repeated_passages(docs)
+    runs = {}
+    for i, t in enumerate(texts):
+        words = [(m.start(), m.end(), m.group().encode().translate(LOWER)) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        for k in range(len(words) - 50):
+            runs.setdefault(tuple(w for _, _, w in words[k : k + 51]), []).append((i, words[k][0], words[k + 50][1]))
+    want = {(*p, *ps[0][:2], p != ps[0]) for ps in runs.values() if len(ps) > 1 for p in ps}
+    assert {tuple(r) for r in got.drop("text_hash").collect()} == want and {w[0] for w in want} == {0, 1, 4}
+    left = {r.doc_id: r.text for r in paragraph_dedup.drop_passages(docs, got).collect()}
+    gone = {w[0]: w[1:3] for w in want if w[-1]}
+    assert left == {i: t if i not in gone else t[: gone[i][0]] + t[gone[i][1] :] for i, t in enumerate(texts)}
+    assert paragraph_dedup.repeated_passages(empty).count() == 0
