@@ -10,7 +10,7 @@ from loomery.llm.similarity import NearComponents, Plan, make_units
 #: The contract's similarity: at least 85 hundredths of three-word shingle sets.
 CONTRACT = Plan(words=3, percent=85, rows=6, miss=1e-6)
 #: The default of near-duplicate operators: five words, at least 0.8.
-DEFAULT = Plan(words=5, percent=80, rows=5, miss=1e-4)
+DEFAULT = Plan(words=5, percent=80, rows=5, miss=1e-6)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", plan: Plan = DEFAULT) -> DataFrame:

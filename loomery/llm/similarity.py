@@ -33,22 +33,21 @@ _CHUNK = 1 << 15
 
 @dataclass(frozen=True)
 class Plan:
-    """percent: similarity in whole hundredths at which two sets are linked. rows hashes make a
-    band; the number of bands follows from miss, the chance that a pair at just that
-    similarity shares no bucket. prune_miss: a pair is dropped before the exact comparison
-    once the posterior chance that it is similar falls below it."""
+    """percent: similarity in whole hundredths at which two sets are linked. miss: the chance at
+    most that a pair at just that similarity, compared once, is lost by banding and pruning together.
+    rows hashes make a band; the number of bands follows from three quarters of miss, the
+    cut-offs of the pruning from the rest, shared by the batches."""
 
     words: int = 5
     percent: int = 80
     rows: int = 4
-    miss: float = 1e-4
-    prune_miss: float = 1e-4
+    miss: float = 1e-6
     batch: int = 32
     batches: int = 5
 
     @property
     def bands(self) -> int:
-        return math.ceil(math.log(self.miss) / math.log(1 - (self.percent / 100) ** self.rows))
+        return math.ceil(math.log(0.75 * self.miss) / math.log(1 - (self.percent / 100) ** self.rows))
 
     @property
     def hashes(self) -> int:
@@ -57,14 +56,13 @@ class Plan:
 
 @cache
 def min_matches(n: int, plan: Plan) -> int:
-    """Fewest equal bytes among n at which a pair stays: with a uniform prior, the posterior chance of
-    a similarity of at least percent is then prune_miss or more. Unequal values agree in a byte once in 256."""
-    s = np.linspace(0, 1, 4001)
-    p = np.clip(s + (1 - s) / 256, 1e-12, 1 - 1e-12)
-    high = s >= plan.percent / 100
+    """Fewest equal bytes among n at which a pair stays: fewer are had by a pair at just percent with
+    a chance of at most a batch's share of miss. Bytes that agree by chance only add to the equal ones."""
+    p, share = plan.percent / 100, 0.25 * plan.miss / plan.batches
+    below = 0.0
     for m in range(n + 1):
-        weight = np.exp(m * np.log(p) + (n - m) * np.log1p(-p) - (m * np.log(max(m, 1e-9) / n) + (n - m) * np.log(max(n - m, 1e-9) / n)))
-        if weight[high].sum() >= plan.prune_miss * weight.sum():
+        below += math.comb(n, m) * p**m * (1 - p) ** (n - m)
+        if below > share:
             return m
     return n
 

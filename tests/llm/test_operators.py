@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -355,3 +356,16 @@ def test_passages_in_long_lines_and_across_lines(spark, empty):
     gone = {w[0]: w[1:3] for w in want if w[-1]}
     assert left == {i: t if i not in gone else t[: gone[i][0]] + t[gone[i][1] :] for i, t in enumerate(texts)}
     assert paragraph_dedup.repeated_passages(empty).count() == 0
+
+
+@pytest.mark.parametrize(("plan", "total"), [(near_dedup.CONTRACT, 1e-6), (near_dedup.DEFAULT, 1e-6), (paragraph_dedup.PLAN, 1e-4)])
+def test_banding_and_pruning_miss_no_more_than_stated(plan, total):
+    p = plan.percent / 100
+    batch = np.array([math.comb(plan.batch, m) * p**m * (1 - p) ** (plan.batch - m) for m in range(plan.batch + 1)])
+    held, pruned = np.ones(1), 0.0
+    for t in range(plan.batches):
+        held = np.convolve(held, batch)
+        cut = similarity.min_matches((t + 1) * plan.batch, plan)
+        pruned += held[:cut].sum()
+        held[:cut] = 0
+    assert plan.miss == total and (1 - p**plan.rows) ** plan.bands + pruned <= total
