@@ -10,6 +10,8 @@ blocks; a block is a header, a table of its documents, their control bytes, thei
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -18,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +55,40 @@ def _tokenizer(path: str) -> tuple[WordCache, int]:
     return WordCache(lambda words: [[t.id for t in tokenize(w.decode("latin-1").translate(shown))] for w in words]), tokenizer.get_vocab_size()
 
 
+@cache
+def _added(path: str) -> tuple[list[str], re.Pattern | None, dict[str, int]]:
+    """Contents of the added tokens of a tokenizer file, a pattern that finds them (longest first, with the white
+    space they take), and their ids."""
+    with open(path, encoding="utf-8") as source:
+        tokens = sorted((t for t in json.load(source)["added_tokens"] if t["content"]), key=lambda t: -len(t["content"]))
+    if not tokens:
+        return [], None, {}
+
+    def found(t: dict) -> str:
+        body = re.escape(t["content"])
+        body = rf"(?<!\w){body}(?!\w)" if t.get("single_word") else body
+        return (r"\s*" if t.get("lstrip") else "") + f"(?P<t{t['id']}>{body})" + (r"\s*" if t.get("rstrip") else "")
+
+    return [t["content"] for t in tokens], re.compile("|".join(map(found, tokens))), {f"t{t['id']}": t["id"] for t in tokens}
+
+
+def encode_around(text: str, words: WordCache, path: str) -> np.ndarray:
+    """Ids of a text cut at its added tokens before it is split into words."""
+    _, pattern, known = _added(path)
+    parts, between, at = [], [], 0
+    for m in pattern.finditer(text):
+        parts.append(text[at : m.start()])
+        between.append(known[m.lastgroup])
+        at = m.end()
+    parts.append(text[at:])
+    offsets, raw = text_buffers(pa.array(parts, pa.large_string()))
+    ids = [x for _, part in words.encode_column(offsets, raw, row_slices) for x in part]
+    out = [ids[0]]
+    for token, x in zip(between, ids[1:], strict=True):
+        out += [np.array([token], dtype=np.uint32), x]
+    return np.concatenate(out)
+
+
 def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
@@ -65,8 +102,13 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, vocabulary: str, end_id: i
         kind = id_type(max(size, end_id + 1))
         for batch in batches:
             offsets, raw = text_buffers(batch.column(2))
+            holds = np.zeros(batch.num_rows, dtype=bool)
+            for content in _added(vocabulary)[0]:
+                holds |= pc.fill_null(pc.match_substring(batch.column(2), content), False).to_numpy(zero_copy_only=False)
             for lo, ids in cache_.encode_column(offsets, raw, row_slices):
                 part = batch.slice(lo, len(ids))
+                for i in np.flatnonzero(holds[lo : lo + len(ids)]).tolist():
+                    ids[i] = encode_around(part.column(2)[i].as_py(), cache_, vocabulary)
                 ended = [np.append(x, np.uint32(end_id)).astype(kind) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ended], pa.int64()), pa.array([x.tobytes() for x in ended], pa.large_binary()).cast(pa.binary())], names=["doc_id", "tie", "n", "ids"])
 
@@ -116,8 +158,8 @@ def write_tokens(docs: DataFrame, out: str, *, doc_id: str = "doc_id", text: str
     """Writes the ids of all rows in ascending doc_id order to files below out; returns the manifest.
 
     Null and empty texts give the end id alone. Rows of equal doc_id follow each other in the
-    order of a hash of their text; rows with a null doc_id come last. Strings of special tokens
-    in a text are ordinary text. Other columns are not read. An empty table gives an empty
+    order of a hash of their text; rows with a null doc_id come last. The tokenizer's added
+    tokens are found in texts, as the library's encode does. Other columns are not read. An empty table gives an empty
     manifest. Files sorted by name are in document order.
     """
     spark = docs.sparkSession

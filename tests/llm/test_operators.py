@@ -369,3 +369,14 @@ def test_banding_and_pruning_miss_no_more_than_stated(plan, total):
         pruned += held[:cut].sum()
         held[:cut] = 0
     assert plan.miss == total and (1 - p**plan.rows) ** plan.bands + pruned <= total
+
+
+def test_token_files_find_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "don't <|endoftext|>  's <|endoftext", "ä \n<|endoftext|>\n é", "plain text", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = f"file://{tmp_path}/added"
+    got = {r.doc_id: r.ids for r in token_files.read_tokens(token_files.write_tokens(rows, out, end_id=2), out).collect()}
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
