@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,9 @@ PATTERNS = [
     ("hate", r"\b(?:shut up|go away and|i hate you|kill yourself)\b", 1),
 ]
 
+#: Found, whatever the case, in every text that any pattern matches; it is looked for in whole batches.
+PATTERN_HINT = r"idiot|moron|stupid|loser|trash|scum|worthless|pathetic|disgusting|clown|dumb|id[1!]ot|m0r0n|l0ser|st[u*]p[1!*]d|tr[@*]sh|sc[*]m|shut up|go away and|i hate you|kill yourself"
+
 
 def features(raw: np.ndarray, offsets: np.ndarray, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of the distinct features of consecutive texts, sorted: hashed words and their first 4 and 5 code points."""
@@ -113,16 +117,15 @@ class Voters:
         return table
 
     def votes(self, ids: np.ndarray, text: str, table: np.ndarray, patterns: list) -> np.ndarray:
-        """1 toxic, 0 none, 2 clean."""
+        """1 toxic, 0 none, 2 clean. text is empty where no pattern can match."""
         out = np.zeros(self.n, dtype=np.uint8)
         hit = table[ids]
         out[hit[hit >= 0]] = 1
-        if out.any():
-            low = text.lower()
-            for i, found in enumerate(patterns, len(self.terms)):
-                if found.search(low):
-                    out[i] = 1
-        elif len(ids) >= 8:
+        low = text.lower()
+        for i, found in enumerate(patterns, len(self.terms)):
+            if low and found.search(low):
+                out[i] = 1
+        if not out.any() and len(ids) >= 8:
             out[-1] = 2
         return out
 
@@ -346,16 +349,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     The labelled sample has about max_sample rows, those of smallest id hash; the label model
     sees the votes of all training rows, labelled or not. Null labels and null ids are not
-    used; of several labels of an id the largest counts. Without labels the seed lexicons
-    and patterns remain.
+    used; of several labels of an id the largest counts. Without labels the sample is one of
+    all training rows, the classifier learns from the votes of seed lexicons and patterns
+    alone, and words of the lexicons are toxic whatever it learns.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).where("id is not null").where(~_held_out())
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     n = known.where(~_held_out()).count()
-    rate = min(1.0, max_sample / max(n, 1))
+    rate = min(1.0, max_sample / max(n or rows.count(), 1))
     picked = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000)
-    sample = rows.where(picked).join(known, "id").select("toxic", "text")
+    sample = rows.where(picked).join(known, "id", "inner" if n else "left").select("toxic", "text")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher(seed=23)
@@ -367,15 +371,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     held = labelled.select("rid", "toxic", "ids").orderBy("rid").collect()  # about max_sample rows at most
     sets = [np.frombuffer(r.ids, dtype="<i4") for r in held]
     once = distinct_rows(sets)
-    voters = mine([sets[i] for i in once], np.array([held[i].toxic > 0 for i in once], dtype=bool))
+    voters = mine([sets[i] for i in once], np.array([(held[i].toxic or 0) > 0 for i in once], dtype=bool))
     sent = spark.sparkContext.broadcast(voters)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own = SpanHasher(seed=23), sent.value
         table, patterns = own.lookup(), [re.compile(p) for _, p, _ in PATTERNS]
         for batch in batches:
+            hint = pc.match_substring_regex(batch.column(1), PATTERN_HINT, ignore_case=True).to_numpy(zero_copy_only=False)
             for lo, part in each_features(batch.column(1), hasher):
-                found = [own.votes(ids, batch.column(1)[lo + i].as_py() if (table[ids] >= 0).any() else "", table, patterns).tobytes() for i, ids in enumerate(part)]
+                found = [own.votes(ids, batch.column(1)[lo + i].as_py() if hint[lo + i] else "", table, patterns).tobytes() for i, ids in enumerate(part)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array(found, pa.binary())], names=[batch.schema.names[0], "votes"])
 
     def vote_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,9 +393,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     votes = np.array([np.frombuffer(r.votes, dtype=np.uint8) for r in own], dtype=np.uint8).reshape(len(own), voters.n)
     posterior = anchored(model.posterior(votes), np.array([r.toxic for r in held], dtype=np.float64))
     weights, bias = fit_linear([sets[i] for i in once], posterior[once])
-    if not len(sets):  # no labels: the seed lexicons as they are
+    if not n:
         for terms in voters.terms:
-            weights[terms] = 8.0
+            weights[terms] = np.maximum(weights[terms], 4.0 - bias)
     return ToxicityModel(weights, bias, model)
 
 

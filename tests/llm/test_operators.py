@@ -380,3 +380,20 @@ def test_token_files_find_added_tokens(spark, tmp_path):
     out = f"file://{tmp_path}/added"
     got = {r.doc_id: r.ids for r in token_files.read_tokens(token_files.write_tokens(rows, out, end_id=2), out).collect()}
     assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
+def test_toxicity_patterns_vote_alone(spark):
+    patterns = [re.compile(p) for _, p, _ in toxicity.PATTERNS]
+    hasher = toxicity.SpanHasher(seed=23)
+    voters = toxicity.mine([], np.zeros(0, dtype=bool))
+    table = voters.lookup()
+    for text, fired in ((f"{_prose(920, 12)} m0r0n", 2), (f"{_prose(921, 12)} Kill yourself", 3)):
+        (_, (ids,)), = toxicity.each_features(toxicity.pa.array([text]), hasher)
+        votes = voters.votes(ids, text, table, patterns)
+        assert votes[len(voters.terms) + fired] == 1 and votes[-1] == 0
+    for name, shown in (("masked", "st*p1d M0R0N"), ("hate", "SHUT UP"), ("address", "you are such an idiot"), ("doubled", "trash and scum")):
+        assert dict((n, re.search(p, shown.lower())) for n, p, _ in toxicity.PATTERNS)[name] and re.search(toxicity.PATTERN_HINT, shown.lower())
+    rows = [(i, f"{_prose(1000 + i, 20)} {'m0r0n' if i % 4 == 0 else ''}") for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.fit(docs, labels).score(docs).collect()}
+    assert all(got[i] for i in range(0, 400, 4)) and sum(got[i] for i in range(400) if i % 4) <= 3
