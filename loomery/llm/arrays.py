@@ -20,7 +20,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_TABLE = np.frombuffer(LOWER, dtype=np.uint8)
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)

@@ -15,6 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.llm import shared
 from loomery.llm.arrays import row_slices, text_buffers
 from loomery.llm.wordcache import WordCache
 
@@ -106,21 +107,28 @@ def encode(docs: DataFrame, vocabulary: str | None = None, *, text: str = "text"
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("ids", "offsets")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    shared.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (_, lengths) = _encoder(path), _tokens(path)
-        for batch in batches:
-            offsets, raw = text_buffers(batch.column(batch.num_columns - 1))
-            for lo, ids in encoder.encode_column(offsets, raw, row_slices):
-                cuts = pa.array([0, *accumulate(map(len, ids))], pa.int32())
-                flat = np.concatenate(ids)
-                spots = np.concatenate([np.cumsum(lengths[x]) - lengths[x] for x in ids])
-                columns = [batch.column(i).slice(lo, len(ids)) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(cuts, pa.array(flat.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(spots))], names=[*kept, "ids", "offsets"])
+        lengths = _tokens(path)[1]
+        for part, ids in _encoded(batches, path):
+            cuts = pa.array([0, *accumulate(map(len, ids))], pa.int32())
+            flat = np.concatenate(ids)
+            spots = np.concatenate([np.cumsum(lengths[x]) - lengths[x] for x in ids])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(cuts, pa.array(flat.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(spots))], names=[*kept, "ids", "offsets"])
 
     return rows.mapInArrow(run, f"{schema}{', ' * bool(kept)}ids array<int>, offsets array<bigint>")
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches whose last column is the text, and the ids of their rows."""
+    encoder = _encoder(path)
+    for batch in batches:
+        offsets, raw = text_buffers(batch.column(batch.num_columns - 1))
+        for lo, ids in encoder.encode_column(offsets, raw, row_slices):
+            yield batch.slice(lo, len(ids)), ids
+
+
 def decode_ids(ids, path: str) -> bytes:
     """Bytes of a sequence of ids."""
     table = _tokens(path)[0]
@@ -144,27 +152,23 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, *, ids: str = "ids
     return kept.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def digests(coded: DataFrame, vocabulary: str | None = None, *, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the
-    bytes that the ids decode to). Null ids count as none."""
+def digests(docs: DataFrame, vocabulary: str | None = None, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the bytes
+    that the ids decode to): texts are encoded as by encode, and the ids decoded, in one pass."""
     path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    kind = coded.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text"))
+    shared.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [str(i) for i in range(len(_tokens(path)[0]))]
-        for batch in batches:
-            lists = batch.column(1)
-            sizes, coded_sha, decoded_sha = [], [], []
-            for x in lists:
-                values = x.values.to_numpy().tolist() if x.is_valid else []
-                sizes.append(len(values))
-                coded_sha.append(hashlib.sha256(",".join(map(names.__getitem__, values)).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(decode_ids(values, path)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(coded_sha), pa.array(decoded_sha)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part, ids in _encoded(batches, path):
+            values = [x.tolist() for x in ids]
+            coded = [hashlib.sha256(",".join(map(names.__getitem__, x)).encode()).hexdigest() for x in values]
+            decoded = [hashlib.sha256(decode_ids(x, path)).hexdigest() for x in values]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in values], pa.int64()), pa.array(coded), pa.array(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return coded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode(docs, keep=["doc_id"]))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -34,11 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
     one round at most. Nodes of a hub are summed up before they are shuffled, and its joins
     are plain equi-joins that adaptive execution splits. Null ends are ignored.
     """
-    state = shared.saved_state(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    state = shared.saved(edges.select("a", "b").where("a <> b").distinct(), "edges")
     was, width = None, 1 + state.count() // ROWS_A_TASK
     for _ in range(MAX_ROUNDS):
         step = _small_star(_large_star(state)).where("a <> b").distinct()
-        state = shared.saved(step.coalesce(width), "edges")
+        before, state = state, shared.saved(step.coalesce(width), "edges")
+        shared.release(state.sparkSession, before)
         seen = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == was or not seen.n:
             break

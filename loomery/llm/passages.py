@@ -123,11 +123,11 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).where(F.length("text") >= 2 * RUN - 1)
-    anchors = shared.saved_state(rows.select("text_hash", "text").mapInArrow(_anchor_rows, "text_hash long, anchor long"), "anchors")
+    anchors = shared.saved(rows.select("text_hash", "text").mapInArrow(_anchor_rows, "text_hash long, anchor long"), "anchors")
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     known = anchors.join(repeated, "anchor").groupBy("text_hash").agg(F.collect_set("anchor").alias("known"))
     held = rows.join(known, "text_hash").select("doc_id", "text_hash", "text", "known")
-    runs = shared.saved_state(held.mapInArrow(_run_rows, f"doc_id {kind}, text_hash long, at long, start long, end long, h1 long, h2 long"), "runs")
+    runs = shared.saved(held.mapInArrow(_run_rows, f"doc_id {kind}, text_hash long, at long, start long, end long, h1 long, h2 long"), "runs")
     place = F.struct("doc_id", "text_hash", "at")
     firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = runs.join(firsts, ["h1", "h2"]).select("doc_id", "text_hash", "at", "start", "end", "first", (~place.eqNullSafe(F.col("first"))).alias("removed"))
@@ -139,9 +139,9 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     numbered = found.withColumn("new", F.when(steady, 0).otherwise(1)).withColumn("chain", F.sum("new").over(order))
     chains = numbered.groupBy("doc_id", "text_hash", "removed", "chain").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
     joined = F.when(F.col("at") <= F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)) + RUN, 0).otherwise(1)
-    chains = shared.saved_state(chains.withColumn("new", joined).withColumn("span", F.sum("new").over(order)).drop("new"), "chains")
+    chains = shared.saved(chains.withColumn("new", joined).withColumn("span", F.sum("new").over(order)).drop("new"), "chains")
     spans = chains.groupBy("doc_id", "text_hash", "removed", "span").agg(F.min("at").alias("at"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = shared.saved_state(spans.withColumn("sid", F.monotonically_increasing_id()), "spans")
+    spans = shared.saved(spans.withColumn("sid", F.monotonically_increasing_id()), "spans")
     keys = ["doc_id", "text_hash", "removed", "span"]
     later = chains.where("removed").alias("c").join(spans.alias("s"), F.expr(" and ".join(f"c.{k} <=> s.{k}" for k in keys))).select(F.col("s.sid").alias("a"), F.col("c.first").alias("place"))
     heads = spans.where("not removed").select(F.col("sid").alias("b"), F.struct("doc_id", "text_hash").alias("own"), F.col("at").alias("lo"), F.col("last").alias("hi"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,20 +32,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomery/{name}-{uuid.uuid4().hex}"
 
 
-#: Tasks a core that write a derived table; a task reads its share of shuffle partitions one after the other.
-STATE_TASKS = 4
+#: Bytes of one Arrow batch in sessions that have not chosen their own: whole texts of a batch must fit
+#: into a worker beside what is made of them.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARK_DEFAULT = "67108864b"
 
 
-def saved_state(df: DataFrame, name: str) -> DataFrame:
-    """saved() for tables of keys and counts: in as many files as the cluster has use for, not one a shuffle partition."""
-    return saved(df.coalesce(STATE_TASKS * df.sparkSession.sparkContext.defaultParallelism), name)
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, or as the session has chosen."""
+    if spark.conf.get(_BATCH, _SPARK_DEFAULT) == _SPARK_DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder as Parquet and read back: no lineage, safe against lost executors."""
+    bound_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes tables of saved() that nothing will read again, and lets Spark drop the shuffle files
+    of finished jobs, which it keeps until the driver collects its garbage."""
+    for frame in frames:
+        fs, path = filesystem(frame.saved_path)
+        fs.delete_dir(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

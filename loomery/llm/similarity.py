@@ -5,6 +5,8 @@ that is handled once. Classes that share a band hash are a bucket; instead of al
 bucket, each member is first compared with the bucket's smallest member, and only members
 that are still in different components afterwards are compared further. What is returned are
 components, and for these that loses nothing: a pair inside one component adds no link.
+One pass over the texts makes sets, band hashes and sketches; afterwards only texts that
+share a bucket with another one are shuffled, once, and pairs are looked up among them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from loomery.llm.components import components
 STAR_ROUNDS = 2
 #: Buckets up to this size are joined with themselves; the members of larger ones are compared block by block.
 SMALL_BUCKET = 32
-BLOCK = 512
+#: Members and bytes of text of a block; a task holds two of them.
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
 _CHUNK = 1 << 15
 
 
@@ -122,47 +125,41 @@ def band_hashes(sig: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def make_units(rows: DataFrame, text: str, plan: Plan) -> DataFrame:
-    """rows with uid, n (size of the shingle set), h1 and h2 (128-bit hash of the set; null if empty), saved.
+    """rows with uid, n (size of the shingle set), h1 and h2 (128-bit hash of the set), buckets (band
+    hashes) and sketch (low bytes of the signature; the last four are null if the set is empty), saved.
 
     The column holding the text is named unit_text afterwards. uid is fixed once saved.
     """
     kept = [c for c in rows.columns if c != text]
     source = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("unit_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + ", n long, h1 long, h2 long"
+    made = ["n", "h1", "h2", "buckets", "sketch"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + ", n long, h1 long, h2 long, buckets array<bigint>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for batch in batches:
-            n, h1, h2 = [], [], []
-            for _, sets in text_sets(batch.column(batch.num_columns - 1), plan.words, hasher):
-                for x in sets:
-                    n.append(len(x))
-                    h1.append(int(mix(x).sum().view(np.int64)) if len(x) else None)
-                    h2.append(int(mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=[*batch.schema.names, "n", "h1", "h2"])
-
+            for lo, sets in text_sets(batch.column(batch.num_columns - 1), plan.words, hasher):
+                n = np.array([len(x) for x in sets], dtype=np.int64)
+                there = np.flatnonzero(n)
+                h1, h2, bands, marks = ([None] * len(sets) for _ in range(4))
+                if len(there):
+                    sig = signatures([sets[i] for i in there], plan.hashes)
+                    own, low = band_hashes(sig, plan), sig[:, : plan.batch * plan.batches].astype(np.uint8)
+                    for k, i in enumerate(there.tolist()):
+                        h1[i] = int(mix(sets[i]).sum().view(np.int64))
+                        h2[i] = int(mix(sets[i] ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
+                        bands[i], marks[i] = own[k], low[k].tobytes()
+                columns = [pa.array(n), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(sets)).columns, *columns], names=[*batch.schema.names, *made])
+
+    shared.bound_batches(rows.sparkSession)
     return shared.saved(source.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "units", compression="zstd")
 
 
-def _sign(reps: DataFrame, plan: Plan) -> DataFrame:
-    """(cid, buckets, sketch) for class representatives (cid, unit_text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
-        for batch in batches:
-            for lo, sets in text_sets(batch.column(1), plan.words, hasher):
-                sig = signatures(sets, plan.hashes)
-                marks = np.ascontiguousarray(sig[:, : plan.batch * plan.batches].astype(np.uint8))
-                cuts = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * plan.bands)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), pa.ListArray.from_arrays(cuts, pa.array(band_hashes(sig, plan).ravel())), pa.array([m.tobytes() for m in marks], pa.binary())], names=["cid", "buckets", "sketch"])
-
-    return shared.saved_state(reps.mapInArrow(run, "cid long, buckets array<bigint>, sketch binary"), "signatures")
-
-
 def compare_blocks(frame: pd.DataFrame, plan: Plan) -> pd.DataFrame:
     """Links between the components of one or two blocks (part i and part j); each link joins two that were apart."""
     marks = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint8).reshape(len(frame), -1)
-    keys, parts = frame["key"].to_numpy(), frame["part"].to_numpy()
+    keys, parts, sizes = frame["key"].to_numpy(), frame["part"].to_numpy(), frame["n"].to_numpy()
     roots = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
     hasher, sets, found = SpanHasher(), {}, []
 
@@ -174,6 +171,7 @@ def compare_blocks(frame: pd.DataFrame, plan: Plan) -> pd.DataFrame:
     left, right = np.flatnonzero(parts == frame["i"].iloc[0]), np.flatnonzero(parts == frame["j"].iloc[0])
     for x in left:
         there = right[(roots[right] != roots[x]) & ((parts[right] != parts[x]) | (right > x))]
+        there = there[100 * np.minimum(sizes[there], sizes[x]) >= plan.percent * np.maximum(sizes[there], sizes[x])]
         if len(there):
             there = there[sequential_keep(np.broadcast_to(marks[x], (len(there), marks.shape[1])), marks[there], plan)]
         for y in there:
@@ -189,37 +187,46 @@ class NearComponents:
     """Finds the components of similar classes among saved units."""
 
     def __init__(self, units: DataFrame, order: list[str], plan: Plan) -> None:
-        self.plan, self.units = plan, units
+        self.plan, self.units, self.spark = plan, units, units.sparkSession
         first = F.min(F.struct(*order)).alias("first")
-        self.classes = shared.saved_state(units.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("cid"), first, F.count("*").alias("copies")), "classes")
+        self.classes = shared.saved(units.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("cid"), first, F.count("*").alias("copies")), "classes")
 
     def run(self) -> DataFrame:
         """(key, component) of the classes that are linked with another one."""
-        signed = _sign(self.units.join(self.classes.select("cid"), F.col("uid") == F.col("cid"), "left_semi").select(F.col("uid").alias("cid"), "unit_text"), self.plan)
-        self.sketches = signed.select("cid", "sketch")
-        rows = signed.select(F.explode("buckets").alias("bucket"), F.col("cid").alias("key"))
+        reps = self.units.select(F.col("uid").alias("key"), "buckets").join(self.classes.select(F.col("cid").alias("key")), "key", "left_semi")
+        rows = reps.select(F.explode("buckets").alias("bucket"), "key")
         shared_buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("lead")).where("size > 1")
-        buckets = shared.saved_state(rows.join(shared_buckets, "bucket"), "buckets")
+        buckets = shared.saved(rows.join(shared_buckets, "bucket"), "buckets")
+        # the only shuffle of whole texts: those that some other class shares a bucket with
+        texts = self.units.select(F.col("uid").alias("key"), "n", "sketch", "unit_text")
+        self.held = shared.saved(texts.join(buckets.select("key").distinct(), "key"), "candidates", compression="zstd")
+        shared.release(self.spark)
         stars = buckets.where("key <> lead").groupBy("key").agg(F.min("lead").alias("lead"))
-        tried = shared.saved_state(self.verify(stars.select(F.col("lead").alias("a"), F.col("key").alias("b"))), "tried")
+        tried = self.verify(stars.select(F.col("lead").alias("a"), F.col("key").alias("b")))
         for _ in range(STAR_ROUNDS - 1):
             open_rows = self.unsettled(buckets, tried)
             leads = open_rows.groupBy("bucket").agg(F.min(F.struct("component", "key")).alias("lead"))
             pairs = open_rows.join(leads, "bucket").where("component <> lead.component").select(F.col("lead.key").alias("x"), "key")
             pairs = pairs.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
             one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            tried = shared.saved_state(tried.unionByName(self.verify(one)), "tried")
+            more = self.verify(one)
+            both = shared.saved(tried.unionByName(more), "tried")
+            shared.release(self.spark, tried, more, open_rows)
+            tried = both
         open_rows = self.unsettled(buckets, tried)
-        rest = self.small_pairs(open_rows).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = self.verify(rest).where("linked").select("a", "b").unionByName(self.large_links(open_rows))
-        return components(tried.where("linked").select("a", "b").unionByName(more))
+        rest = self.verify(self.small_pairs(open_rows).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        large = shared.saved(self.large_links(open_rows), "large-links")
+        links = tried.where("linked").select("a", "b").unionByName(rest.where("linked").select("a", "b")).unionByName(large)
+        found = components(links)
+        shared.release(self.spark, tried, rest, large, open_rows, buckets, self.held)
+        return found
 
     def unsettled(self, buckets: DataFrame, tried: DataFrame) -> DataFrame:
         """Rows of the buckets whose members are in several components so far."""
         found = components(tried.where("linked").select("a", "b"))
         rows = buckets.select("bucket", "key").join(found, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
         mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        return shared.saved_state(rows.join(mixed.select("bucket", "size"), "bucket"), "unsettled")
+        return shared.saved(rows.join(mixed.select("bucket", "size"), "bucket"), "unsettled")
 
     def small_pairs(self, rows: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) of keys that share a small bucket and are in different components."""
@@ -239,21 +246,22 @@ class NearComponents:
         leads = large.groupBy("bucket").agg(F.min("key").alias("a"))
         groups = components(large.join(leads, "bucket").select("a", F.col("key").alias("b")))
         nodes = large.select("key", "component").distinct().join(groups.withColumnRenamed("component", "group"), "key")
-        parts = nodes.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        dealt = shared.saved_state(nodes.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")), "blocks")
-        full = dealt.join(self.sketches.withColumnRenamed("cid", "key"), "key").join(self.units.select(F.col("uid").alias("key"), "unit_text"), "key")
-        spread = full.select("group", "key", "component", "part", "sketch", "unit_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-        tasks = spread.select("group", "key", "component", "part", "sketch", "unit_text", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+        full = nodes.join(self.held, "key")
+        parts = full.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("unit_text")) / BLOCK_BYTES)).cast("int").alias("parts"))
+        dealt = full.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        columns = ["group", "key", "component", "part", "n", "sketch", "unit_text"]
+        spread = dealt.select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+        tasks = spread.select(*columns, F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
         plan = self.plan
         # tasks of few bytes and much work: their number is fixed, so that they are not put together
         tasks = tasks.repartition(4 * shared.shuffle_width(rows.sparkSession), "group", "i", "j")
         return tasks.groupBy("group", "i", "j").applyInPandas(lambda frame: compare_blocks(frame, plan), "a long, b long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) for pairs (a, b): pruned by their signatures, then compared on full sets."""
+        """(a, b, linked) for pairs (a, b), saved: pruned by their signatures, then compared on full sets."""
         plan = self.plan
-        left = self.sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"))
-        right = self.sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"))
+        left = self.held.select(F.col("key").alias("a"), F.col("sketch").alias("sa"))
+        right = self.held.select(F.col("key").alias("b"), F.col("sketch").alias("sb"))
 
         def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -261,10 +269,9 @@ class NearComponents:
                 keep = sequential_keep(*sides, plan) if batch.num_rows else np.zeros(0, dtype=bool)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep)], names=["a", "b", "keep"])
 
-        judged = shared.saved_state(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long, keep boolean"), "judged")
-        texts = self.units.select("uid", "unit_text")
-        both = judged.where("keep").select("a", "b").join(texts.select(F.col("uid").alias("b"), F.col("unit_text").alias("tb")), "b")
-        both = both.join(texts.select(F.col("uid").alias("a"), F.col("unit_text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        judged = shared.saved(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long, keep boolean"), "judged")
+        both = judged.where("keep").select("a", "b").join(self.held.select(F.col("key").alias("b"), F.col("unit_text").alias("tb")), "b")
+        both = both.join(self.held.select(F.col("key").alias("a"), F.col("unit_text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, held, own = SpanHasher(), None, None
@@ -280,7 +287,9 @@ class NearComponents:
                             linked.append(100 * common >= plan.percent * (len(own) + len(mine) - common))
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-        return both.mapInArrow(exact, "a long, b long, linked boolean").unionByName(judged.where("not keep").select("a", "b", F.lit(False).alias("linked")))
+        found = shared.saved(both.mapInArrow(exact, "a long, b long, linked boolean").unionByName(judged.where("not keep").select("a", "b", F.lit(False).alias("linked"))), "tried")
+        shared.release(self.spark, judged)
+        return found
 
     def members(self, linked: DataFrame) -> DataFrame:
         """(h1, h2, cid, copies, first, head): head is the smallest first unit of the class's component."""

@@ -10,7 +10,7 @@ import numpy as np
 from loomery.llm.arrays import SpanHasher, gather
 from loomery.llm.pretokenize import pieces, token_starts
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 class WordCache:
@@ -20,7 +20,7 @@ class WordCache:
     anew, so memory is bounded whatever the vocabulary of the input.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], max_words: int = 1 << 20) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], max_words: int = 1 << 19) -> None:
         self.encode, self.max_words = encode, max_words
         self.bits = (4 * max_words - 1).bit_length()
         self.hasher = SpanHasher(seed=11)
