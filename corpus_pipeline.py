@@ -36,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their digests, and the digest of what they decode to."""
-    return bpe.digests(bpe.encode(docs, keep=["doc_id"]))
+    return bpe.digests(docs)
 
 
 STAGES = [
