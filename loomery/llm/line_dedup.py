@@ -1,11 +1,12 @@
 """Line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
 An index is three tables in the shared folder. postings has one row for each document and
-distinct long line key; refs counts them exactly and knows the largest doc_id of a key;
-filters holds one cuckoo filter per shard of the frequent keys (those with at least min_docs
-references). Inserting or deleting documents rewrites postings and refs and inserts into or
+distinct long line key; refs counts these references exactly and knows the largest doc_id of
+a key; filters holds one cuckoo filter per shard of the keys with at least min_docs
+references, which are all that as many documents can hold. Inserting or deleting documents rewrites postings and refs and inserts into or
 deletes from the filters exactly the keys that cross the threshold, so every step can be
-taken back. Filters only spare the exact join rows that cannot match; the join decides.
+taken back. Filters only spare the exact join rows that cannot match; the join and a count of
+distinct doc_ids among what is left decide.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 _WHITE = b" \t\n\x0b\x0c\r"
 
-#: Bytes of all filters together that may be broadcast; beyond, each shard's rows go to its filter.
+#: Bytes of all filters together that may be broadcast; beyond, each shard's rows go to tasks with its filter.
 BROADCAST_BYTES = 32 << 20
+#: Postings of one such task; a shard with more, such as that of a hot line, is dealt over several.
+ROWS_A_TASK = 2_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -109,21 +112,22 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> LineIndex:
-        """Index of all rows of docs, each counted as a document of its own.
+        """Index of all rows of docs. Rows that share a doc_id are references of their own, but one document
+        when lines are judged.
 
         Null and empty texts have no long line. A null doc_id counts and ranks below all others.
         """
         shards = shards or shared.shuffle_width(docs.sparkSession)
         postings = shared.saved(line_postings(docs, doc_id, text, min_chars), "line-postings")
-        refs = shared.saved_state(_count(postings), "line-refs")
-        filters = shared.saved_state(_build_filters(refs.where(F.col("refs") >= min_docs), shards), "line-filters")
+        refs = shared.saved(_count(postings), "line-refs")
+        filters = shared.saved(_build_filters(refs.where(F.col("refs") >= min_docs), shards), "line-filters")
         return cls(postings, refs, filters, shards, min_chars, min_docs)
 
     def insert(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
         new = shared.saved(line_postings(docs, doc_id, text, self.min_chars), "line-postings-new")
         postings = shared.saved(self.postings.unionByName(new), "line-postings")
         joined = self.refs.unionByName(_count(new)).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.max("last_doc").alias("last_doc"))
-        return self._next(postings, shared.saved_state(joined, "line-refs"))
+        return self._next(postings, shared.saved(joined, "line-refs"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents whose ids doc_ids holds in its first column."""
@@ -133,7 +137,7 @@ class LineIndex:
         # counts of touched keys are taken anew from what is left, all others stand
         anew = _count(postings.join(touched, ["h1", "h2"], "left_semi"))
         refs = self.refs.join(touched, ["h1", "h2"], "left_anti").unionByName(anew)
-        return self._next(postings, shared.saved_state(refs, "line-refs"))
+        return self._next(postings, shared.saved(refs, "line-refs"))
 
     def _next(self, postings: DataFrame, refs: DataFrame) -> LineIndex:
         """The filters after the keys that crossed the threshold were inserted or deleted."""
@@ -153,7 +157,7 @@ class LineIndex:
         stepped = shared.saved(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, "shard int, filter binary"), "line-filters-next")
         full = stepped.where("filter is null").select("shard")
         larger = rebuilt.join(full, "shard", "left_semi").groupBy("shard").applyInPandas(lambda k, x: pd.DataFrame({"shard": np.array([k[0]], dtype=np.int32), "filter": [CuckooFilter.build(x["h1"].to_numpy()).to_bytes()]}), "shard int, filter binary")
-        filters = shared.saved_state(stepped.where("filter is not null").unionByName(larger), "line-filters")
+        filters = shared.saved(stepped.where("filter is not null").unionByName(larger), "line-filters")
         return LineIndex(postings, refs, filters, self.shards, self.min_chars, self.min_docs)
 
     def probable(self) -> DataFrame:
@@ -163,15 +167,25 @@ class LineIndex:
             held = self.postings.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
             return self.postings.mapInArrow(_Probe(held, self.shards), self.postings.schema)
         rows = self.postings.withColumn("shard", _shard(self.shards))
-        part = self.filters.select("shard", "filter")
-        both = rows.select("shard", "h1", "h2", "doc_id", "text_hash", F.lit(None).cast("binary").alias("filter")).unionByName(part.select("shard", *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "doc_id", "text_hash")], "filter"))
-        dealt = both.repartitionById(self.shards, "shard").sortWithinPartitions(F.desc_nulls_last("filter"))
-        return dealt.mapInArrow(_probe_own, self.postings.schema)
+        columns = self.postings.columns
+        sizes = sorted(rows.groupBy("shard").count().collect())  # one short row a shard
+        spans = [-(-n // ROWS_A_TASK) for _, n in sizes]
+        starts = np.concatenate(([0], np.cumsum(spans))).tolist()
+        if not sizes:
+            return self.postings
+        places = self.postings.sparkSession.createDataFrame([(k, a, n) for (k, _), a, n in zip(sizes, starts, spans, strict=False)], "shard int, start int, span int")
+        places = F.broadcast(places)  # as many rows as shards
+        spread = rows.join(places, "shard").select((F.col("start") + F.pmod(F.xxhash64("doc_id", "h1"), "span")).cast("int").alias("task"), *columns, F.lit(None).cast("binary").alias("filter"))
+        held = self.filters.join(places, "shard").select(F.explode(F.sequence("start", F.col("start") + F.col("span") - 1)).alias("task"), *[F.lit(None).cast("long").alias(c) for c in columns], "filter")
+        dealt = spread.unionByName(held).repartitionById(starts[-1], "task").sortWithinPartitions(F.col("filter").isNull())
+        return dealt.select(*columns, "filter").mapInArrow(_probe_own, self.postings.schema)
 
     def drops(self) -> DataFrame:
         """(doc_id, text_hash, keys): for each document the hashes of the keys whose lines it loses."""
         frequent = self.refs.where(F.col("refs") >= self.min_docs).select("h1", "h2", "last_doc")
-        lost = self.probable().join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+        hits = shared.saved(self.probable().join(frequent, ["h1", "h2"]).select("h1", "h2", "doc_id", "text_hash", "last_doc"), "line-hits")
+        held_by = hits.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("docs"))
+        lost = hits.join(held_by.where(F.col("docs") >= self.min_docs), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         return lost.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
 
 
@@ -199,7 +213,7 @@ def _probe_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = CuckooFilter.from_bytes(filters[0].as_py())
         rows = batch.filter(pa.array(filters.is_null()))
         if own is not None and rows.num_rows:
-            rows = rows.filter(pa.array(own.contains(rows.column(1).to_numpy())))
+            rows = rows.filter(pa.array(own.contains(rows.column(0).to_numpy())))
             yield rows.select(["h1", "h2", "doc_id", "text_hash"])
 
 
@@ -255,16 +269,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, LineIndex.build(docs)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-_LINES = """
-d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM {docs}),
-k AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
+OP6_SQL = """
+WITH r AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM r),
+k AS (SELECT r, doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
 f AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-g AS (SELECT k.doc_id, k.i, k.line, f.key IS NOT NULL AND k.doc_id <> f.last_doc AS gone FROM k LEFT JOIN f USING (key))
-"""
-
-OP6_SQL = f"""
-WITH {_LINES.format(docs="documents")}
+g AS (SELECT k.r, k.doc_id, k.i, k.line, f.key IS NOT NULL AND k.doc_id <> f.last_doc AS gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM g GROUP BY doc_id
+FROM g GROUP BY r, doc_id
 """
