@@ -14,17 +14,21 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm import shared
+
 #: Other ASCII bytes separate words; A-Z become a-z; bytes of non-ASCII characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _NORMAL_TABLE = np.frombuffer(NORMAL, dtype=np.uint8)
 
-#: Bytes of item text in one automaton. A larger benchmark becomes several, loaded one at a time.
-BLOCK_BYTES = 4 << 20
+#: Bytes of item text that one automaton may hold. Up to that size the items are broadcast; a larger benchmark
+#: is cut into blocks, kept in files that executors read, and every block is one more scan of the texts.
+BLOCK_BYTES = 2 << 20
 
-_built: dict[tuple[str, int], tuple] = {}
+_built: dict[tuple[str, int], object] = {}
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -48,18 +52,16 @@ def build_automaton(items: list[tuple[str, bytes]], window: int):
     return automaton if holders else None
 
 
-def _blocks(spark, items: DataFrame, window: int) -> list:
-    """Broadcasts of at most BLOCK_BYTES of item text each: the items are cut by the running
-    sum of their sizes, and one block at a time passes the driver."""
-    keyed = items.select(F.col("item").cast("string").alias("item"), "text").where("item is not null and text is not null")
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // (BLOCK_BYTES // 2)))
-    token, out = uuid.uuid4().hex, []
-    for i in range(n):
-        part = keyed if n == 1 else keyed.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        rows = [(r.item, b" ".join(normal_words(r.text))) for r in part.collect()]
-        out.append((token, i, spark.sparkContext.broadcast(rows)))
-    return out
+def _item_rows(items: DataFrame) -> DataFrame:
+    """(item, normal) of the items that have words: the id as text and the words joined by spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            normal = [b" ".join(normal_words(x)).decode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(normal, pa.string())], names=["item", "normal"])
+
+    keyed = items.select(F.col("item").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
+    return keyed.mapInArrow(run, "item string, normal string").where("normal <> ''")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
@@ -74,70 +76,123 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     (start, end) code point offsets into the original text, one for each run of hit words.
     """
     spark = docs.sparkSession
-    blocks = _blocks(spark, items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")), window)
+    shared.bound_batches(spark)
+    rows = _item_rows(items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text")))
     added = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<struct<start:long,end:long>>"
     names = {x.split()[0] for x in added.split(", ") if " " in x}
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     schema = f"{_ddl(kept)}, {added}"
-    return kept.mapInArrow(_Scan(blocks, text, window), schema)
+    total = rows.agg(F.sum(F.octet_length("normal"))).first()[0] or 0
+    token = uuid.uuid4().hex
+    if total <= BLOCK_BYTES:
+        held = spark.sparkContext.broadcast([(r.item, r.normal.encode("utf-8", "surrogatepass")) for r in rows.collect()])
+        return kept.mapInArrow(_Answer(text, _Automaton((token, 0), held, None, window)), schema)
+    n = -(-2 * total // BLOCK_BYTES)
+    blocks = shared.saved(rows.withColumn("block", F.pmod(F.xxhash64("item", "normal"), F.lit(n)).cast("int")).repartitionById(n, "block").sortWithinPartitions("block"), "items")
+    body = F.col(f"`{text}`").cast("string")
+    texts = kept.select(F.xxhash64(body).alias("text_hash"), F.md5(body).alias("text_sum"), body.alias("text")).where("text is not null")
+    found = None
+    for k in range(n):
+        scan = texts.mapInArrow(_Find(_Automaton((token, k), None, (blocks.saved_path, k), window)), "text_hash long, text_sum string, found array<struct<first:int,last:int,items:array<string>>>")
+        found = scan if found is None else found.unionByName(scan)
+    found = found.distinct().groupBy("text_hash", "text_sum").agg(F.flatten(F.collect_list("found")).alias("found"))
+    both = kept.alias("d").join(found.alias("f"), (F.xxhash64(F.col(f"d.`{text}`").cast("string")) == F.col("f.text_hash")) & (F.md5(F.col(f"d.`{text}`").cast("string")) == F.col("f.text_sum")), "left")
+    return both.select(*[F.col(f"d.`{c}`") for c in kept.columns], F.col("f.found").alias("__found")).mapInArrow(_Answer(text, None), schema)
 
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-class _Scan:
-    def __init__(self, blocks: list, text: str, window: int) -> None:
-        self.blocks, self.text, self.window = blocks, text, window
+class _Automaton:
+    """The automaton of one block of items, built once in a worker; a worker holds one at a time."""
+
+    def __init__(self, key: tuple[str, int], held, files: tuple[str, int] | None, window: int) -> None:
+        self.key, self.held, self.files, self.window = key, held, files, window
+
+    def items(self) -> list[tuple[str, bytes]]:
+        if self.held is not None:
+            return self.held.value
+        path, block = self.files
+        fs, root = shared.filesystem(path)
+        table = ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=["item", "normal"], filter=ds.field("block") == block)
+        return [(i, x.encode("utf-8", "surrogatepass")) for i, x in zip(table["item"].to_pylist(), table["normal"].to_pylist(), strict=True)]
+
+    def get(self):
+        if self.key not in _built:
+            _built.clear()
+            _built[self.key] = build_automaton(self.items(), self.window)
+        return _built[self.key]
+
+
+def _matches(automaton, raw: bytes) -> tuple[int, list[tuple[int, int, tuple]]]:
+    """Words of a text and its matches: first word, word after the last, item ids."""
+    words = raw.translate(NORMAL).split()
+    if automaton is None or not words:
+        return len(words), []
+    normal = b" " + b" ".join(words) + b" "
+    found = list(automaton.iter(normal.decode("latin-1")))
+    if not found:
+        return len(words), []
+    gaps = np.flatnonzero(np.frombuffer(normal, dtype=np.uint8) == 32)
+    last = np.searchsorted(gaps, [end for end, _ in found])  # words before the closing space
+    return len(words), [(int(e) - size, int(e), ids) for e, (_, (size, ids)) in zip(last, found, strict=True)]
+
+
+class _Find:
+    """Matches of one block in the texts that have any."""
+
+    def __init__(self, source: _Automaton) -> None:
+        self.source = source
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = self.source.get()
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("items", pa.list_(pa.string()))]))
+        for batch in batches:
+            found = [_matches(automaton, x.as_py() or b"")[1] for x in batch.column(2).cast(pa.large_binary())]
+            spots = [i for i, x in enumerate(found) if x]
+            rows = [[{"first": a, "last": b, "items": sorted(ids)} for a, b, ids in found[i]] for i in spots]
+            take = pa.array(spots, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(rows, kind)], names=["text_hash", "text_sum", "found"])
+
+
+class _Answer:
+    """The added columns, from an automaton or from the matches in the last column."""
 
-    def automaton(self, k: int):
-        token, i, rows = self.blocks[k]
-        if (token, i) not in _built:
-            _built.clear()  # one is held at a time
-            _built[token, i] = build_automaton(rows.value, self.window)
-        return _built[token, i]
+    def __init__(self, text: str, source: _Automaton | None) -> None:
+        self.text, self.source = text, source
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = self.source.get() if self.source is not None else None
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                yield self.scan(whole.slice(at, 2048))
+                yield self.answer(whole.slice(at, 2048), automaton)
 
-    def scan(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def answer(self, batch: pa.RecordBatch, automaton) -> pa.RecordBatch:
         texts = batch.column(batch.schema.get_field_index(self.text)).cast(pa.large_binary())
-        raws = [(x.as_py() or b"") for x in texts]
-        found: list[tuple[list, set]] = [([], set()) for _ in raws]
-        n_words = [0] * len(raws)
-        for k in range(len(self.blocks)):
-            automaton = self.automaton(k)
-            for row, raw in enumerate(raws):
-                words = raw.translate(NORMAL).split()
-                n_words[row] = len(words)
-                if automaton is None or not words:
-                    continue
-                normal = b" " + b" ".join(words) + b" "
-                matches = list(automaton.iter(normal.decode("latin-1")))
-                if matches:
-                    gaps = np.flatnonzero(np.frombuffer(normal, dtype=np.uint8) == 32)
-                    last = np.searchsorted(gaps, [end for end, _ in matches])  # words before the closing space
-                    found[row][0].extend((int(e) - size, int(e)) for e, (_, (size, _)) in zip(last, matches, strict=True))
-                    for _, (_, ids) in matches:
-                        found[row][1].update(ids)
-        hit, runs = [], []
-        for raw, n, (ranges, _) in zip(raws, n_words, found, strict=True):
-            covered = _merge(ranges)
+        kept = batch if self.source is not None else batch.select(range(batch.num_columns - 1))
+        ready = None if self.source is not None else batch.column(batch.num_columns - 1).to_pylist()
+        n_words, hit, runs, ids = [], [], [], []
+        for row, x in enumerate(texts):
+            raw = x.as_py() or b""
+            n, found = _matches(automaton, raw)
+            if ready is not None:
+                found = [(m["first"], m["last"], m["items"]) for m in ready[row] or ()]
+            covered = _merge([(a, b) for a, b, _ in found])
+            n_words.append(n)
             hit.append(sum(b - a for a, b in covered))
             runs.append(_offsets(raw, covered))
-        ids = [",".join(sorted(x)).encode() for _, x in found]
+            ids.append(sorted({i for _, _, own in found for i in own}))
         columns = [
             pa.array(n_words, pa.int64()),
             pa.array(hit, pa.int64()),
-            pa.array([len(x) for _, x in found], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]),
             pa.array([h > 0 for h in hit]),
             pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ]
         names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"]
-        return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+        return pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*kept.schema.names, *names])
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
