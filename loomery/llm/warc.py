@@ -36,7 +36,7 @@ def write_warc(pages: DataFrame, out: str, *, page_id: str = "page_id", url: str
 
     Payload is html in UTF-8 (null: empty). Of equal payloads of at least min_revisit_bytes
     the one with the smallest page_id is a response, the others are revisits of it; of
-    repeated rows with that page_id the first one is. Rows with a null page_id sort last and
+    repeated rows with that page_id one is, and the others are revisits of their own page. Rows with a null page_id sort last and
     are responses always. A null url becomes urn:page:<id>; line breaks in one are escaped.
     An empty table gives an empty manifest. Other columns of pages are not read.
     """
@@ -217,9 +217,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
-), f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
-  CASE WHEN f.first_id IS NULL OR f.first_id = p.page_id OR p.payload_bytes < 100 THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN f.first_id <> p.page_id AND p.payload_bytes >= 100 THEN f.first_id END AS refers_to
-FROM p LEFT JOIN f USING (payload_digest)
+), f AS (
+  SELECT *, page_id IS NOT NULL AND payload_bytes >= 100 AS alike,
+    row_number() OVER (PARTITION BY payload_digest, page_id IS NULL ORDER BY page_id) AS place, min(page_id) OVER (PARTITION BY payload_digest) AS first_id
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN alike AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN alike AND place > 1 THEN first_id END AS refers_to
+FROM f
 """
