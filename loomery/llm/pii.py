@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,22 +23,28 @@ from pyspark.sql import functions as F
 
 from loomery.llm import shared
 
-#: The key of a production run comes from the caller; this one serves the registered query.
-DEFAULT_KEY = b"surrogate-key"
+#: Where a session may name the key of the registered query; without it every run draws its own.
+KEY_SETTING = "spark.loomery.pii.key"
 MAX_ROUNDS = 64
 
 #: First names by script and gender.
 FIRST_NAMES = {
-    "latin_f": "Anna Maria Laura Julia Sarah Emma Sophie Lena Katharina Claudia Isabelle Camille Chloé Hélène Lucía Carmen Elena Pilar Emily Olivia Grace Alice Ruth Helen Susan Margaret Ingrid Greta".split(),
-    "latin_m": "Peter Thomas Michael Martin Stefan Jürgen Klaus Hans Pierre Jean Luc François Étienne Carlos José Miguel Javier Pablo John James Robert William David Richard Henry George Paul Otto".split(),
-    "cyrillic_f": "Анна Мария Ольга Елена Наталья Ирина Татьяна Светлана".split(),
-    "cyrillic_m": "Иван Сергей Дмитрий Алексей Николай Владимир Михаил Андрей".split(),
+    "latin_f": "Anna Maria Laura Julia Sarah Emma Sophie Lena Katharina Claudia Isabelle Camille Chloé Hélène Lucía Carmen Elena Pilar Emily Olivia Grace Alice Ruth Helen Susan Margaret Ingrid Greta Rachel Jessica Jennifer Linda Karen Nancy Lisa Amy Rebecca Monika Petra Sabine Birgit Heike Marie Nathalie Sylvie Valérie Isabel Teresa Rosa Ana".split(),
+    "latin_m": "Peter Thomas Michael Martin Stefan Jürgen Klaus Hans Pierre Jean Luc François Étienne Carlos José Miguel Javier Pablo John James Robert William David Richard Henry George Paul Otto Daniel Matthew Andrew Joseph Kevin Brian Steven Jack Andreas Wolfgang Dieter Uwe Nicolas Philippe Laurent Antoine Antonio Manuel Francisco Juan Luis Diego".split(),
+    "cyrillic_f": "Анна Мария Ольга Елена Наталья Ирина Татьяна Светлана Екатерина Юлия Людмила Галина".split(),
+    "cyrillic_m": "Иван Сергей Дмитрий Алексей Николай Владимир Михаил Андрей Александр Павел Виктор Юрий".split(),
+    "greek_f": "Μαρία Ελένη Κατερίνα Σοφία".split(),
+    "greek_m": "Γιώργος Νίκος Δημήτρης Κώστας".split(),
 }
 _GENDER_OF = {name: kind for kind, names in FIRST_NAMES.items() for name in names}
 _TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f"}
-_SYLLABLES = {"latin": ("ba", "den", "fi", "gor", "hal", "ken", "lo", "mar", "nes", "rin", "sel", "tor", "vi", "wen"), "cyrillic": ("бо", "вел", "гри", "дан", "зор", "ков", "лин", "мар", "нов", "рас", "тев", "шин")}
+#: Phrases after which a name stands, whatever it is.
+CUES = ["my name is", "mein name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "με λένε", "dear", "name:", "nom:", "nombre:", "имя:", "signed", "regards,", "sincerely,", "grüßen,", "cordialement,", "atentamente,"]
+_CUES = rf"(?i:(?<!\w)(?:{'|'.join(CUES)}),?)"
+_SYLLABLES = {"greek": ("βα", "δεν", "γο", "κα", "λι", "μαρ", "νο", "πε", "ρα", "σιν", "τα", "φο"), "latin": ("ba", "den", "fi", "gor", "hal", "ken", "lo", "mar", "nes", "rin", "sel", "tor", "vi", "wen"), "cyrillic": ("бо", "вел", "гри", "дан", "зор", "ков", "лин", "мар", "нов", "рас", "тев", "шин")}
 
-_CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'-]+"
+_CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-Ώ][a-zß-öø-ÿа-яёα-ωά-ώ'-]+"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in order of precedence; group 1 is the entity.
 PATTERNS = [
@@ -45,24 +54,42 @@ PATTERNS = [
     ("hex_secret", re.compile(r"(?<![0-9A-Za-z])([0-9a-f]{40})(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![\d.-])([3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|[25]\d{15})(?![\d-])")),
     ("phone", re.compile(r"(?<![\d+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4})(?!\d)")),
+    ("phone", re.compile(r"(?<![\w.+-])(\d{3}([ .-])\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{5,8}|0\d(?:[ .]\d{2}){4})(?![\w-]|\.\d)")),
+    ("phone", re.compile(r"(?i:\b(?:phone|call|tel|fax|mobile|telefon|téléphone|teléfono|тел)\b[.: ]{0,3})(\(?\d{2,5}\)?(?:[ ./-]?\d{2,4}){2,5})(?![\w-]|\.\d)")),
     ("ssn", re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
+    ("ip6", re.compile(rf"(?<![\w:.])((?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:|::(?:{_HEX}:){{1,6}}{_HEX})(?![\w:]|\.\d)")),
     ("ip", re.compile(rf"(?<![\d.])({_OCTET}(?:\.{_OCTET}){{3}})(?!\d|\.\d)")),
 ]
 _NAME = re.compile(rf"(?<!\w)(?:({'|'.join(_TITLES)})\.? )?({_CAPITAL})(?: ({_CAPITAL}))?")
+_INTRODUCED = re.compile(rf"{_CUES}\s{{1,3}}({_CAPITAL})(?: ({_CAPITAL}))?")
 _DIGIT = re.compile(r"\d")
 
 
+def _is_real(kind: str, value: str) -> bool:
+    """Whether a match is what its form says: enough digits in a telephone number, a valid address."""
+    if kind == "phone":
+        return 7 <= sum(c.isdigit() for c in value) <= 15
+    if kind == "ip6":
+        try:
+            return bool(ipaddress.IPv6Address(value)) and any(c.isdigit() for c in value)
+        except ValueError:
+            return False
+    return True
+
+
 def find_entities(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in order, without overlaps."""
     found: list[tuple[str, int, int]] = []
-    at, digits = "@" in text, _DIGIT.search(text) is not None
+    at, digits, colons = "@" in text, _DIGIT.search(text) is not None, text.count(":")
     for kind, pattern in PATTERNS:
-        if at if kind == "email" else digits or kind == "secret":
-            found.extend((kind, m.start(1), m.end(1)) for m in pattern.finditer(text))
+        if at if kind == "email" else colons > 1 if kind == "ip6" else digits or kind == "secret":
+            found.extend((kind, m.start(1), m.end(1)) for m in pattern.finditer(text) if _is_real(kind, m[1]))
     taken: list[tuple[str, int, int]] = []
     last = -1
-    order = {kind: i for i, (kind, _) in enumerate(PATTERNS)}
+    order: dict[str, int] = {}
+    for i, (kind, _) in enumerate(PATTERNS):
+        order.setdefault(kind, i)
     for kind, a, b in sorted(found, key=lambda x: (x[1], order[x[0]], -x[2])):
         if a >= last:
             taken.append((kind, a, b))
@@ -71,20 +98,34 @@ def find_entities(text: str) -> list[tuple[str, int, int]]:
     return sorted([*taken, *names], key=lambda x: x[1])
 
 
-def _names(text: str) -> Iterator[tuple[str, int, int]]:
+def _names(text: str) -> list[tuple[str, int, int]]:
+    """First names of the lists that a title or surname goes with, surnames after titles, and whatever a phrase introduces."""
+    found: dict[int, tuple[str, int, int]] = {}
     for m in _NAME.finditer(text):
         title, first, last = m.groups()
         kind = _GENDER_OF.get(first)
         if kind and (last or title):
-            yield f"first_{kind}", m.start(2), m.end(2)
+            found[m.start(2)] = (f"first_{kind}", m.start(2), m.end(2))
             if last:
-                yield _surname_kind(last), m.start(3), m.end(3)
+                found[m.start(3)] = (f"surname_{_script(last)}", m.start(3), m.end(3))
         elif title:
-            yield _surname_kind(last or first), *m.span(3 if last else 2)
+            found[m.start(3 if last else 2)] = (f"surname_{_script(last or first)}", *m.span(3 if last else 2))
+    low = text.lower()
+    for m in _INTRODUCED.finditer(text) if any(cue in low for cue in CUES) else ():
+        if m[1] in _TITLES:
+            continue
+        kind = _GENDER_OF.get(m[1])
+        found.setdefault(m.start(1), (f"first_{kind}" if kind else f"given_{_script(m[1])}", m.start(1), m.end(1)))
+        if m[2]:
+            found.setdefault(m.start(2), (f"surname_{_script(m[2])}", m.start(2), m.end(2)))
+    return sorted(found.values(), key=lambda x: x[1])
+
+
+def _script(name: str) -> str:
+    return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "greek" if "Ͱ" <= name[0] <= "Ͽ" else "latin"
 
 
-def _surname_kind(name: str) -> str:
-    return "surname_cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "surname_latin"
+_NAMED = ("first_", "given_", "surname_")
 
 
 def canonical(kind: str, value: str) -> str:
@@ -95,7 +136,9 @@ def canonical(kind: str, value: str) -> str:
         return re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
-    if kind == "email" or kind.startswith(("first_", "surname_")):
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).exploded
+    if kind == "email" or kind.startswith(_NAMED):
         return value.lower()
     return value
 
@@ -156,8 +199,10 @@ def surrogate_core(kind: str, core: str, key: bytes, attempt: int) -> str:
         ring = sorted(FIRST_NAMES[kind[6:]], key=lambda n: hmac.new(key, n.encode(), hashlib.sha256).digest())
         spot = [n.lower() for n in ring].index(core)
         return ring[(spot + 1) % len(ring)].lower()
-    if kind.startswith("surname_"):
-        parts = _SYLLABLES[kind[8:]]
+    if kind == "ip6":
+        return "".join("123456789abcdef"[next(draw) % 15] if c not in ":0" else c for c in core)
+    if kind.startswith(("surname_", "given_")):
+        parts = _SYLLABLES[kind.partition("_")[2]]
         return "".join(parts[next(draw) % len(parts)] for _ in range(2 + attempt // 4 + (len(core) > 6)))
     return _shape(core, draw)
 
@@ -172,7 +217,11 @@ def render(kind: str, value: str, core: str) -> str:
         return "".join(c if c == " " else next(letters) for c in value)
     if kind == "email":
         return core.upper() if value.isupper() else core
-    if kind.startswith(("first_", "surname_")):
+    if kind == "ip6":
+        made = ipaddress.IPv6Address(core)
+        shown = made.compressed if "::" in value else made.exploded if len(value) == 39 else ":".join(f"{int(g, 16):x}" for g in core.split(":"))
+        return shown.upper() if value.isupper() else shown
+    if kind.startswith(_NAMED):
         return core.upper() if len(value) > 1 and value.isupper() else core.capitalize()
     return core
 
@@ -213,26 +262,27 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
 
         return run
 
-    done, waiting = None, originals.select("kind", "canon")
+    done, waiting = [], originals.select("kind", "canon")
     for attempt in range(MAX_ROUNDS):
         drawn = shared.saved(waiting.mapInArrow(candidates(attempt), "kind string, canon string, core string"), "drawn")
         winners = drawn.groupBy("kind", "core").agg(F.min("canon").alias("canon"))
         free = winners.join(originals.where("kind not like 'first\\_%'").select("kind", F.col("canon").alias("core")), ["kind", "core"], "left_anti")
-        if done is not None:
-            free = free.join(done.select("kind", "core"), ["kind", "core"], "left_anti")
-        free = free.select("kind", "canon", "core")
-        done = shared.saved(free if done is None else done.unionByName(free), "surrogates")
-        waiting = shared.saved(drawn.select("kind", "canon").join(done, ["kind", "canon"], "left_anti"), "waiting")
+        for before in done:
+            free = free.join(before.select("kind", "core"), ["kind", "core"], "left_anti")
+        # a round adds a table of its own; what was assigned before is not written again
+        done.append(shared.saved(free.select("kind", "canon", "core"), "surrogates"))
+        waiting = shared.saved(drawn.select("kind", "canon").join(done[-1], ["kind", "canon"], "left_anti"), "waiting")
         if waiting.isEmpty():
-            return done
+            return reduce(DataFrame.unionByName, done)
     raise RuntimeError("no free surrogate was found for some entities")
 
 
-def surrogates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each entity: doc_id, text_hash, kind, start, end, surrogate.
 
     Null and empty texts have no entities; repeated rows get the same surrogates; mentions of
-    one entity in any documents get the same core. The original values are not returned.
+    one entity in any documents get the same core. The original values are not returned. Columns besides
+    the two named ones are not read.
     """
     entities = detect(docs, doc_id=doc_id, text=text)
     cores = assign_surrogates(entities, key)
@@ -264,4 +314,6 @@ def replace_entities(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return surrogates(docs).select("doc_id", "kind", "start", "end", "surrogate")
+    named = spark.conf.get(KEY_SETTING, None)
+    key = named.encode() if named else secrets.token_bytes(32)
+    return surrogates(docs, key).select("doc_id", "kind", "start", "end", "surrogate")
