@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from loomery.llm import bpe, decontamination, fingerprints, line_dedup, near_dedup, paragraph_dedup, pii, similarity, token_files, toxicity, warc
+from loomery.llm import bpe, decontamination, fingerprints, line_dedup, near_dedup, paragraph_dedup, pii, pretokenize, similarity, token_files, toxicity, warc
 from loomery.llm.cuckoo import CuckooFilter
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -279,7 +279,7 @@ def test_pii(spark, empty):
         "Nothing here, version 4.0. in 2024, The End", "", None,
     ]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
-    found = pii.surrogates(docs)
+    found = pii.surrogates(docs, b"key")
     rows = found.dropDuplicates().collect()
     kinds = {i: sorted(r.kind for r in rows if r.doc_id == i) for i in range(6)}
     assert kinds[0] == ["email", "first_latin_f", "phone", "surname_latin", "surname_latin"]
@@ -292,8 +292,8 @@ def test_pii(spark, empty):
     assert pii._luhn(re.sub(r"\D", "", *of(1, "card"))) == 0
     clean = {r.doc_id: r.text for r in pii.replace_entities(docs, found).collect()}
     assert "Schmidt" not in clean[0] and "Петров" not in clean[1] and clean[3] == texts[3] and clean[5] is None
-    assert pii.surrogates(docs, key=b"other").filter("kind = 'ip'").first().surrogate != next(iter(of(1, "ip")))
-    assert pii.surrogates(empty).count() == 0
+    assert pii.surrogates(docs, b"other").filter("kind = 'ip'").first().surrogate != next(iter(of(1, "ip")))
+    assert pii.surrogates(empty, b"key").count() == 0
 
 
 def test_pii_surrogates_stay_distinct(spark):
@@ -383,17 +383,161 @@ def test_token_files_find_added_tokens(spark, tmp_path):
 
 
 def test_toxicity_patterns_vote_alone(spark):
-    patterns = [re.compile(p) for _, p, _ in toxicity.PATTERNS]
-    hasher = toxicity.SpanHasher(seed=23)
-    voters = toxicity.mine([], np.zeros(0, dtype=bool))
-    table = voters.lookup()
-    for text, fired in ((f"{_prose(920, 12)} m0r0n", 2), (f"{_prose(921, 12)} Kill yourself", 3)):
-        (_, (ids,)), = toxicity.each_features(toxicity.pa.array([text]), hasher)
-        votes = voters.votes(ids, text, table, patterns)
-        assert votes[len(voters.terms) + fired] == 1 and votes[-1] == 0
-    for name, shown in (("masked", "st*p1d M0R0N"), ("hate", "SHUT UP"), ("address", "you are such an idiot"), ("doubled", "trash and scum")):
-        assert dict((n, re.search(p, shown.lower())) for n, p, _ in toxicity.PATTERNS)[name] and re.search(toxicity.PATTERN_HINT, shown.lower())
+    names = list(toxicity.EXPRESSIONS)
+    shown = {"masked": "st*p1d M0R0N", "hate": "SHUT UP", "address": "you are such an idiot", "doubled": "trash and scum", "de contempt": "Der Dummkopf", "fr insults": "oh Imbécile"}
+    got = toxicity.expressions_in(toxicity.pa.array([*shown.values(), None, ""]))
+    assert all(got[i, names.index(name)] for i, name in enumerate(shown)) and not got[len(shown) :].any()
     rows = [(i, f"{_prose(1000 + i, 20)} {'m0r0n' if i % 4 == 0 else ''}") for i in range(400)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     got = {r.doc_id: r.predicted for r in toxicity.fit(docs, labels).score(docs).collect()}
     assert all(got[i] for i in range(0, 400, 4)) and sum(got[i] for i in range(400) if i % 4) <= 3
+
+
+LOOK_ALIKES = ["this book is worth reading and we like it", "der Abschluss war gut und die Versammlung auch", "ein Widerspruch, in disguise", "Jeder Versager", "jerky dumbo"]
+
+
+def test_toxicity_lexicons_are_whole_beginnings(spark):
+    assert toxicity.expressions_in(toxicity.pa.array(LOOK_ALIKES)).any(1).tolist() == [False, False, False, True, True]
+    rows = [(i, f"{_prose(2000 + i, 25)} {'worthless and widerlich' if i % 5 == 0 else ''}") for i in range(200)] + [(1000 + i, x) for i, x in enumerate(LOOK_ALIKES[:3])]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.fit(docs, labels).score(docs).collect()}
+    assert not any(got[1000 + i] for i in range(3)) and all(got[i] for i in range(0, 200, 5))
+
+
+def _brute_posterior(model, row, label):
+    odds = []
+    for c in (0, 1):
+        p = model.prior if c else 1 - model.prior
+        for v, fired in enumerate(row):
+            chance = model.fire[c, v, int(model.parent[v] >= 0 and row[model.parent[v]])]
+            p *= chance if fired else 1 - chance
+        if label is not None:
+            p *= 1 - model.error[c] if label == c else model.error[c]
+        odds.append(p)
+    return odds[1] / sum(odds)
+
+
+def test_label_model_equals_a_brute_force_one(spark):
+    rng = np.random.default_rng(4)
+    truth = rng.random(600) < 0.3
+    first = rng.random(600) < np.where(truth, 0.6, 0.05)
+    second = np.where(rng.random(600) < 0.9, first, rng.random(600) < 0.5)  # nearly a copy of the first
+    third = rng.random(600) < np.where(truth, 0.5, 0.1)
+    votes = np.stack((first, second, third), axis=1).astype(np.uint8)
+    labels = [int(t) if i % 3 == 0 else None for i, t in enumerate(truth)]
+    table = spark.createDataFrame([(bytearray(v.tobytes()), y) for v, y in zip(votes, labels, strict=True)], "votes binary, toxic int").repartition(3)
+    got = toxicity.fit_label_model(table, 3)
+    model = toxicity.LabelModel.start(3)
+    for _ in range(toxicity.ROUNDS):
+        p = np.array([_brute_posterior(model, v, y) for v, y in zip(votes, labels, strict=True)])
+        mass, pairs, told = np.zeros(2), np.zeros((2, 3, 3)), np.zeros((2, 2))
+        for v, y, q in zip(votes, labels, p, strict=True):
+            for c, w in ((0, 1 - q), (1, q)):
+                mass[c] += w
+                pairs[c] += w * np.outer(v, v)
+                if y is not None:
+                    told[c, y] += w
+        model = toxicity.LabelModel.estimate(mass, pairs, told)
+    assert got.parent.tolist() == model.parent.tolist() == [-1, 0, -1]
+    assert np.allclose(got.fire, model.fire) and np.isclose(got.prior, model.prior) and np.allclose(got.error, model.error)
+    p = got.posterior(votes, np.array([np.nan if y is None else y for y in labels]))
+    assert np.allclose(p, [_brute_posterior(got, v, y) for v, y in zip(votes, labels, strict=True)])
+    alone = np.full(1, np.nan)
+    both, one = (got.posterior(np.array([v], dtype=np.uint8), alone)[0] for v in ((1, 1, 0), (1, 0, 0)))
+    assert 0.5 < both < 0.95 and one > 0.2  # two voters that copy each other count little more than one
+
+
+def test_bpe_knows_every_code_point_as_the_library_does():
+    import tiktoken
+
+    library = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([b]): b for b in range(256)} | {b"'s": 256}, special_tokens={})
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 1 << 15):
+        text = "".join(f"{chr(c)}'s7{chr(c)} " for c in points[lo : lo + (1 << 15)])
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        starts = pretokenize.token_starts(raw, np.array([0, len(raw)]))
+        ids = library.encode_ordinary(text)
+        at = np.cumsum([0, *(2 if i == 256 else 1 for i in ids)])
+        # where the library begins a contraction, a token begins, and the two letters of others are apart
+        begin = np.zeros(len(raw) + 1, dtype=bool)
+        begin[starts] = True
+        quotes = at[:-1][np.array(ids) == 256]
+        assert begin[quotes].all() and begin[quotes + 2].all()
+        plain = np.flatnonzero((raw[:-1] == ord("'")) & (raw[1:] == ord("s")))
+        assert set(plain) - set(quotes) == {p for p in plain if not (begin[p] and begin[p + 2])}
+
+
+def test_decontamination_in_blocks(docs, texts, spark, monkeypatch):
+    items = spark.createDataFrame([(str(i), texts[60 + i][40 : 300 + 7 * i]) for i in range(9)] + [("9", "One"), ("x", "Two words"), (None, "a b c")], "item_id string, text string")
+    want = {r.doc_id: r for r in decontamination.decontaminate(docs, items).collect()}
+    assert sum(r.contaminated for r in want.values()) > 8
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 400)
+    got = {r.doc_id: r for r in decontamination.decontaminate(docs.unionByName(docs.filter("doc_id = 60")), items).collect()}
+    assert got == want
+
+
+def test_line_dedup_beyond_the_broadcast(docs, texts, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(line_dedup, "ROWS_A_TASK", 3)
+    got = line_dedup.dedup_lines(docs, line_dedup.LineIndex.build(docs))
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in got.collect()} == _line_brute(dict(enumerate(texts)))
+
+
+def test_line_dedup_fills_a_filter_anew(spark):
+    lines = lambda n: "\n".join(f"{_prose(3000 + i, 12)} a long line of its own" for i in range(n))
+    schema = "doc_id long, text string"
+    one, five = spark.createDataFrame([(0, lines(1))], schema), [(i, lines(400)) for i in range(1, 7)]
+    index = line_dedup.LineIndex.build(one, shards=1).insert(spark.createDataFrame(five, schema))
+    both = one.unionByName(spark.createDataFrame(five, schema))
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup_lines(both, index).collect()}
+    assert got == _line_brute({0: lines(1), **dict(five)})
+
+
+def test_queries_with_repeated_rows_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    line = "This long line of a licence stands in many documents of the table."
+    docs = [(1, f"{line}\nx")] * 5 + [(2, line)] + [(10 + i, f"{line}{'!' * (i % 2)}\n{i}") for i in range(12)] + [(15, None), (16, "")]
+    pages = [(1, "u", "y" * 120)] * 3 + [(0, "u", "z" * 120), (5, "u", "y" * 120), (6, "u", "short"), (6, "u", "short"), (7, None, None), (7, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    for query, sql in ((warc.op1_warc, warc.OP1_SQL), (line_dedup.op6_line_dedup, line_dedup.OP6_SQL)):
+        want = con.execute(sql)
+        columns = [c[0] for c in want.description]
+        assert sorted(map(tuple, query(spark, str(tmp_path)).select(*columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("call 415-555-0100 or 415.555.0101", [("phone", "415-555-0100"), ("phone", "415.555.0101")]),
+        ("Berlin 030 12345678, Tel. 911 123 4567", [("phone", "030 12345678"), ("phone", "911 123 4567")]),
+        ("hosts 2001:db8::8a2e:370:7334 and fe80::1 and 2001:0db8:0000:0000:0000:8a2e:0370:7334", [("ip6", "2001:db8::8a2e:370:7334"), ("ip6", "fe80::1"), ("ip6", "2001:0db8:0000:0000:0000:8a2e:0370:7334")]),
+        ("Rachel Green met us. My name is Zebulon Quist. Με λένε Μαρία Παππά", [("first_latin_f", "Rachel"), ("surname_latin", "Green"), ("given_latin", "Zebulon"), ("surname_latin", "Quist"), ("first_greek_f", "Μαρία"), ("surname_greek", "Παππά")]),
+        ("std::vector<int> a::b, 12:30:45, 1.2.3-4, ISBN 978-3-16-148410-0, 2024-01-02, 10 000 000 items, New York and The End", []),
+    ],
+)
+def test_pii_forms_and_look_alikes(text, found):
+    assert [(k, text[a:b]) for k, a, b in pii.find_entities(text)] == found
+    for kind, value in found:
+        core = pii.surrogate_core(kind, pii.canonical(kind, value), b"k", 0)
+        shown = pii.render(kind, value, core)
+        assert shown != value and [k for k, *_ in pii.find_entities(f"phone {shown}" if kind == "phone" else f"Mr. {shown}" if kind == "surname_latin" else shown)] == ([kind] if kind in ("phone", "ip6", "surname_latin") else [])
+
+
+def test_pii_against_brute_force_replacement(spark):
+    texts = ["Mr. Quist wrote to anna.lee@mail.org; QUIST", "Frau Quist, ANNA.LEE@MAIL.ORG", "anna.lee@mail.org and 10.1.2.3", "", None]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)] + [(0, texts[0], "x", "y")], "doc_id long, text string, kind string, start string")
+    found = pii.surrogates(docs, b"k")
+    cores = {(r.kind, r.canon): r.core for r in pii.assign_surrogates(pii.detect(docs), b"k").collect()}
+    want = []
+    for t in texts:
+        out, at = "", 0
+        for kind, a, b in pii.find_entities(t or ""):
+            out, at = out + t[at:a] + pii.render(kind, t[a:b], cores[kind, pii.canonical(kind, t[a:b])]), b
+        want.append(None if t is None else out + t[at:])
+    rows = pii.replace_entities(docs, found).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [want[0], *want] and all(r.kind == "x" and r.start == "y" for r in rows)
