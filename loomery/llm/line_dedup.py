@@ -185,7 +185,9 @@ class LineIndex:
         frequent = self.refs.where(F.col("refs") >= self.min_docs).select("h1", "h2", "last_doc")
         hits = shared.saved(self.probable().join(frequent, ["h1", "h2"]).select("h1", "h2", "doc_id", "text_hash", "last_doc"), "line-hits")
         held_by = hits.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("docs"))
-        lost = hits.join(held_by.where(F.col("docs") >= self.min_docs), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+        # saved, so that the join meets a table and can split a hot line
+        found = shared.saved(held_by.where(F.col("docs") >= self.min_docs).select("h1", "h2"), "line-frequent")
+        lost = hits.join(found, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         return lost.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
 
 

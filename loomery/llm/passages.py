@@ -3,7 +3,8 @@
 Every run of 51 words holds 27 windows of 25 words; the one of the smallest hash is its
 anchor, and equal runs have equal anchors. So anchors that occur once rule out nearly all
 runs, and only the runs of repeated anchors are compared whole, at every offset. No passage
-is missed, whatever line breaks and other words are around it.
+is missed, whatever line breaks and other words are around it. Equal texts are compared once,
+and what repeats within a text is found there; only what is left is shuffled by its hash.
 """
 
 from __future__ import annotations
@@ -81,35 +82,67 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _points(runs: Runs) -> np.ndarray:
+    """Code points before every byte."""
+    return np.concatenate(([0], np.cumsum((runs.raw & 0xC0) != 0x80, dtype=np.int64)))
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct anchors of every text and how often each is in it; a row without anchor has the words of
+    a text of at least RUN, and where the first begins and the last ends."""
     hasher = SpanHasher(seed=31)
     for batch in batches:
-        for lo, runs in _slices(batch.column(1), hasher):
+        for lo, runs in _slices(batch.column(2), hasher):
             at = runs.anchors()
-            row = lo + np.searchsorted(runs.cuts, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), _long(runs.grams[at])], names=["text_hash", "anchor"])
+            row = np.searchsorted(runs.cuts, at, side="right") - 1
+            order = np.lexsort((runs.grams[at], row))
+            row, gram = row[order], runs.grams[at][order]
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]))) if len(row) else np.zeros(0, dtype=np.int64)
+            times = np.diff(np.append(new, len(row)))
+            whole = np.flatnonzero(np.diff(runs.cuts) >= RUN)
+            points = _points(runs)
+            first, last = runs.begin[runs.cuts[whole]], runs.stop[runs.cuts[whole + 1] - 1]
+            base = points[runs.offsets[whole]]
+            take = pa.array(lo + np.concatenate((row[new], whole)))
+            n, m = len(new), len(whole)
+            pad = lambda x, left: pa.array(np.concatenate((np.zeros(left, dtype=np.int64), x)), mask=np.arange(left + len(x)) < left)
+            anchor = pa.array(np.concatenate((gram[new].view(np.int64), np.zeros(m, dtype=np.int64))), mask=np.arange(n + m) >= n)
+            words = pa.array(np.concatenate((times, np.diff(runs.cuts)[whole])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), anchor, words, pad(points[first] - base, n), pad(points[last] - base, n)], names=["doc_id", "text_hash", "anchor", "times", "start", "end"])
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of known anchors: at (word), last, start and end (code points), and either h1 and h2, for the first
+    of its kind in the text, with again if others follow, or own: the word at which the first begins.
+    Runs that follow each other and repeat the same stretch are one row, up to the last."""
     hasher = SpanHasher(seed=31)
-    names = ["doc_id", "text_hash", "at", "start", "end", "h1", "h2"]
+    names = ["doc_id", "text_hash", "at", "last", "start", "end", "h1", "h2", "again", "own"]
     for batch in batches:
         for lo, runs in _slices(batch.column(2), hasher):
-            picked = []
+            one, two = (runs.spans(RUN, 2), runs.spans(RUN, 3)) if len(runs.low) else (runs.low, runs.low)
+            points = _points(runs)
             for i in range(len(runs.cuts) - 1):
                 a, b = int(runs.cuts[i]), int(runs.cuts[i + 1]) - RUN + 1
-                if b > a:
-                    known = np.array(batch.column(3)[lo + i].values, dtype=np.int64).view(np.uint64)
-                    picked.append(a + np.flatnonzero(np.isin(runs.low[a:b], known)))
-            at = np.concatenate(picked) if picked else np.zeros(0, dtype=np.int64)
-            if not len(at):
-                continue
-            row = np.searchsorted(runs.cuts, at, side="right") - 1
-            points = np.concatenate(([0], np.cumsum((runs.raw & 0xC0) != 0x80, dtype=np.int64)))
-            base = points[runs.offsets[row]]
-            take = pa.array(lo + row)
-            start, end = points[runs.begin[at]] - base, points[runs.stop[at + RUN - 1]] - base
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at - runs.cuts[row]), pa.array(start), pa.array(end), _long(runs.spans(RUN, 2)[at]), _long(runs.spans(RUN, 3)[at])], names=names)
+                if b <= a:
+                    continue
+                known = np.array(batch.column(3)[lo + i].values, dtype=np.int64).view(np.uint64)
+                at = a + np.flatnonzero(np.isin(runs.low[a:b], known))
+                if not len(at):
+                    continue
+                _, first, kind, count = np.unique(one[at], return_index=True, return_inverse=True, return_counts=True)
+                leads = first[kind]
+                new = leads == np.arange(len(at))
+                ref = at[leads]
+                # a row begins at every first run, and where what repeats does not go on nearby
+                starts = new | np.append(True, new[:-1] | (np.diff(at) != 1) | (np.abs(np.diff(ref)) > RUN))
+                head = np.flatnonzero(starts)
+                tail = np.append(head[1:], len(at)) - 1
+                fresh = new[head]
+                base = points[runs.offsets[i]]
+                take = pa.array(np.full(len(head), lo + i))
+                columns = [pa.array(at[head] - a), pa.array(at[tail] - a), pa.array(points[runs.begin[at[head]]] - base), pa.array(points[runs.stop[at[tail] + RUN - 1]] - base)]
+                hashes = [pa.array(h[at[head]].view(np.int64), mask=~fresh) for h in (one, two)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns, *hashes, pa.array((count[kind] > 1)[head], mask=~fresh), pa.array(ref[head] - a, mask=fresh)], names=names)
 
 
 def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,33 +152,59 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     Words are those of the near-duplicate operators and may lie on several lines. A run's first
     place by (doc_id, text_hash, position) is kept, the others are removed; spans of kept runs and
     of removed ones are rows of their own. What is removed is kept at an earlier place, also
-    within a document. Repeated rows are alike and share their spans.
+    within a document. Documents of equal text are one span each, from the first word to the last;
+    only the one with the smallest doc_id is kept, and its passages are compared with other texts.
+    Rows repeated with their doc_id are alike and one row here; null doc_ids come first.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
+    shared.bound_batches(spark)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).where(F.length("text") >= 2 * RUN - 1)
-    anchors = shared.saved(rows.select("text_hash", "text").mapInArrow(_anchor_rows, "text_hash long, anchor long"), "anchors")
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    known = anchors.join(repeated, "anchor").groupBy("text_hash").agg(F.collect_set("anchor").alias("known"))
-    held = rows.join(known, "text_hash").select("doc_id", "text_hash", "text", "known")
-    runs = shared.saved(held.mapInArrow(_run_rows, f"doc_id {kind}, text_hash long, at long, start long, end long, h1 long, h2 long"), "runs")
+    found = shared.saved(rows.mapInArrow(_anchor_rows, f"doc_id {kind}, text_hash long, anchor long, times long, start long, end long"), "anchors")
+    whole = found.where("anchor is null").select("doc_id", "text_hash", "start", "end")
+    firsts = whole.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id")).alias("f")).select("text_hash", F.col("f.doc_id").alias("doc_id"))
+    firsts = shared.saved(firsts, "texts")
+    anchors = found.where("anchor is not null").select("text_hash", "anchor", "times")
+    # of equal texts, the anchors count once
+    ends = anchors.groupBy("anchor").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.max("times").alias("times"))
+    repeated = shared.saved(ends.where("lo <> hi or times > 1").select("anchor"), "repeated-anchors")
+    known = anchors.join(repeated, "anchor").groupBy("text_hash").agg(F.collect_set("anchor").alias("known")).join(firsts, "text_hash")
+    known = shared.saved(known.select(F.col("text_hash").alias("kh"), F.col("doc_id").alias("kd"), "known"), "known")
+    shared.release(spark, repeated)
+    held = rows.join(known, (F.col("text_hash") == F.col("kh")) & F.col("doc_id").eqNullSafe(F.col("kd"))).select("doc_id", "text_hash", "text", "known")
+    runs = shared.saved(held.mapInArrow(_run_rows, f"doc_id {kind}, text_hash long, at long, last long, start long, end long, h1 long, h2 long, again boolean, own long"), "runs")
+    shared.release(spark, known)
     place = F.struct("doc_id", "text_hash", "at")
-    firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = runs.join(firsts, ["h1", "h2"]).select("doc_id", "text_hash", "at", "start", "end", "first", (~place.eqNullSafe(F.col("first"))).alias("removed"))
+    fresh = runs.where("own is null").select("doc_id", "text_hash", "at", "start", "end", "h1", "h2", "again")
+    leads = fresh.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("other"), F.max("again").alias("again"))
+    leads = shared.saved(leads.where("again or not (first <=> other)").select("h1", "h2", "first"), "first-runs")
+    shared.release(spark)
+    far = fresh.join(leads, ["h1", "h2"]).select("doc_id", "text_hash", "at", F.col("at").alias("last"), "start", "end", "first", (~place.eqNullSafe(F.col("first"))).alias("removed"))
+    near = runs.where("own is not null").select("doc_id", "text_hash", "at", "last", "start", "end", F.struct("doc_id", "text_hash", F.col("own").alias("at")).alias("first"), F.lit(True).alias("removed"))
 
     # runs of one removal that follow each other, word by word, in their text and at the first place
     order = Window.partitionBy("doc_id", "text_hash", "removed").orderBy("at")
     same = [F.col("first.doc_id").eqNullSafe(F.lag("first.doc_id").over(order)), F.col("first.text_hash") == F.lag("first.text_hash").over(order)]
-    steady = same[0] & same[1] & (F.col("first.at") - F.col("at") == F.lag(F.col("first.at") - F.col("at")).over(order)) & (F.col("at") - F.lag("at").over(order) <= 1)
-    numbered = found.withColumn("new", F.when(steady, 0).otherwise(1)).withColumn("chain", F.sum("new").over(order))
-    chains = numbered.groupBy("doc_id", "text_hash", "removed", "chain").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
+    steady = same[0] & same[1] & (F.col("first.at") - F.col("at") == F.lag(F.col("first.at") - F.col("at")).over(order)) & (F.col("at") - F.lag("last").over(order) <= 1)
+    numbered = far.unionByName(near).withColumn("new", F.when(steady, 0).otherwise(1)).withColumn("chain", F.sum("new").over(order))
+    chains = numbered.groupBy("doc_id", "text_hash", "removed", "chain").agg(F.min("at").alias("at"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
     joined = F.when(F.col("at") <= F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)) + RUN, 0).otherwise(1)
     chains = shared.saved(chains.withColumn("new", joined).withColumn("span", F.sum("new").over(order)).drop("new"), "chains")
+    shared.release(spark, runs, leads)
     spans = chains.groupBy("doc_id", "text_hash", "removed", "span").agg(F.min("at").alias("at"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"))
     spans = shared.saved(spans.withColumn("sid", F.monotonically_increasing_id()), "spans")
     keys = ["doc_id", "text_hash", "removed", "span"]
     later = chains.where("removed").alias("c").join(spans.alias("s"), F.expr(" and ".join(f"c.{k} <=> s.{k}" for k in keys))).select(F.col("s.sid").alias("a"), F.col("c.first").alias("place"))
     heads = spans.where("not removed").select(F.col("sid").alias("b"), F.struct("doc_id", "text_hash").alias("own"), F.col("at").alias("lo"), F.col("last").alias("hi"))
-    edges = later.join(heads, F.expr("place.doc_id <=> own.doc_id and place.text_hash = own.text_hash and place.at between lo and hi")).select("a", "b").distinct()
-    linked = spans.join(components(edges).withColumnRenamed("key", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    # a first place within a text may itself be removed; then the two spans of that text are tied
+    edges = later.join(heads, F.expr("place.doc_id <=> own.doc_id and place.text_hash = own.text_hash and place.at between lo and hi")).select("a", "b")
+    inner = spans.where("removed").select(F.col("sid").alias("b"), F.struct("doc_id", "text_hash").alias("own"), F.col("at").alias("lo"), F.col("last").alias("hi"))
+    ties = later.join(inner, F.expr("place.doc_id <=> own.doc_id and place.text_hash = own.text_hash and place.at between lo and hi")).select("a", "b")
+    links = components(edges.unionByName(ties.where("a <> b")).distinct())
+    linked = spans.join(links.withColumnRenamed("key", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     lead = linked.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("head"))
-    return linked.join(lead, "component").select("doc_id", "text_hash", "start", "end", F.col("head.doc_id").alias("cluster_doc_id"), F.col("head.start").alias("cluster_start"), "removed")
+    parts = linked.join(lead, "component").select("doc_id", "text_hash", "start", "end", F.col("head.doc_id").alias("cluster_doc_id"), F.col("head.start").alias("cluster_start"), "removed")
+
+    copied = whole.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("lo"), F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("hi")).where("not (lo <=> hi)").select("text_hash", F.col("lo.doc_id").alias("cluster_doc_id"))
+    copies = whole.distinct().join(copied, "text_hash")
+    texts = copies.select("doc_id", "text_hash", "start", "end", "cluster_doc_id", F.col("start").alias("cluster_start"), (~F.col("doc_id").eqNullSafe(F.col("cluster_doc_id"))).alias("removed"))
+    return parts.unionByName(texts)

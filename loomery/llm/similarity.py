@@ -30,7 +30,7 @@ STAR_ROUNDS = 2
 #: Buckets up to this size are joined with themselves; the members of larger ones are compared block by block.
 SMALL_BUCKET = 32
 #: Members and bytes of text of a block; a task holds two of them.
-BLOCK, BLOCK_BYTES = 4096, 4 << 20
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 _CHUNK = 1 << 15
 
 

@@ -541,3 +541,31 @@ def test_pii_against_brute_force_replacement(spark):
         want.append(None if t is None else out + t[at:])
     rows = pii.replace_entities(docs, found).orderBy("doc_id").collect()
     assert [r.text for r in rows] == [want[0], *want] and all(r.kind == "x" and r.start == "y" for r in rows)
+
+
+def test_passages_cover_what_brute_force_removes(spark):
+    rng = random.Random(8)
+    shared_parts = [_prose(4000 + i, rng.randint(40, 90)) for i in range(6)]
+    texts = []
+    for i in range(24):
+        parts = [_prose(4100 + i, rng.randint(5, 60))]
+        for _ in range(rng.randint(0, 3)):
+            parts += [rng.choice(shared_parts), _prose(4200 + 10 * i + len(parts), rng.randint(3, 40))]
+        texts.append(rng.choice([" ", "\n"]).join(parts))
+    top = max(range(24), key=lambda i: len(texts[i]))
+    texts += [texts[top], texts[top], texts[5], f"{_prose(4500, 30)} " + "Shti " * 150 + _prose(4501, 20), f"{'ab cd ef ' * 40}\n{texts[7]}", "Shti " * 90]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = paragraph_dedup.repeated_passages(spark.createDataFrame([*rows, rows[top]], "doc_id long, text string").repartition(4))
+    got = {}
+    for r in found.where("removed").collect():
+        got.setdefault(r.doc_id, set()).update(m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[r.doc_id]) if r.start <= m.start() < r.end)
+    first, want = {}, {}
+    for i, t in rows:
+        words = [(m.start(), m.end(), m.group().encode().translate(LOWER)) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        for k in range(len(words) - 50):
+            run = tuple(w for _, _, w in words[k : k + 51])
+            if first.setdefault(run, (i, k)) != (i, k):
+                want.setdefault(i, set()).update(w[0] for w in words[k : k + 51])
+    assert got == want and len(want) > 12
+    heads = {r.doc_id: (r.cluster_doc_id, r.removed) for r in found.where("doc_id in (24, 25)").collect()}
+    assert heads == {24: (top, True), 25: (top, True)}
