@@ -195,8 +195,10 @@ class NearComponents:
         """(key, component) of the classes that are linked with another one."""
         reps = self.units.select(F.col("uid").alias("key"), "buckets").join(self.classes.select(F.col("cid").alias("key")), "key", "left_semi")
         rows = reps.select(F.explode("buckets").alias("bucket"), "key")
-        shared_buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("lead")).where("size > 1")
-        buckets = shared.saved(rows.join(shared_buckets, "bucket"), "buckets")
+        # sums of a bucket are saved before they are joined, so that the join can split a hot bucket
+        leads = shared.saved(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("lead")).where("size > 1"), "leads")
+        buckets = shared.saved(rows.join(leads, "bucket"), "buckets")
+        shared.release(self.spark, leads)
         # the only shuffle of whole texts: those that some other class shares a bucket with
         texts = self.units.select(F.col("uid").alias("key"), "n", "sketch", "unit_text")
         self.held = shared.saved(texts.join(buckets.select("key").distinct(), "key"), "candidates", compression="zstd")
@@ -205,13 +207,13 @@ class NearComponents:
         tried = self.verify(stars.select(F.col("lead").alias("a"), F.col("key").alias("b")))
         for _ in range(STAR_ROUNDS - 1):
             open_rows = self.unsettled(buckets, tried)
-            leads = open_rows.groupBy("bucket").agg(F.min(F.struct("component", "key")).alias("lead"))
+            leads = shared.saved(open_rows.groupBy("bucket").agg(F.min(F.struct("component", "key")).alias("lead")), "leads")
             pairs = open_rows.join(leads, "bucket").where("component <> lead.component").select(F.col("lead.key").alias("x"), "key")
             pairs = pairs.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
             one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
             more = self.verify(one)
             both = shared.saved(tried.unionByName(more), "tried")
-            shared.release(self.spark, tried, more, open_rows)
+            shared.release(self.spark, tried, more, open_rows, leads)
             tried = both
         open_rows = self.unsettled(buckets, tried)
         rest = self.verify(self.small_pairs(open_rows).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
@@ -226,7 +228,10 @@ class NearComponents:
         found = components(tried.where("linked").select("a", "b"))
         rows = buckets.select("bucket", "key").join(found, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
         mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        return shared.saved(rows.join(mixed.select("bucket", "size"), "bucket"), "unsettled")
+        mixed = shared.saved(mixed.select("bucket", "size"), "mixed")
+        out = shared.saved(rows.join(mixed, "bucket"), "unsettled")
+        shared.release(self.spark, mixed)
+        return out
 
     def small_pairs(self, rows: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) of keys that share a small bucket and are in different components."""
