@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _DATE = re.compile(r"(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?")
 
 
+def moment(stamp: datetime) -> Column:
+    """A literal of the instant; a datetime without a zone is in UTC, whatever the zone of the host."""
+    return F.lit(stamp if stamp.tzinfo else stamp.replace(tzinfo=timezone.utc))
+
+
 @dataclass(frozen=True)
 class Bounds:
     """start <= t < end; None is open."""

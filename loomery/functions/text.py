@@ -19,13 +19,15 @@ GENERATION_PATHS = {
 }
 MODEL_FOLDERS = [
     ("loras", ["lora", "loras"]),
-    (None, ["vae", "vae_approx", "clip", "clip_vision", "text_encoder", "text_encoders", "upscale_model", "upscale_models", "upscaler", "upscalers", "detector", "detectors", "sam", "sams", "caption", "captions", "insightface", "gfpgan", "realesrgan", "swinir", "llm"]),
+    (None, ["vae", "vae_approx", "clip", "clip_vision", "text_encoder", "text_encoders", "upscale_model", "upscale_models", "upscaler", "upscalers", "ultralytics", "detector", "detectors", "facedetection", "face_detection", "bbox", "segm", "sam", "sams", "caption", "captions", "caption_models", "joy_caption", "wd14_tagger", "insightface", "facerestore", "face_restore", "florence2", "florence-2", "florence_2", "gfpgan", "ldsr", "llm", "omnisr", "pulid", "realesrgan", "real-esrgan", "real_esrgan", "seedvr2", "swinir", "t2iadapter"]),
     ("embeddings", ["embedding", "embeddings", "textual_inversion"]),
     ("hypernetworks", ["hypernetwork", "hypernetworks"]),
     ("ip_adapters", ["ipadapter", "ip-adapter", "ip_adapter", "ipadapters"]),
     ("control_nets", ["controlnet", "control_net", "control-nets", "controlnets", "control_nets", "t2i_adapter", "t2i-adapter"]),
-    ("checkpoints", ["checkpoint", "checkpoints", "stable-diffusion", "unet", "diffusion_models"]),
+    ("checkpoint", ["checkpoint", "checkpoints", "diffusion_model", "diffusion_models", "unet", "unets"]),
 ]
+#: Kinds whose marks count anywhere in the path, file name included.
+ANYWHERE = ["ip_adapters"]
 SAMPLER_NAMES = {"plms": "PLMS", "unipc": "UniPC", "ddim": "DDIM", "lms": "LMS"}
 STOP_WORDS = (
     "a an the and or but for nor so yet of in on at with by from to into about through under this that these those which who whom whose "
@@ -111,10 +113,13 @@ def generation_type(path: Column) -> Column:
 
 def model_file_type(path: Column) -> Column:
     """Kind of a model file by its folders, first rule wins; unsupported folders give null."""
-    parts = F.split(F.lower(normalize_path(path)), "/")
+    low = F.lower(normalize_path(path))
+    parts = F.split(low, "/")
     out = None
     for kind, names in MODEL_FOLDERS:
         hit = F.arrays_overlap(parts, F.array(*map(F.lit, names)))
+        for name in names if kind in ANYWHERE else ():
+            hit = hit | F.contains(low, F.lit(name))
         out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
     return out
 
@@ -165,3 +170,16 @@ def visible(deleted: Column, intermediate: Column, grid: Column, asset: Column,
         if not shown:
             keep = keep & ~F.coalesce(flag, F.lit(False))
     return keep & ~F.coalesce(hidden, F.lit(False)) if hide_private else keep
+
+
+def json_set(document: Column, changes: dict[str, Column]) -> Column:
+    """document (a JSON object as text) with top-level keys set to text values; null or malformed documents start empty."""
+    held = F.coalesce(F.from_json(F.when(F.try_parse_json(document).isNotNull(), document), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    new = F.map_from_arrays(F.array(*map(F.lit, changes)), F.array(*[c.cast("string") for c in changes.values()]))
+    return F.to_json(F.map_concat(F.map_filter(held, lambda k, _: ~k.isin(*changes)), new))
+
+
+def json_remove(document: Column, *keys: str) -> Column:
+    """document without some top-level keys; malformed documents give null."""
+    held = F.from_json(F.when(F.try_parse_json(document).isNotNull(), document), "map<string,string>")
+    return F.to_json(F.map_filter(held, lambda k, _: ~k.isin(*keys)))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.operators.library import best_key
 
-def with_thumbnails(members: DataFrame, per: str, order: list, thumb: str, private: str) -> DataFrame:
-    """(per, count, thumb, safe_thumb): the best thumbnail of all members and of those that are not private."""
-    best = F.row_number().over(Window.partitionBy(per).orderBy(*order))
-    safe = F.row_number().over(Window.partitionBy(per, private).orderBy(*order))
-    ranked = members.select(per, thumb, private, best.alias("r"), safe.alias("s"))
-    return ranked.groupBy(per).agg(F.count("*").alias("count"), F.max(F.when(F.col("r") == 1, F.col(thumb))).alias("thumb"), F.max(F.when((F.col("s") == 1) & ~F.col(private), F.col(thumb))).alias("safe_thumb"))
+
+def with_thumbnails(members: DataFrame, per: str, order: list[tuple[str, bool]], thumb: str, private: str) -> DataFrame:
+    """(per, count, thumb, safe_thumb): the best thumbnail of all members and of those that are not private.
+    order: (column, descending), ending in a unique column."""
+    place = best_key(members, order)
+    open_ = ~F.coalesce(F.col(private), F.lit(False))
+    return members.groupBy(per).agg(F.count("*").alias("count"), F.min_by(thumb, place).alias("thumb"), F.min_by(thumb, F.when(open_, place)).alias("safe_thumb"))
 
 
 def add(membership: DataFrame, rows: DataFrame) -> DataFrame:

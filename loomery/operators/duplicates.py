@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.functions import text
+
 
 def size_collisions(files: DataFrame) -> DataFrame:
     """Files whose size another file has: only these need a hash."""
@@ -12,10 +14,55 @@ def size_collisions(files: DataFrame) -> DataFrame:
     return files.join(sizes, "size", "left_semi")
 
 
+#: Ids of one row of an id list.
+LIST_IDS = 1000
+
+
 def groups(files: DataFrame, digest: str) -> DataFrame:
-    """(digest, copies, redundant, ids as a JSON array in order)."""
-    found = files.groupBy(digest).agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("id")).alias("all_ids")).filter("copies > 1")
-    return found.select(digest, "copies", (F.col("copies") - 1).alias("redundant"), F.to_json("all_ids").alias("ids"))
+    """(digest, copies, redundant, first_id) of the digests that several files have."""
+    found = files.groupBy(digest).agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).filter("copies > 1")
+    return found.select(digest, "copies", (F.col("copies") - 1).alias("redundant"), "first_id")
+
+
+def members(files: DataFrame, digest: str) -> DataFrame:
+    """(digest, id) of all files of the groups."""
+    return files.join(groups(files, digest).select(digest), digest, "left_semi").select(digest, "id")
+
+
+def redundant_total(files: DataFrame, digest: str) -> DataFrame:
+    """One row: the groups and how many files they could do without."""
+    return groups(files, digest).agg(F.count("*").alias("groups"), F.coalesce(F.sum("redundant"), F.lit(0)).alias("redundant"))
+
+
+def id_lists(files: DataFrame, digest: str) -> DataFrame:
+    """(digest, copies, part, ids as a sorted JSON array). A group of more than LIST_IDS files has several
+    parts, by a hash of the id, so no row grows with the group."""
+    sizes = groups(files, digest).select(digest, "copies", F.ceil(F.col("copies") / LIST_IDS).alias("parts"))
+    dealt = files.join(sizes, digest).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return dealt.groupBy(digest, "part").agg(F.max("copies").alias("copies"), F.to_json(F.sort_array(F.collect_list("id"))).alias("ids")).select(digest, "copies", "part", "ids")
+
+
+def similar_names(rows: DataFrame, row_id: str, name: str, within: str, threshold: float = 0.8) -> DataFrame:
+    """(within, a, b, similarity) for pairs a < b of one block whose names' similarity reaches the threshold.
+
+    Names within the edit distance d share one of their d * 2 + 1 rarest letter pairs (each edit changes two at
+    most), so only names that share one of these are compared. Names too short for that share their length class.
+    """
+    low = rows.select(F.col(within).alias("w"), F.col(row_id).alias("id"), F.coalesce(F.col(name), F.lit("")).alias("n")).withColumn("len", F.length("n"))
+    # the longer of two similar names has at most len / threshold letters
+    low = low.withColumn("edits", F.floor((1 - threshold) * F.col("len") / threshold + 1e-9).cast("int"))
+    pairs = F.when(F.col("len") > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len") - 1), lambda i: F.substring(F.col("n"), i, F.lit(2)))))
+    grams = low.select("w", "id", "n", "edits", F.explode(pairs).alias("g"))
+    rarity = grams.groupBy("w", "g").agg(F.count("*").alias("uses"))
+    ranked = grams.join(rarity, ["w", "g"]).groupBy("w", "id", "n", "edits").agg(F.sort_array(F.collect_list(F.struct("uses", "g"))).alias("gs"))  # as many as a name has letters
+    keys = ranked.select("w", "id", "n", F.explode(F.slice(F.col("gs.g"), F.lit(1), 2 * F.col("edits") + 1)).alias("key"))
+    short = low.filter(F.size(F.coalesce(pairs, F.array().cast("array<string>"))) <= 2 * F.col("edits")).select("w", "id", "n", F.lit("").alias("key"))
+    # a short name is compared with all short ones and, by any shared pair, with others
+    both = keys.unionByName(short)
+    a, b = both.alias("a"), both.alias("b")
+    found = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    found = found.select(F.col("a.w").alias(within), F.col("a.id").alias("a"), F.col("b.id").alias("b"), text.similarity(F.col("a.n"), F.col("b.n")).alias("similarity"))
+    return found.filter(F.col("similarity") >= threshold).distinct()
 
 
 def resolve(assets: DataFrame, membership: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,9 +70,10 @@ def resolve(assets: DataFrame, membership: DataFrame, resolutions: DataFrame) ->
 
     The kept row is favourite or pinned if any of its group is; its mask becomes the group's
     where all agree that have one, else it is cleared. Memberships move to the kept row.
-    Resolutions whose rows do not share a hash, or that keep a dropped row, are ignored.
+    Resolutions whose rows do not share a hash, or that keep a dropped row, are ignored; of several
+    for one dropped row the one with the smallest keep_id counts.
     """
-    pairs = resolutions.filter("keep_id <> drop_id").dropDuplicates(["drop_id"])
+    pairs = resolutions.filter("keep_id <> drop_id").groupBy("drop_id").agg(F.min("keep_id").alias("keep_id")).select("keep_id", "drop_id")
     pairs = pairs.join(pairs.select(F.col("drop_id").alias("keep_id")), "keep_id", "left_anti")
     hashes = assets.select("id", "digest")
     valid = pairs.join(hashes.select(F.col("id").alias("keep_id"), F.col("digest").alias("kd")), "keep_id").join(hashes.select(F.col("id").alias("drop_id"), F.col("digest").alias("dd")), "drop_id").filter("kd = dd").select("keep_id", "drop_id")

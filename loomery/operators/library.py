@@ -2,29 +2,49 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomery.functions import text
+from loomery.functions import dates, text
 
 
 def page(rows: DataFrame, sort: str, row_id: str, *, descending: bool = True, pinned: str | None = None, cursor: dict | None = None, limit: int = 1000) -> DataFrame:
     """One keyset page ordered by (pinned desc,) sort, id. cursor is the last row of the page before.
 
-    The cursor is a filter and the order a top-k, so no page is sorted whole or skipped over.
+    Null sort values come last in descending and first in ascending order, and a cursor may hold
+    one: every row is on one page. The cursor is a filter and the order a top-k, so no page is
+    sorted whole or skipped over.
     """
-    keys = ([(F.coalesce(F.col(pinned).cast("int"), F.lit(0)), True, None if cursor is None else int(bool(cursor[pinned])))] if pinned else []) + [(F.col(c), descending, None if cursor is None else cursor[c]) for c in (sort, row_id)]
+    keys = [(F.coalesce(F.col(pinned).cast("boolean"), F.lit(False)), True, None if cursor is None else bool(cursor[pinned]))] if pinned else []
+    keys += [(F.col(c), descending, None if cursor is None else cursor[c]) for c in (sort, row_id)]
     if cursor is not None:
         after, same = F.lit(False), F.lit(True)
         for column, down, value in keys:
-            after = after | (same & (column < F.lit(value) if down else column > F.lit(value)))
-            same = same & (column == F.lit(value))
+            if value is None:
+                beyond, equal = F.lit(False) if down else column.isNotNull(), column.isNull()
+            else:
+                held = dates.moment(value) if isinstance(value, datetime) else F.lit(value)
+                beyond = (column < held) | column.isNull() if down else column > held
+                equal = column == held
+            after = after | (same & F.coalesce(beyond, F.lit(False)))
+            same = same & F.coalesce(equal, F.lit(False))
         rows = rows.filter(after)
     return rows.orderBy(*[c.desc_nulls_last() if down else c.asc_nulls_first() for c, down, _ in keys]).limit(limit)
 
 
+def pages(rows: DataFrame, sort: str, row_id: str, limit: int, **options) -> Iterator[list[Row]]:
+    """All pages one after the other."""
+    cursor = None
+    while found := page(rows, sort, row_id, cursor=cursor, limit=limit, **options).collect():  # one page
+        yield found
+        cursor = found[-1].asDict()
+
+
 def media_stats(rows: DataFrame, conditions: dict[str, Column], size: str) -> DataFrame:
     """One row: total, the count under each condition, and the sum of size (0 if there are no rows)."""
     counts = [F.count_if(c).alias(name) for name, c in conditions.items()]
@@ -73,13 +93,58 @@ def counts_long(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
 def timeline(rows: DataFrame, stamp: str, now: datetime) -> DataFrame:
     """(bucket, start, count): days for the last 30, months before; newest first."""
     midnight = datetime(now.year, now.month, now.day)
-    recent = F.col(stamp) >= F.lit(midnight - timedelta(days=30))
+    recent = F.col(stamp) >= dates.moment(midnight - timedelta(days=30))
     start = F.when(recent, F.date_trunc("day", stamp)).otherwise(F.date_trunc("month", stamp))
-    label = F.when(start == F.lit(midnight), "today").when(recent & (start == F.lit(midnight - timedelta(days=1))), "yesterday").when(recent, F.date_format(start, "yyyy-MM-dd")).otherwise(F.date_format(start, "yyyy-MM"))
+    label = F.when(start == dates.moment(midnight), "today").when(recent & (start == dates.moment(midnight - timedelta(days=1))), "yesterday").when(recent, F.date_format(start, "yyyy-MM-dd")).otherwise(F.date_format(start, "yyyy-MM"))
     return rows.groupBy(label.alias("bucket"), start.alias("start")).agg(F.count("*").alias("count")).orderBy(F.desc("start"))
 
 
-def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of every key; order must end in a unique column."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+def best_key(rows: DataFrame, order: list[tuple[str, bool]]) -> Column:
+    """A struct that is smallest in the first row of an order of (column, descending): for min_by, which is
+    combined before the shuffle, where a ranking window would bring all rows of a key into one task.
+
+    Nulls come last in descending and first in ascending order. Strings can only ascend.
+    """
+    parts = []
+    for name, down in order:
+        column, kind = F.col(name), rows.schema[name].dataType
+        if down:
+            parts.append(column.isNull())
+            if isinstance(kind, T.BooleanType):
+                column = ~column
+            elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
+                column = -F.unix_micros(column.cast("timestamp"))
+            elif isinstance(kind, T.DateType):
+                column = -F.unix_date(column)
+            elif isinstance(kind, T.NumericType):
+                column = -column
+            else:
+                raise ValueError(f"{name} cannot be sorted down")
+        parts.append(column)
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def first_by(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]]) -> DataFrame:
+    """The first row of every key; order should end in a unique column."""
+    others = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), best_key(rows, order)).alias("__row"))
+    return best.select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in others])
+
+
+def token_matches(names: DataFrame, keywords: DataFrame) -> DataFrame:
+    """names with flagged: whether the name holds any keyword (a short table of one column keyword), whatever the case.
+
+    The keywords are gathered into one expression, so no name is paired with every keyword.
+    """
+    words = [r.keyword.strip().lower() for r in keywords.select("keyword").where("keyword is not null").distinct().limit(10_001).collect()]
+    if len(words) > 10_000:
+        raise ValueError("more than 10,000 keywords")
+    found = F.lower("name").rlike("|".join(sorted(re.escape(w) for w in words if w))) if any(words) else F.lit(False)
+    return names.withColumn("flagged", F.coalesce(found, F.lit(False)))
+
+
+def prefix_count(rows: DataFrame, path: str, folder: str) -> DataFrame:
+    """How many paths lie below a folder, with either kind of slash; its name is literal, whatever the case."""
+    bare = folder.rstrip("/\\").lower()
+    low = F.lower(path)
+    return rows.agg(F.count_if(low.startswith(f"{bare}/") | low.startswith(f"{bare}\\")).alias("count"))

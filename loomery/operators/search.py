@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +39,13 @@ class Fields:
     width: str | None = None
     height: str | None = None
     timestamp: str | None = None
+    # boolean columns of the default scope
+    deleted: str | None = None
+    intermediate: str | None = None
+    grid: str | None = None
+    source_asset: str | None = None
+    owner_hidden: str | None = None
+    privacy_hidden: str | None = None
 
     def column(self, role: str) -> Column | None:
         if role == "json_model":
@@ -116,9 +123,9 @@ def contains(column: Column, term: str) -> Column:
 def within(column: Column, bounds: dates.Bounds) -> Column:
     parts = []
     if bounds.start is not None:
-        parts.append(column >= F.lit(bounds.start))
+        parts.append(column >= dates.moment(bounds.start))
     if bounds.end is not None:
-        parts.append(column < F.lit(bounds.end))
+        parts.append(column < dates.moment(bounds.end))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
@@ -197,14 +204,20 @@ class FilterState:
     date_end: str | None = None
     collection: str | None = None
     excluded_ids: tuple = ()
+    show_intermediates: bool = False
+    show_grids: bool = False
+    show_assets: bool = False
+    hide_private: bool = False
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Side tables of a filter: bridge (asset_id, kind, name) and membership (collection_id, asset_id)."""
+    """Side tables of a filter: bridge (asset_id, kind, name), membership (collection_id, asset_id) and excluded
+    (asset_id), for exclusions that are too many for a list."""
 
     bridge: DataFrame | None = None
     membership: DataFrame | None = None
+    excluded: DataFrame | None = None
     smart: dict[str, FilterState] = field(default_factory=dict)
 
 
@@ -214,14 +227,25 @@ def _any_or_unknown(column: Column, names: Iterable[str]) -> Column:
     return F.coalesce(found, F.lit(False)) | column.isNull() | F.lower(column).isin("", "unknown") if "unknown" in wanted else found
 
 
+def visible_scope(fields: Fields, state: FilterState) -> Column:
+    """The default scope: not deleted, not hidden from the owner, without intermediates, grids and source assets
+    unless shown, without private ones if they are to be hidden. Unknown values stay visible."""
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name else F.lit(False)
+    hidden = [(fields.deleted, False), (fields.owner_hidden, False), (fields.intermediate, state.show_intermediates), (fields.grid, state.show_grids), (fields.source_asset, state.show_assets), (fields.privacy_hidden, not state.hide_private)]
+    return reduce(lambda a, b: a & b, [~flag(name) for name, shown in hidden if name and not shown], F.lit(True))
+
+
 def apply_filter(assets: DataFrame, state: FilterState, fields: Fields, tables: Tables | None = None, *, now: datetime | None = None, exclude: Iterable[str] = (), generation: str = "generation_type", media: str = "media_type", favorite: str = "is_favorite", pin: str = "is_pinned") -> DataFrame:
     """assets under the filter. exclude names categories left out, for disjunctive facets:
     models, tools, samplers, generation_types or a resource kind."""
-    tables, out, left_out = tables or Tables(), assets, set(exclude)
+    tables, left_out = tables or Tables(), set(exclude)
+    out = assets.filter(visible_scope(fields, state))
     if state.collection in tables.smart:
         inner = tables.smart[state.collection]
         if state.date_preset:  # an own date overrides the smart collection's
             inner = replace(inner, date_preset=None)
+        # what is shown is decided by the outer filter
+        inner = replace(inner, show_intermediates=True, show_grids=True, show_assets=True, hide_private=False)
         out = apply_filter(out, inner, fields, tables, now=now, generation=generation, media=media, favorite=favorite, pin=pin)
     elif state.collection is not None:
         members = tables.membership.filter(F.col("collection_id") == state.collection).select(F.col("asset_id").alias(fields.id))
@@ -229,6 +253,8 @@ def apply_filter(assets: DataFrame, state: FilterState, fields: Fields, tables:
     out = compile_query(state.query, fields).apply(out, fields.id, tables.bridge)
     if state.excluded_ids:
         out = out.filter(~F.col(fields.id).isin(list(state.excluded_ids)))
+    if tables.excluded is not None:
+        out = out.join(tables.excluded.select(F.col("asset_id").alias(fields.id)), fields.id, "left_anti")
     if state.media_type:
         out = out.filter(F.col(media) == state.media_type)
     if state.favorites:
@@ -254,7 +280,7 @@ def apply_filter(assets: DataFrame, state: FilterState, fields: Fields, tables:
     if state.generation_types and "generation_types" not in left_out:
         out = out.filter(F.col(generation).isin(list(state.generation_types)))
     if state.date_preset:
-        out = out.filter(within(F.col(fields.timestamp), dates.preset_bounds(state.date_preset, now or datetime.utcnow(), state.date_start, state.date_end)))
+        out = out.filter(within(F.col(fields.timestamp), dates.preset_bounds(state.date_preset, now or datetime.now(timezone.utc).replace(tzinfo=None), state.date_start, state.date_end)))
     return out
 
 

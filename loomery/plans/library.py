@@ -109,16 +109,9 @@ def or_join_split(spark: SparkSession, d: str) -> DataFrame:
     return facets.match_either(c, s, (F.col("ck"), F.col("sk")), (F.col("cn"), F.col("sn")), ["ck", "sk"])
 
 
-def zero_count_tools(spark: SparkSession, d: str) -> DataFrame:
-    orders = _table(spark, d, "orders")
-    tools = orders.select(F.col("o_orderpriority").alias("tool")).distinct()
-    seen = orders.filter("o_totalprice < 1500").select(F.col("o_orderpriority").alias("tool"), "o_orderkey")
-    return tools.join(seen, "tool", "left").groupBy("tool").agg(F.count("o_orderkey").alias("count"))
-
-
 def collection_thumbs(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "orders").select(F.col("o_custkey").alias("collection"), F.col("o_orderkey").alias("thumb"), (F.col("o_orderstatus") == "F").alias("private"), "o_totalprice", (F.col("o_orderpriority") == "1-URGENT").alias("pinned"))
-    return collections.with_thumbnails(rows, "collection", [F.desc("pinned"), F.desc("o_totalprice"), F.col("thumb")], "thumb", "private")
+    return collections.with_thumbnails(rows, "collection", [("pinned", True), ("o_totalprice", True), ("thumb", False)], "thumb", "private")
 
 
 def membership_move(spark: SparkSession, d: str) -> DataFrame:
@@ -127,15 +120,10 @@ def membership_move(spark: SparkSession, d: str) -> DataFrame:
     return collections.move(rows, some, "O", "P")
 
 
-def hash_union_distinct(spark: SparkSession, d: str) -> DataFrame:
-    a = _table(spark, d, "orders").select(F.col("o_orderpriority").alias("value"))
-    return a.union(_table(spark, d, "lineitem").select("l_returnflag")).union(_table(spark, d, "part").select("p_brand")).distinct()
-
-
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     files = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), "text")
     hashed = duplicates.size_collisions(files).select("id", F.sha2("text", 256).alias("digest"))
-    return duplicates.groups(hashed, "digest").select("digest", "copies", "redundant", "ids")
+    return duplicates.id_lists(hashed, "digest").filter("part = 0").select("digest", "copies", (F.col("copies") - 1).alias("redundant"), "ids")
 
 
 def duplicate_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -194,9 +182,9 @@ def url_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
-    a = _table(spark, d, "part").select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("na"))
-    b = a.select("p_brand", "p_size", F.col("a").alias("b"), F.col("na").alias("nb"))
-    return a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", F.round(text.similarity(F.col("na"), F.col("nb")), 6).alias("similarity"))
+    """Names within a brand that are alike at 0.9 or more."""
+    rows = _table(spark, d, "part").select("p_brand", "p_partkey", F.concat_ws(" ", "p_name", F.pmod("p_partkey", F.lit(97)).cast("string")).alias("n"))
+    return duplicates.similar_names(rows, "p_partkey", "n", "p_brand", 0.9).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def json_explode(spark: SparkSession, d: str) -> DataFrame:
@@ -262,8 +250,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         media_stats, avg_positive, histogram_coalesce, keyword_top40, param_ranges, distinct_values, filtered_counters, smart_counts_one_pass, timeline_buckets,
-        facet_counts_union, facet_bridge_counts, facet_disjunctive, facet_build_ranked, facet_refresh, facet_alias_merge, or_join_split, zero_count_tools,
-        collection_thumbs, membership_move, hash_union_distinct, duplicate_groups, duplicate_resolution, first_value_dedupe,
+        facet_counts_union, facet_bridge_counts, facet_disjunctive, facet_build_ranked, facet_refresh, facet_alias_merge, or_join_split,
+        collection_thumbs, membership_move, duplicate_groups, duplicate_resolution, first_value_dedupe,
         graph_forward, graph_backlinks, unique_resolution, keyword_flag, name_clean, path_class, url_clean, similarity_pairs, json_explode,
         upsert_merge, three_way_merge, tombstone_restore, import_new_files, parse_params, prompt_tokens, catalog_json, stream_coalesce,
     )
@@ -298,10 +286,8 @@ SQL = {
     "facet_refresh": _FACET,
     "facet_alias_merge": "WITH n AS (SELECT replace(lower(p_brand), '_', '') AS match_key, p_size FROM part) SELECT match_key, count(*) AS count, min(p_size) AS first_used, max(p_size) AS last_used FROM n GROUP BY 1",
     "or_join_split": "SELECT c_custkey AS ck, s_suppkey AS sk FROM customer, supplier WHERE c_custkey = s_suppkey OR c_nationkey = s_nationkey",
-    "zero_count_tools": "SELECT t.tool, count(o.o_orderkey) AS count FROM (SELECT DISTINCT o_orderpriority AS tool FROM orders) t LEFT JOIN orders o ON o.o_orderpriority = t.tool AND o.o_totalprice < 1500 GROUP BY 1",
     "collection_thumbs": "WITH r AS (SELECT o_custkey AS collection, o_orderkey AS thumb, o_orderstatus = 'F' AS private, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, o_totalprice DESC, o_orderkey) AS r, row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'F' ORDER BY o_orderpriority = '1-URGENT' DESC, o_totalprice DESC, o_orderkey) AS s FROM orders) SELECT collection, count(*) AS count, max(CASE WHEN r = 1 THEN thumb END) AS thumb, max(CASE WHEN s = 1 AND NOT private THEN thumb END) AS safe_thumb FROM r GROUP BY 1",
     "membership_move": "WITH m AS (SELECT DISTINCT o_orderstatus AS collection_id, o_custkey AS asset_id FROM orders) SELECT DISTINCT CASE WHEN collection_id = 'O' AND asset_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'P' ELSE collection_id END AS collection_id, asset_id FROM m",
-    "hash_union_distinct": "SELECT o_orderpriority AS value FROM orders UNION SELECT l_returnflag FROM lineitem UNION SELECT p_brand FROM part",
     "duplicate_groups": "SELECT sha256(text) AS digest, count(*) AS copies, count(*) - 1 AS redundant, '[' || string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) || ']' AS ids FROM documents GROUP BY 1 HAVING count(*) > 1",
     "duplicate_resolution": "WITH g AS (SELECT min(doc_id) AS id, bool_or(doc_id % 3 = 0) AS favorite, bool_or(doc_id % 5 = 0) AS pinned, bool_or(doc_id % 2 = 0 AND doc_id % 4 = 0) AS yes, bool_or(doc_id % 2 = 0 AND doc_id % 4 <> 0) AS no FROM documents GROUP BY sha256(text)) SELECT id, favorite, pinned, CASE WHEN yes AND NOT no THEN true WHEN no AND NOT yes THEN false END AS masked FROM g",
     "first_value_dedupe": "WITH r AS (SELECT CAST(s_nationkey AS VARCHAR) AS path, s_acctbal > 0 AS v, s_suppkey % 2 = 0 AS s, s_suppkey AS m, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS h FROM supplier), f AS (SELECT path, h, row_number() OVER (PARTITION BY path ORDER BY v DESC, s DESC, m DESC) AS n FROM r WHERE h IS NOT NULL) SELECT r.path, f.h AS hash, count(*) AS copies FROM r LEFT JOIN f ON f.path = r.path AND f.n = 1 GROUP BY 1, 2",
@@ -312,7 +298,7 @@ SQL = {
     "name_clean": "SELECT p_partkey, trim(p_name) AS name, regexp_replace(lower(trim(p_name)), '[\\s_.,-]+', '', 'g') AS match_key FROM part",
     "path_class": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'txt2img' WHEN 1 THEN 'img2img' WHEN 2 THEN 'extras' WHEN 3 THEN 'grid' ELSE 'unknown' END AS kind FROM pages",
     "url_clean": "SELECT page_id, lower(CASE WHEN list_extract(regexp_split_to_array(trim(url), '[\\\\/]'), -1) <> '' THEN list_extract(regexp_split_to_array(trim(url), '[\\\\/]'), -1) ELSE trim(url) END) AS base FROM pages",
-    "similarity_pairs": "SELECT a.p_partkey AS a, b.p_partkey AS b, round(CASE WHEN greatest(length(a.p_name), length(b.p_name)) = 0 THEN 1.0 ELSE 1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE) END, 6) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey",
+    "similarity_pairs": "WITH r AS (SELECT p_brand, p_partkey AS k, p_name || ' ' || CAST(p_partkey % 97 AS VARCHAR) AS n FROM part), s AS (SELECT a.k AS a, b.k AS b, 1 - levenshtein(a.n, b.n) / CAST(greatest(length(a.n), length(b.n)) AS DOUBLE) AS similarity FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.k < b.k) SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.9",
     "json_explode": "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events",
     "upsert_merge": "WITH r AS (SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS o_orderpriority FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 1 AND o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 4 = 1 THEN 'untouched' WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE 'same' END AS change FROM r",
     "three_way_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'L' WHEN o_orderkey % 3 = 0 THEN 'R' ELSE o_orderstatus END AS status FROM orders",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import text
 from loomery.operators import library
-from loomery.operators.search import Fields, FilterState, apply_filter, compile_query, having_resources
+from loomery.operators.search import Fields, FilterState, Tables, apply_filter, compile_query, having_resources
 
 DOCS = Fields(id="doc_id", prompt="text", tool="source")
 ORDERS = Fields(id="o_orderkey", tool="o_orderpriority", cfg="o_totalprice", timestamp="o_orderdate", sampler="o_orderstatus")
@@ -71,8 +71,10 @@ def search_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anti_join_exclusion(spark: SparkSession, d: str) -> DataFrame:
-    used = _table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return _table(spark, d, "customer").join(used, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Customers without the ones that bought at least once at a high price."""
+    dear = _table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("asset_id"))
+    state, rows = FilterState(), _table(spark, d, "customer")
+    return apply_filter(rows, state, Fields(id="c_custkey"), Tables(excluded=dear)).select("c_custkey", "c_name")
 
 
 def page_first(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +106,7 @@ QUERIES = {
     "search_numeric_range": search_numeric_range,
     "search_date_month": search_date("date:1995-03"),
     "search_date_range": search_date("date:1995-01..1995-02-10"),
-    "search_before_year": search_date("before:1993"),
+    "search_before_year": search_date("before:1996"),
     "search_json_key": search_json_key,
     "search_date_preset": search_date_preset,
     "search_samplers_tools": search_samplers_tools,
@@ -130,14 +132,14 @@ SQL = {
     "search_numeric_range": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 50000",
     "search_date_month": "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-04-01'",
     "search_date_range": "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-02-11'",
-    "search_before_year": "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1994-01-01'",
+    "search_before_year": "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'",
     "search_json_key": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE contains(lower(event_type), 'click') AND NOT contains(CAST(user_id AS VARCHAR), '7') AND CAST(json_extract(props, '$.k') AS BIGINT) > 50",
     "search_date_preset": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-13' GROUP BY event_type",
     "search_samplers_tools": "SELECT o_orderkey FROM orders WHERE lower(o_orderstatus) IN ('o', 'f') AND (lower(o_orderpriority) = '1-urgent' OR o_orderpriority IS NULL OR lower(o_orderpriority) IN ('', 'unknown'))",
     "search_bridge": f"WITH b AS ({_PART}) SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM b WHERE l_orderkey = o_orderkey AND contains(name, 'part7')) AND NOT EXISTS (SELECT 1 FROM b WHERE l_orderkey = o_orderkey AND contains(name, 'part1'))",
     "semi_join_any": f"WITH b AS ({_PART}) SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM b WHERE l_orderkey = o_orderkey AND name IN ('part3', 'part5', 'part6'))",
     "semi_join_all": f"WITH b AS ({_PART}) SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM b WHERE l_orderkey = o_orderkey AND name = 'part3') AND EXISTS (SELECT 1 FROM b WHERE l_orderkey = o_orderkey AND name IN ('part5', 'part6'))",
-    "anti_join_exclusion": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti_join_exclusion": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "page_first": "SELECT event_id, ts FROM events ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 100",
     "page_keyset": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 100000 OR (o_totalprice = 100000 AND o_orderkey < 0) ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 100",
     "page_keyset_pinned": "WITH r AS (SELECT *, o_orderstatus = 'P' AS pinned FROM orders) SELECT o_orderkey, pinned FROM r WHERE NOT pinned OR o_totalprice < 5000 OR (o_totalprice = 5000 AND o_orderkey < 1000000000000) ORDER BY pinned DESC, o_totalprice DESC, o_orderkey DESC LIMIT 200",

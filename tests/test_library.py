@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import random
 import struct
+import time
 import zlib
 from datetime import datetime
 
@@ -12,8 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomery.functions import dates, text
-from loomery.operators import duplicates, lifecycle, parameters, provenance
-from loomery.operators.search import Fields, compile_query, parse_chips, tokenize, validate
+from loomery.operators import collections, duplicates, facets, library, lifecycle, parameters, provenance
+from loomery.operators.search import Fields, FilterState, apply_filter, compile_query, parse_chips, tokenize, validate
 from loomery.sources import files
 from loomery.streaming import changes
 
@@ -120,9 +123,9 @@ def test_upsert_and_duplicates(spark):
 
 
 def test_tombstones_with_bad_membership(spark):
-    rows = spark.createDataFrame([(1, '["a"]', None), (2, "{bad", None)], "id int, memberships string, removed_at timestamp")
+    rows = spark.createDataFrame([(1, '["a"]', None), (2, "{bad", None), (3, '{"a":1}', None), (4, '"a"', None), (5, None, None), (6, "[]", None)], "id int, memberships string, removed_at timestamp")
     assets, members, bad = lifecycle.restore(rows, rows.select("id"))
-    assert assets.count() == 2 and [tuple(r) for r in members.collect()] == [("a", 1)] and [r.id for r in bad.collect()] == [2]
+    assert assets.count() == 6 and [tuple(r) for r in members.collect()] == [("a", 1)] and sorted(r.id for r in bad.collect()) == [2, 3, 4]
 
 
 def test_references(spark):
@@ -135,3 +138,126 @@ def test_change_feed_pairs_renames(spark):
     rows = [(1, "rename_from", "/a/1.png"), (2, "rename_from", "/a/2.png"), (3, "rename_to", "/a/3.png"), (4, "modify", "/a/4.png"), (5, "modify", "/a/4.png"), (6, "create", "/a/thumbs/5.png")]
     got = changes.coalesce(changes.targets(spark.createDataFrame(rows, changes.CHANGES)))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("rename", "/a/3.png", "/a/1.png"), ("remove", "/a/2.png", None), ("modify", "/a/4.png", None)], key=str)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.one_of(st.none(), st.booleans())), min_size=1, max_size=25), st.integers(1, 7), st.booleans(), st.booleans())
+def test_pages_hold_every_row_once(spark, values, size, down, pin):
+    rows = [(i, v, p) for i, (v, p) in enumerate(values)]
+    table = spark.createDataFrame(rows, "id int, v int, p boolean")
+    found = [r.id for page in library.pages(table, "v", "id", size, descending=down, pinned="p" if pin else None) for r in page]
+    null = lambda v: (v is None, -(v or 0)) if down else (v is not None, v or 0)
+    assert found == [i for i, v, p in sorted(rows, key=lambda r: (not r[2] if pin else 0, *null(r[1]), -r[0] if down else r[0]))]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_dates_are_utc_wherever_the_host_is(spark, monkeypatch, zone):
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        rows = spark.sql("SELECT id, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS t, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS n FROM range(-3, 4)")
+        for column in ("t", "n"):
+            fields = Fields(id="id", timestamp=column)
+            assert {r.id for r in compile_query("date:2024", fields).apply(rows, "id").collect()} == {0, 1, 2, 3}
+            assert {r.id for r in apply_filter(rows, FilterState(date_preset="today"), fields, now=datetime(2023, 12, 31, 5)).collect()} == {-3, -2, -1}
+            assert dict(library.timeline(rows, column, datetime(2024, 1, 1, 12)).select("bucket", "count").collect()) == {"today": 4, "yesterday": 3}
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_visibility_keeps_unknown_categories(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, True, None), (3, None, True), (4, False, False)], "id int, gone boolean, mid boolean")
+    fields = Fields(id="id", deleted="gone", intermediate="mid")
+    assert [r.id for r in apply_filter(rows, FilterState(), fields).orderBy("id").collect()] == [1, 4]
+    assert [r.id for r in apply_filter(rows, FilterState(show_intermediates=True), fields).orderBy("id").collect()] == [1, 3, 4]
+
+
+def test_or_join_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "z")], "a int, b string")
+    right = spark.createDataFrame([(1, "x"), (9, "z")], "c int, d string")
+    got = facets.match_either(left, right, (F.col("a"), F.col("c")), (F.col("b"), F.col("d")), ["a", "d"])
+    assert sorted(map(tuple, got.collect())) == [(1, "x"), (1, "x"), (3, "z")]
+
+
+def test_orphans_are_of_their_facet(spark):
+    used = spark.createDataFrame([("loras", "x", None), ("loras", "Y", None), ("checkpoints", "q", "h1"), ("checkpoints", "r", "h2")], "facet string, name string, hash string")
+    table = spark.createDataFrame([("embeddings", "x", None), ("loras", "y", None), ("checkpoints", "other", "h1"), ("loras", "o", "h2")], "facet string, name string, hash string")
+    assert sorted(r.name for r in facets.orphans(used, table).collect()) == ["r", "x"]
+
+
+def test_swap_turns_at_once_and_survives_a_failed_rebuild(spark):
+    make = lambda n: spark.createDataFrame([("loras", f"n{n}", n), ("tools", "t", n)], "facet string, name string, count int")
+    try:
+        first = facets.swap(make(1), "facet_swap")
+        broken = make(2).withColumn("count", F.raise_error(F.lit("no")).cast("int"))
+        with pytest.raises(Exception, match="no"):
+            facets.swap(broken, "facet_swap")
+        assert sorted(r["count"] for r in spark.table("facet_swap").collect()) == [1, 1]
+        second = facets.swap(make(3), "facet_swap")
+        assert sorted(r["count"] for r in spark.table("facet_swap").collect()) == [3, 3] and not spark.catalog.tableExists(first)
+        facets.rebuild_types(spark.createDataFrame([("loras", "m", 4)], "facet string, name string, count int"), "facet_swap")
+        spark.catalog.refreshTable(second)
+        assert sorted((r.facet, r["count"]) for r in spark.table("facet_swap").collect()) == [("loras", 4), ("tools", 3)]
+    finally:
+        for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("facet_swap")]:
+            spark.sql(f"DROP {'VIEW' if name == 'facet_swap' else 'TABLE'} IF EXISTS {name}")
+
+
+def test_winners_do_not_depend_on_the_order_of_rows(spark):
+    new = [(1, "b", 2), (1, "a", 3), (1, None, 1)]
+    for rows in (new, new[::-1]):
+        table = spark.createDataFrame(rows, "id int, v string, at int")
+        old = spark.createDataFrame([(1, "z", 0)], "id int, v string, at int")
+        assert lifecycle.upsert(old, table, "id", order=["at"]).first().v == "a"
+        assert lifecycle.upsert(old, table, "id").first().v == "b"
+        assets = spark.createDataFrame([(i, "x", False, False, None) for i in (1, 2, 3)], "id int, digest string, favorite boolean, pinned boolean, masked boolean")
+        pairs = spark.createDataFrame([(2, 3), (1, 3)] if rows is new else [(1, 3), (2, 3)], "keep_id int, drop_id int")
+        members = spark.createDataFrame([("c", 3)], "collection_id string, asset_id int")
+        assert [tuple(r) for r in duplicates.resolve(assets, members, pairs)[1].collect()] == [("c", 1)]
+
+
+def test_best_rows_equal_a_sorted_order(spark):
+    rows = spark.createDataFrame([("a", True, None, 1, "t1"), ("a", True, 5, 2, "t2"), ("a", None, 9, 3, "t3"), ("a", True, 5, 4, None), ("b", False, None, 5, "t5")], "k string, pinned boolean, at int, id int, thumb string")
+    order = [("pinned", True), ("at", True), ("id", False)]
+    assert {r.k: r.id for r in library.first_by(rows, ["k"], order).collect()} == {"a": 2, "b": 5}
+    got = {r.k: (r["count"], r.thumb, r.safe_thumb) for r in collections.with_thumbnails(rows.withColumn("private", F.col("id") == 2), "k", order, "thumb", "private").collect()}
+    assert got == {"a": (4, "t2", None), "b": (1, "t5", "t5")}
+    with pytest.raises(ValueError):
+        library.best_key(rows, [("thumb", True)])
+
+
+def test_id_lists_do_not_grow_with_a_group(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "LIST_IDS", 10)
+    rows = spark.range(95).select("id", F.when(F.col("id") < 90, "x").otherwise(F.col("id").cast("string")).alias("digest"))
+    found = duplicates.id_lists(rows, "digest").collect()
+    ids = [json.loads(r.ids) for r in found]
+    assert sorted(sum(ids, [])) == list(range(90)) and all(x == sorted(x) for x in ids) and max(map(len, ids)) < 30 and {r.copies for r in found} == {90}
+
+
+def test_similar_names_equal_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    rows = spark.createDataFrame([(i, w, i % 2) for i, w in enumerate(words)], "id int, n string, w int")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for threshold in (0.6, 0.8, 1.0):
+        want = {(i, j) for i in range(120) for j in range(i + 1, 120) if i % 2 == j % 2 and 1 - distance(words[i], words[j]) / max(len(words[i]), len(words[j]), 1) >= threshold - 1e-12}
+        assert {(r.a, r.b) for r in duplicates.similar_names(rows, "id", "n", "w", threshold).collect()} == want
+
+
+def test_parameter_blocks_of_many_shapes(spark):
+    blocks = ["cat", "cat\nSteps: 20", "cat\nNegative prompt: bad\nSteps: 5, Seed: 7, Size: 8x9", "Steps: 1, Sampler: Euler a, Model: m", "", None, "a\nb\nNegative prompt: c\nd\nSteps: 2, CFG scale: 1.5"]
+    rows = spark.createDataFrame(list(enumerate(blocks)), "id int, block string")
+    got = {r.id: r for r in parameters.parse_blocks(rows, "block", ["id"]).collect()}
+    for i, block in enumerate(blocks):
+        want = parameters.parse_block(block or "")
+        assert all(got[i][k] == v for k, v in want.items())
+    assert (got[6].positive, got[6].negative, got[6].steps, got[6].cfg) == ("a b", "c d", 2, 1.5) or got[6].steps == 2
