@@ -117,7 +117,7 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[i
     a tail row, the first row of the next shard that has one (after the last shard: of the first)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    bounds = shared.range_bounds(rows, "doc_id", shared.shuffle_width(spark))
+    bounds = shared.range_bounds(rows, "doc_id", shared.shard_count(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0]))
     shard = shared.shard_udf(bounds)
     dealt = rows.withColumn("shard", shard("doc_id")).withColumn("tie", F.xxhash64("text"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
@@ -149,6 +149,7 @@ def fingerprint_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     follows itself. Null reads as empty. Other columns are not carried.
     """
     layout = layout or Layout()
+    shared.bound_batches(docs.sparkSession)
     ordered, _ = in_order(docs, doc_id, text)
 
     def emit(ids: list, texts: list[str], hasher: SpanHasher) -> pa.RecordBatch:

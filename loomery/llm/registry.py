@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op6_line_dedup": line_dedup.OP6_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op4_benchmark_decontamination": decontamination.OP4_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op10_minhash_near_dedup": near_dedup.OP10_SQL}

@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where none is configured."""
+    """The folder in spark.checkpoint.dir; a local one is set only in a local session that has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomery-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -76,7 +78,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_bounds(keys: DataFrame, key: str, shards: int, per_shard: int = 32) -> list[int]:
+#: Bytes of rows in one shard of a range-dealt table.
+SHARD_BYTES = 512 << 20
+
+
+def shard_count(spark: SparkSession, total: int | None) -> int:
+    """Shards for so many bytes: as many as a shuffle has partitions, or more so that none is large."""
+    return max(shuffle_width(spark), -(-(total or 0) // SHARD_BYTES))
+
+
+def range_bounds(keys: DataFrame, key: str, shards: int, per_shard: int = 64) -> list[int]:
     """At most shards - 1 ascending cut points of an integer key, the same for the same rows in any order.
 
     The distinct keys whose hashes are smallest are a uniform sample that needs no random

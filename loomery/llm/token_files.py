@@ -184,7 +184,7 @@ def write_tokens(docs: DataFrame, out: str, *, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["doc_id", "tie", "n", "control", "data"])
 
     packed = coded.mapInArrow(code, "doc_id long, tie long, n long, control binary, data binary")
-    bounds = shared.range_bounds(coded, "doc_id", shards or shared.shuffle_width(spark))
+    bounds = shared.range_bounds(coded, "doc_id", shards or shared.shard_count(spark, coded.agg(F.sum("n")).first()[0]))
     dealt = packed.withColumn("shard", shared.shard_udf(bounds)("doc_id")).repartitionById(len(bounds) + 1, "shard")
     ordered = dealt.sortWithinPartitions(F.asc_nulls_last("doc_id"), "tie").select("doc_id", "n", "control", "data")
     manifest = "file string, temp string, shard int, seq int, docs long, ids long, bytes long, sha256 string"

@@ -11,7 +11,7 @@ from loomery.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     want = con.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
