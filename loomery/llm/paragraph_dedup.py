@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.llm import shared
 from loomery.llm.passages import repeated_passages
 from loomery.llm.similarity import NearComponents, Plan, make_units
 
@@ -61,7 +62,10 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     found = search.members(search.run()).where("members > 1").select("h1", "h2", "head")
     place = F.struct("doc_id", "text_hash", "paragraph")
     out = units.join(found, ["h1", "h2"]).withColumn("removed", ~place.eqNullSafe(F.col("head")))
-    return out.select("doc_id", "text_hash", "paragraph", "start", "end", F.col("head.doc_id").alias("cluster_doc_id"), F.col("head.paragraph").alias("cluster_paragraph"), "removed")
+    out = out.select("doc_id", "text_hash", "paragraph", "start", "end", F.col("head.doc_id").alias("cluster_doc_id"), F.col("head.paragraph").alias("cluster_paragraph"), "removed")
+    out = shared.saved(out, "paragraphs")
+    shared.release(docs.sparkSession, units, search.classes)
+    return out
 
 
 def drop_paragraphs(docs: DataFrame, repeats: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

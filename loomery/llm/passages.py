@@ -160,7 +160,7 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     shared.bound_batches(spark)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).where(F.length("text") >= 2 * RUN - 1)
     found = shared.saved(rows.mapInArrow(_anchor_rows, f"doc_id {kind}, text_hash long, anchor long, times long, start long, end long"), "anchors")
-    whole = found.where("anchor is null").select("doc_id", "text_hash", "start", "end")
+    whole = shared.saved(found.where("anchor is null").select("doc_id", "text_hash", "start", "end"), "whole-texts")
     firsts = whole.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id")).alias("f")).select("text_hash", F.col("f.doc_id").alias("doc_id"))
     firsts = shared.saved(firsts, "texts")
     anchors = found.where("anchor is not null").select("text_hash", "anchor", "times")
@@ -169,7 +169,7 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     repeated = shared.saved(ends.where("lo <> hi or times > 1").select("anchor"), "repeated-anchors")
     known = anchors.join(repeated, "anchor").groupBy("text_hash").agg(F.collect_set("anchor").alias("known")).join(firsts, "text_hash")
     known = shared.saved(known.select(F.col("text_hash").alias("kh"), F.col("doc_id").alias("kd"), "known"), "known")
-    shared.release(spark, repeated)
+    shared.release(spark, repeated, found, firsts)
     held = rows.join(known, (F.col("text_hash") == F.col("kh")) & F.col("doc_id").eqNullSafe(F.col("kd"))).select("doc_id", "text_hash", "text", "known")
     runs = shared.saved(held.mapInArrow(_run_rows, f"doc_id {kind}, text_hash long, at long, last long, start long, end long, h1 long, h2 long, again boolean, own long"), "runs")
     shared.release(spark, known)
@@ -179,7 +179,10 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     leads = shared.saved(leads.where("again or not (first <=> other)").select("h1", "h2", "first"), "first-runs")
     shared.release(spark)
     far = fresh.join(leads, ["h1", "h2"]).select("doc_id", "text_hash", "at", F.col("at").alias("last"), "start", "end", "first", (~place.eqNullSafe(F.col("first"))).alias("removed"))
+    far = shared.saved(far, "far-runs")
     near = runs.where("own is not null").select("doc_id", "text_hash", "at", "last", "start", "end", F.struct("doc_id", "text_hash", F.col("own").alias("at")).alias("first"), F.lit(True).alias("removed"))
+    near = shared.saved(near, "near-runs")
+    shared.release(spark, runs, leads)
 
     # runs of one removal that follow each other, word by word, in their text and at the first place
     order = Window.partitionBy("doc_id", "text_hash", "removed").orderBy("at")
@@ -189,7 +192,7 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     chains = numbered.groupBy("doc_id", "text_hash", "removed", "chain").agg(F.min("at").alias("at"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
     joined = F.when(F.col("at") <= F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)) + RUN, 0).otherwise(1)
     chains = shared.saved(chains.withColumn("new", joined).withColumn("span", F.sum("new").over(order)).drop("new"), "chains")
-    shared.release(spark, runs, leads)
+    shared.release(spark, far, near)
     spans = chains.groupBy("doc_id", "text_hash", "removed", "span").agg(F.min("at").alias("at"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"))
     spans = shared.saved(spans.withColumn("sid", F.monotonically_increasing_id()), "spans")
     keys = ["doc_id", "text_hash", "removed", "span"]

@@ -569,3 +569,38 @@ def test_passages_cover_what_brute_force_removes(spark):
     assert got == want and len(want) > 12
     heads = {r.doc_id: (r.cluster_doc_id, r.removed) for r in found.where("doc_id in (24, 25)").collect()}
     assert heads == {24: (top, True), 25: (top, True)}
+
+
+def test_fingerprints_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "g h i", "z"), (2, None, None), (None, "q", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    got = fingerprints.fingerprint_pairs(docs).collect()
+    assert len(got) == 5 and len({r.fingerprint for r in got if r.n_chars == 11}) == 1
+    kept = fingerprints.fingerprint(docs).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t, _ in rows) and not {r.fingerprint for r in kept} & {"x", "y", "z", "w"}
+
+
+def test_toxicity_of_long_texts_and_clashing_columns(spark):
+    long = f"{_prose(5000, 60000)} what an idiot"
+    docs = spark.createDataFrame([(1, long, "s", "p"), (1, long, "s", "p"), (2, "calm", "s", "p"), (3, None, "s", "p")], "doc_id long, text string, score string, predicted string")
+    model = toxicity.fit(docs, spark.createDataFrame([(2, 0)], "doc_id long, toxic int").limit(0))
+    got = model.score(docs).collect()
+    assert sorted((r.doc_id, r.predicted) for r in got) == [(1, 1), (1, 1), (2, 0), (3, 0)] and all(isinstance(r.score, float) for r in got)
+
+
+def test_near_duplicates_of_long_texts_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 1 << 16)
+    monkeypatch.setattr(similarity, "STAR_ROUNDS", 1)
+    base = _prose(5001, 12000)
+    texts = [_edited_by_block(base, i) for i in range(5)] + [_prose(5002, 9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(near_dedup.near_duplicates(docs, plan=near_dedup.CONTRACT).select("doc_id", "component_id").collect())
+    assert got == _components({i: _sets(t, 3) for i, t in enumerate(texts)}, 85)
+
+
+def _edited_by_block(text, seed):
+    words = text.split(" ")
+    at = seed * 700
+    words[at : at + 300 * (seed + 1)] = _prose(6000 + seed, 300 * (seed + 1)).split(" ")
+    return " ".join(words)
