@@ -438,3 +438,33 @@ def metadata_merged(spark: SparkSession, d: str) -> DataFrame:
     primary = rows.select("id", F.when(F.col("id") % 3 == 1, F.col("tool")).alias("tool"), F.array(F.lit("x")).alias("names"))
     secondary = rows.filter("id % 2 = 0 or id % 3 = 2").select("id", F.when(F.col("id") % 3 == 2, F.col("tool")).alias("tool"), F.when(F.col("id") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).alias("names"))
     return lifecycle.merge_metadata(primary, secondary, "id", ["names"]).select("id", "tool", F.array_join("names", "|").alias("names"))
+
+
+@_query("SELECT 'orders' AS \"table\", count(*) AS count FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'region', count(*) FROM region")
+def catalog_counts(spark: SparkSession, d: str) -> DataFrame:
+    return files.table_counts({name: spark.read.parquet(f"{d}/{name}.parquet") for name in ("orders", "part", "region")})
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'audio_lip_sync' WHEN 1 THEN 'image_to_video' ELSE 'unknown' END AS mode, CASE p_partkey % 3 WHEN 0 THEN 'catalog' WHEN 1 THEN 'graph' ELSE 'block' END AS route FROM part")
+def media_routes(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % n + 1).cast("int"))
+    mode = parameters.video_mode(pick(["Depth LipSync", "LoadImage", "plain", ""], 4))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", mode.alias("mode"), parameters.route(pick(["InvokeX", "my comfy", "other"], 3)).alias("route"))
+
+
+@_query("SELECT p_partkey, p_size AS width, p_size * 2 AS height, CAST(p_size * 500 AS BIGINT) AS duration_ms, CASE WHEN p_size % 2 = 0 THEN 25 ELSE 2997 END AS num, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 100 END AS den, 270 AS rotation FROM part")
+def media_probe(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    number = lambda c: c.cast("string")
+    doc = F.concat(F.lit('{"media":{"track":[{"@type":"General","Duration":"'), number(F.col("p_size") / 2), F.lit('"},{"@type":"Video","Width":"'), number(F.col("p_size")), F.lit('","Height":"'), number(F.col("p_size") * 2), F.lit('","FrameRate":"'), F.when(F.col("p_size") % 2 == 0, "25.000").otherwise("29.970"), F.lit('","Rotation":"-90"}]}}'))
+    m = parameters.probe_media(doc)
+    return rows.select("p_partkey", m["width"].alias("width"), m["height"].alias("height"), m["duration_ms"].alias("duration_ms"), m["frame_rate_num"].alias("num"), m["frame_rate_den"].alias("den"), m["rotation"].alias("rotation"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || ' (0.80)' ELSE p_brand END AS shown, CASE WHEN p_partkey % 2 = 0 THEN 'UniPC' ELSE 'Dpm ' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) END AS sampler, starts_with(p_type, 'P') AS inside FROM part")
+def shown_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    weight = F.when(F.col("p_partkey") % 3 == 0, 0.8).when(F.col("p_partkey") % 3 == 1, 1.0)
+    sampler = text.display_sampler(F.when(F.col("p_partkey") % 2 == 0, " UNIPC ").otherwise(F.concat(F.lit("dpm_"), "p_type")))
+    inside = text.path_within(F.concat(F.lit("\\\\?\\C:\\Lib\\"), F.substring("p_type", 1, 1), F.lit("\\a.png")), F.lit("c:/lib/p/"))
+    return rows.select("p_partkey", text.format_reference(F.col("p_brand"), weight).alias("shown"), sampler.alias("sampler"), inside.alias("inside"))

@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from datetime import datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -192,3 +193,19 @@ def snapshot(tables: dict[str, DataFrame], root: str, stamp: datetime) -> str:
 def expired(names: list[str], keep: int) -> list[str]:
     """Snapshot names beyond the newest keep."""
     return sorted((n for n in names if n.startswith("snapshot-")), reverse=True)[keep:]
+
+
+def prune(spark: SparkSession, root: str, keep: int) -> list[str]:
+    """Deletes all but the newest keep snapshots below root; returns the names that went."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = expired([x.getPath().getName() for x in fs.listStatus(path)], keep)
+    for name in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
+    return gone
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, count) of every table of a catalog, in one job."""
+    counts = [df.agg(F.count("*").alias("count")).select(F.lit(name).alias("table"), "count") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)

@@ -261,3 +261,62 @@ def test_parameter_blocks_of_many_shapes(spark):
         want = parameters.parse_block(block or "")
         assert all(got[i][k] == v for k, v in want.items())
     assert (got[6].positive, got[6].negative, got[6].steps, got[6].cfg) == ("a b", "c d", 2, 1.5) or got[6].steps == 2
+
+
+def test_sources(spark, tmp_path):
+    root = tmp_path / "lib"
+    (root / "out" / "txt2img-images" / "day").mkdir(parents=True)
+    (root / ".thumbnails").mkdir()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"tEXt", b"parameters\0Steps: 1") + chunk(b"IEND", b"")
+    (root / "out" / "txt2img-images" / "day" / "a.PNG").write_bytes(png)
+    (root / "b.jpg").write_bytes(b"broken")
+    (root / "c.mp4").write_bytes(b"v")
+    (root / ".thumbnails" / "t.png").write_bytes(png)
+    (root / "c.workflow.json").write_text('{"a":1}')
+    (root / "models" / "Lora").mkdir(parents=True)
+    (root / "models" / "Lora" / "x.safetensors").write_bytes(b"x")
+    (root / "models" / "vae").mkdir()
+    (root / "models" / "vae" / "y.pt").write_bytes(b"y")
+    listing = files.list_media(spark, str(root))
+    name = lambda p: p.rpartition("/")[2]
+    assert {(name(r.path), r.media_type) for r in listing.collect()} == {("a.PNG", "image"), ("b.jpg", "image"), ("c.mp4", "video")}
+    cursor = files.high_water(listing).first().cursor
+    assert files.list_media(spark, str(root), since=datetime(2001, 1, 1)).count() == 3 and cursor.year > 2001
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root)).filter("path like '%.PNG' or path like '%.jpg'")
+    chunks = {name(r.path): (r.chunks, r.error) for r in files.read_chunks(content).collect()}
+    assert chunks == {"a.PNG": ({"parameters": "Steps: 1"}, None), "b.jpg": (None, "not a JPEG file")}
+    assert [tuple(r) for r in files.sidecars(spark, str(root)).collect()] == [("c", '{"a":1}')]
+    everything = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root)).select("path")
+    assert [(r.name, r.type) for r in files.model_inventory(everything).collect()] == [("x", "loras")]
+    assert [r.folder.rpartition("/lib/")[2] for r in files.output_roots(listing.withColumn("path", F.regexp_replace("path", "^.*/lib/", "/lib/"))).collect()] == ["out/txt2img-images/day"]
+    (tmp_path / "cache.json").write_text('{"hashes": {"m/x": {"sha256": "AB", "mtime": 1.5}, "none": {"mtime": 2}}}')
+    assert [tuple(r) for r in files.hash_cache(spark, str(tmp_path / "cache.json")).collect()] == [("m/x", "ab", 1.5)]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.range(5)
+    files.export(rows, f"{tmp_path}/export")
+    manifest = spark.read.json(f"{tmp_path}/export/manifest").first()
+    assert spark.read.parquet(f"{tmp_path}/export/rows").count() == manifest.rows == 5 and json.loads(manifest["columns"]) == ["id"]
+    for day in (1, 2, 3):
+        files.snapshot({"rows": rows}, f"{tmp_path}/backup", datetime(2024, 1, day))
+    assert files.prune(spark, f"{tmp_path}/backup", 2) == ["snapshot-20240101-000000"]
+    assert sorted(p.name for p in (tmp_path / "backup").iterdir()) == ["snapshot-20240102-000000", "snapshot-20240103-000000"]
+
+
+def test_watched_folder_updates_the_assets(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    assets, seen = spark.createDataFrame([("/a/1.png",), ("/a/2.png",), ("/a/4.png",)], "path string"), []
+
+    def handle(batch, n):
+        seen.append(sorted(r.path for r in changes.apply_changes(assets, batch).collect()))
+
+    lines = [{"seq": 1, "kind": "rename_from", "path": "/a/1.png"}, {"seq": 2, "kind": "rename_to", "path": "/a/3.png"}, {"seq": 3, "kind": "remove", "path": "/a/2.png"}, {"seq": 4, "kind": "remove", "path": "/a/4.txt"}]
+    (tmp_path / "log" / "1.json").write_text("\n".join(map(json.dumps, lines)))
+    for _ in range(2):  # the second run finds nothing new
+        changes.watch(spark, str(tmp_path / "log"), str(tmp_path / "state"), handle, once=True).awaitTermination()
+    assert seen == [["/a/3.png", "/a/4.png"]]
+    rows = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01', timestamp'2024-03-01'), (2, timestamp'2024-02-01', null) AS t(id, created, updated)")
+    fresh, mark = changes.sync_since(rows, "2024-02-10")
+    assert [r.id for r in fresh.collect()] == [1] and mark.first().mark == datetime(2024, 3, 1)
