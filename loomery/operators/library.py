@@ -63,8 +63,9 @@ def histogram(rows: DataFrame, name: Column) -> DataFrame:
 def keyword_counts(rows: DataFrame, prompt: str, top: int = 40) -> DataFrame:
     """The most frequent words of over three letters, without stop words and numbers; ties by word."""
     words = F.split(F.regexp_replace(F.lower(prompt), r"[^a-z0-9\s]", ""), r"\s+")
-    found = rows.select(F.explode(words).alias("text")).filter((F.length("text") > 3) & ~F.col("text").isin(text.STOP_WORDS) & ~F.col("text").rlike("^[0-9]+$"))
-    return found.groupBy("text").agg(F.count("*").alias("value")).orderBy(F.desc("value"), "text").limit(top)
+    # words are counted first: stop words and numbers are then looked for once for each distinct word
+    counts = rows.select(F.explode(words).alias("text")).filter(F.length("text") > 3).groupBy("text").agg(F.count("*").alias("value"))
+    return counts.filter(~F.col("text").isin(text.STOP_WORDS) & ~F.col("text").rlike("^[0-9]+$")).orderBy(F.desc("value"), "text").limit(top)
 
 
 def ranges(rows: DataFrame, columns: list[str]) -> DataFrame:
