@@ -115,22 +115,41 @@ def prompt_tokens(prompt: Column) -> Column:
 
 
 def catalog_metadata(document: Column) -> Column:
-    """Fields of catalog JSON across its generations; the first present key wins."""
+    """Fields of catalog JSON across its generations; the first present key wins.
+
+    The fields may stand in an envelope (invokeai_metadata, sd-metadata or dream_metadata, as an object or as
+    text) and in it below image or generation; weights, hash and prompts are also taken from the top level.
+    """
+
+    def get(place: Column, *paths: str) -> Column:
+        return F.coalesce(*[F.get_json_object(place, p) for p in paths])
+
+    wrap = F.coalesce(get(document, "$.invokeai_metadata", "$['sd-metadata']", "$.dream_metadata"), document)
+    root = F.coalesce(get(wrap, "$.image", "$.generation"), wrap)
 
     def first(*paths: str, kind: str = "string") -> Column:
-        return F.coalesce(*[F.get_json_object(document, p) for p in paths]).try_cast(kind)
+        return get(root, *paths).try_cast(kind)
 
+    prompt = get(root, "$.prompt")
+    parts = F.from_json(F.when(prompt.startswith("["), prompt), "array<struct<prompt: string>>")
+    prompt = F.when(prompt.startswith("["), F.array_join(F.transform(parts, lambda x: x.prompt), " ")).otherwise(prompt)
+    named = lambda key: F.coalesce(first(f"$.{key}.model_name", f"$.{key}.name"), F.when(~first(f"$.{key}").startswith("{"), first(f"$.{key}")))
+    filled = lambda x: F.nullif(F.trim(x), F.lit(""))
     return F.struct(
-        first("$.model_weights", "$.model.model_name", "$.model.name", "$.model").alias("model"),
-        F.coalesce(first("$.model_hash"), F.element_at(F.split(first("$.model.hash"), ":"), -1)).alias("model_hash"),
-        first("$.prompt", "$.positive_prompt", "$.positivePrompt", "$.positive_conditioning").alias("positive"),
-        first("$.negative_prompt", "$.negativePrompt", "$.negative_conditioning").alias("negative"),
+        F.coalesce(get(document, "$.model_weights"), first("$.model_weights"), named("model")).alias("model"),
+        F.coalesce(get(document, "$.model_hash"), first("$.model_hash"), F.element_at(F.split(first("$.model.hash"), ":"), -1)).alias("model_hash"),
+        F.coalesce(filled(prompt), filled(first("$.positive_prompt", "$.positivePrompt")), filled(get(document, "$.positivePrompt")), filled(first("$.positive_conditioning"))).alias("positive"),
+        F.coalesce(first("$.negative_prompt", "$.negativePrompt"), get(document, "$.negativePrompt"), first("$.negative_conditioning")).alias("negative"),
         first("$.steps", kind="long").alias("steps"),
         first("$.seed", kind="long").alias("seed"),
         first("$.cfg_scale", "$.guidance", "$.cfg", kind="double").alias("cfg"),
         first("$.sampler", "$.scheduler", "$.sampler_name").alias("sampler"),
         F.coalesce(first("$.generation_mode", "$.generationType", "$.type"), F.when(first("$.postprocessing").isNotNull(), "postprocess")).alias("type"),
         first("$.denoising_strength", "$.denoisingStrength", "$.hrf_strength", kind="double").alias("denoise"),
+        filled(named("vae")).alias("vae"),
+        F.when(first("$.clip_skip", kind="int") > 0, first("$.clip_skip", kind="int")).alias("clip_skip"),
+        F.when(first("$.hrf_enabled") == "true", first("$.hrf_method")).alias("upscaler"),
+        F.coalesce(first("$.is_intermediate") == "true", F.lit(False)).alias("intermediate"),
     )
 
 

@@ -219,25 +219,41 @@ def import_new_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_params(spark: SparkSession, d: str) -> DataFrame:
-    """Text blocks made of documents and parts, parsed back."""
-    rows = _table(spark, d, "part").select("p_partkey", F.concat(F.lit("a cat, <lora:fine:0.8>\nNegative prompt: blurry, bad\nSteps: "), F.col("p_size").cast("string"), F.lit(", Sampler: Euler a, CFG scale: 7.5, Seed: "), F.col("p_partkey").cast("string"), F.lit(", Size: 512x768, Model: \"x, y\", Clip skip: 2")).alias("block"))
-    return parameters.parse_blocks(rows, "block", ["p_partkey"]).select("p_partkey", "positive", "negative", "steps", "sampler", "cfg", "seed", "width", "height", "model", "clip_skip")
+    """Text blocks of three shapes, parsed back: whole, without a negative prompt, and a prompt alone."""
+    rows = _table(spark, d, "part")
+    values = F.concat(F.lit("Steps: "), F.col("p_size").cast("string"), F.lit(", Sampler: Euler a, CFG scale: 7.5, Seed: "), F.col("p_partkey").cast("string"), F.lit(", Size: 512x768, Model: \"x, y\", Clip skip: 2"))
+    kind, prompt = F.col("p_partkey") % 3, F.concat(F.col("p_name"), F.lit(", <lora:fine:0.8>"))
+    block = F.when(kind == 0, F.concat(prompt, F.lit("\nNegative prompt: blurry, bad "), "p_brand", F.lit("\n"), values)).when(kind == 1, F.concat(prompt, F.lit("\n"), values)).otherwise(prompt)
+    return parameters.parse_blocks(rows.select("p_partkey", block.alias("block")), "block", ["p_partkey"]).select("p_partkey", "positive", "negative", "steps", "sampler", "cfg", "seed", "width", "height", "model", "clip_skip")
 
 
 def prompt_tokens(spark: SparkSession, d: str) -> DataFrame:
-    prompt = F.concat(F.lit("<lora:"), F.col("p_brand"), F.lit(":0.7> embedding:style <detail> <hypernet:h:1>"))
+    prompt = F.concat(F.lit("<lora:"), F.col("p_brand"), F.lit(":0.7> "), F.when(F.col("p_size") % 2 == 0, "embedding:style <detail-b> <LORA:second:1>").otherwise(F.concat(F.lit("plain "), "p_name")), F.when(F.col("p_size") % 3 == 0, " <hypernet:h:1>").otherwise(""))
     t = parameters.prompt_tokens(prompt)
     return _table(spark, d, "part").select("p_partkey", F.array_join(t["loras"], "|").alias("loras"), F.array_join(t["hypernets"], "|").alias("hypernets"), F.array_join(t["embeddings"], "|").alias("embeddings"))
 
 
 def catalog_json(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.to_json(F.struct(F.col("p_name").alias("positive_prompt"), F.struct(F.col("p_brand").alias("name"), F.lit("sha:abc").alias("hash")).alias("model"), F.col("p_size").alias("steps"), F.col("p_retailprice").alias("guidance"), F.lit("euler").alias("scheduler")))
-    return _table(spark, d, "part").select("p_partkey", parameters.catalog_metadata(doc).alias("m")).select("p_partkey", "m.model", "m.model_hash", "m.positive", "m.steps", "m.cfg", "m.sampler")
+    """Documents of four generations: flat with a model object, prompt parts below an envelope's image, an
+    envelope as text, and an envelope with generation and a model name."""
+    name, brand, size = F.col("p_name"), F.col("p_brand"), F.col("p_size")
+    flat = F.to_json(F.struct(name.alias("positive_prompt"), F.struct(brand.alias("name"), F.lit("sha:abc").alias("hash")).alias("model"), size.alias("steps"), F.lit(7.5).alias("guidance"), F.lit("euler").alias("scheduler"), F.struct(F.lit("v").alias("name")).alias("vae"), size.alias("clip_skip")))
+    parts = F.array(F.struct(name.alias("prompt"), F.lit(1.0).alias("weight")), F.struct(F.lit("tail").alias("prompt"), F.lit(0.5).alias("weight")))
+    image = F.struct(F.struct(parts.alias("prompt"), size.alias("steps"), F.lit(5).alias("cfg_scale"), F.lit("lms").alias("sampler"), F.lit("txt2img").alias("type")).alias("image"))
+    below = F.concat(F.lit('{"model_weights":"'), brand, F.lit('","sd-metadata":'), F.to_json(image), F.lit("}"))
+    text_ = F.to_json(F.struct(F.to_json(F.struct(name.alias("positivePrompt"), F.lit("bad").alias("negativePrompt"), F.struct(brand.alias("model_name")).alias("model"), F.lit(True).alias("hrf_enabled"), F.lit("esrgan").alias("hrf_method"))).alias("invokeai_metadata")))
+    made = F.to_json(F.struct(F.struct(F.struct(brand.alias("model"), F.lit("ddim").alias("sampler_name"), F.lit(0).alias("clip_skip"), F.lit(True).alias("is_intermediate")).alias("generation")).alias("dream_metadata")))
+    kind = F.col("p_partkey") % 4
+    m = parameters.catalog_metadata(F.when(kind == 0, flat).when(kind == 1, below).when(kind == 2, text_).otherwise(made))
+    return _table(spark, d, "part").select("p_partkey", m.alias("m")).select("p_partkey", "m.model", "m.model_hash", "m.positive", "m.negative", "m.steps", "m.cfg", "m.sampler", "m.type", "m.vae", "m.clip_skip", "m.upscaler", "m.intermediate")
 
 
 def stream_coalesce(spark: SparkSession, d: str) -> DataFrame:
     """Changes made of events, through a file stream in one micro-batch."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomery-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='loomery-')}"
     root = f"{base.rstrip('/')}/changes-{datetime.now():%H%M%S%f}"
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "modify", "click", "create", "purchase", "rename_from", "signup", "rename_to", "error", "remove")]), F.col("event_type"))
     log = _table(spark, d, "events").select(F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("/lib/"), F.pmod("user_id", F.lit(10)).cast("string"), F.lit("/"), F.col("user_id").cast("string"), F.lit(".png")).alias("path"))
@@ -304,7 +320,8 @@ SQL = {
     "three_way_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'L' WHEN o_orderkey % 3 = 0 THEN 'R' ELSE o_orderstatus END AS status FROM orders",
     "tombstone_restore": "WITH m AS (SELECT o_custkey AS id, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1) SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN m.n END AS restored_links FROM customer LEFT JOIN m ON m.id = c_custkey WHERE c_custkey % 2 <> 0 OR c_custkey % 4 = 0",
     "import_new_files": "SELECT url AS path, page_id AS modified FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0 OR page_id % 5 = 0)",
-    "parse_params": "SELECT p_partkey, 'a cat, <lora:fine:0.8>' AS positive, 'blurry, bad' AS negative, CAST(p_size AS BIGINT) AS steps, 'Euler a' AS sampler, CAST(7.5 AS DOUBLE) AS cfg, p_partkey AS seed, CAST(512 AS INTEGER) AS width, CAST(768 AS INTEGER) AS height, 'x, y' AS model, CAST(2 AS INTEGER) AS clip_skip FROM part",
-    "prompt_tokens": "SELECT p_partkey, p_brand AS loras, 'h' AS hypernets, 'style|detail' AS embeddings FROM part",
-    "catalog_json": "SELECT p_partkey, p_brand AS model, 'abc' AS model_hash, p_name AS positive, CAST(p_size AS BIGINT) AS steps, p_retailprice AS cfg, 'euler' AS sampler FROM part",
+    "parse_params": "SELECT p_partkey, p_name || ', <lora:fine:0.8>' AS positive, CASE WHEN k = 0 THEN 'blurry, bad ' || p_brand END AS negative, CASE WHEN k < 2 THEN CAST(p_size AS BIGINT) END AS steps, CASE WHEN k < 2 THEN 'Euler a' END AS sampler, CASE WHEN k < 2 THEN CAST(7.5 AS DOUBLE) END AS cfg, CASE WHEN k < 2 THEN p_partkey END AS seed, CASE WHEN k < 2 THEN CAST(512 AS INTEGER) END AS width, CASE WHEN k < 2 THEN CAST(768 AS INTEGER) END AS height, CASE WHEN k < 2 THEN 'x, y' END AS model, CASE WHEN k < 2 THEN CAST(2 AS INTEGER) END AS clip_skip FROM (SELECT *, p_partkey % 3 AS k FROM part)",
+    "prompt_tokens": "SELECT p_partkey, p_brand || CASE WHEN p_size % 2 = 0 THEN '|second' ELSE '' END AS loras, CASE WHEN p_size % 3 = 0 THEN 'h' ELSE '' END AS hypernets, CASE WHEN p_size % 2 = 0 THEN 'style|detail_b' ELSE '' END AS embeddings FROM part",
+    "catalog_json": "SELECT p_partkey, p_brand AS model, CASE WHEN k = 0 THEN 'abc' END AS model_hash, CASE k WHEN 1 THEN p_name || ' tail' WHEN 3 THEN NULL ELSE p_name END AS positive, CASE WHEN k = 2 THEN 'bad' END AS negative, CASE WHEN k < 2 THEN CAST(p_size AS BIGINT) END AS steps, CAST(CASE k WHEN 0 THEN 7.5 WHEN 1 THEN 5 END AS DOUBLE) AS cfg, CASE k WHEN 0 THEN 'euler' WHEN 1 THEN 'lms' WHEN 3 THEN 'ddim' END AS sampler, CASE WHEN k = 1 THEN 'txt2img' END AS type, CASE WHEN k = 0 THEN 'v' END AS vae, CASE WHEN k = 0 AND p_size > 0 THEN p_size END AS clip_skip, CASE WHEN k = 2 THEN 'esrgan' END AS upscaler, k = 3 AS intermediate FROM (SELECT *, p_partkey % 4 AS k FROM part)",
+    "stream_coalesce": "WITH l AS (SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'modify' WHEN 'click' THEN 'create' WHEN 'purchase' THEN 'rename_from' WHEN 'signup' THEN 'rename_to' ELSE 'remove' END AS kind, '/lib/' || CAST(user_id % 10 AS VARCHAR) || '/' || CAST(user_id AS VARCHAR) || '.png' AS path, user_id % 10 AS folder FROM events), f AS (SELECT folder, path AS a, row_number() OVER (PARTITION BY folder ORDER BY seq) AS n FROM l WHERE kind = 'rename_from'), t AS (SELECT folder, path AS b, row_number() OVER (PARTITION BY folder ORDER BY seq) AS n FROM l WHERE kind = 'rename_to'), p AS (SELECT CASE WHEN b IS NULL THEN 'remove' WHEN a IS NULL THEN 'create' ELSE 'rename' END AS kind, coalesce(b, a) AS path, CASE WHEN b IS NOT NULL THEN a END AS old_path FROM f FULL JOIN t USING (folder, n)), u AS (SELECT * FROM p UNION SELECT kind, path, NULL FROM l WHERE kind IN ('modify', 'create', 'remove')) SELECT kind, count(*) AS n FROM u GROUP BY 1",
 }
