@@ -171,4 +171,4 @@ def digests(docs: DataFrame, vocabulary: str | None = None, *, text: str = "text
 
 
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return digests(shared.read_texts(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"))

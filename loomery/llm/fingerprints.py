@@ -186,5 +186,5 @@ def fingerprint_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = shared.read_texts(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     return fingerprint_pairs(docs)

@@ -267,7 +267,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex, *, doc_id: str = "doc_id", te
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = shared.read_texts(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     return dedup_lines(docs, LineIndex.build(docs)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 

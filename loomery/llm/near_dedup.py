@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.llm import shared
 from loomery.llm.similarity import NearComponents, Plan, make_units
 
 #: The contract's similarity: at least 85 hundredths of three-word shingle sets.
@@ -37,7 +38,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = shared.read_texts(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     return near_duplicates(docs, plan=CONTRACT).select("doc_id", "n_shingles", "component_id", "kept")
 
 

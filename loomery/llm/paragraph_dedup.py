@@ -95,6 +95,6 @@ def drop_passages(docs: DataFrame, repeats: DataFrame, *, doc_id: str = "doc_id"
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = shared.read_texts(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     lines = repeated_paragraphs(docs).select("doc_id", "paragraph", "start", "end", "cluster_doc_id", "cluster_paragraph", F.lit(None).cast("long").alias("cluster_start"), "removed")
     return lines.unionByName(repeated_passages(docs).drop("text_hash"), allowMissingColumns=True)

@@ -313,7 +313,7 @@ def replace_entities(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = shared.read_texts(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     named = spark.conf.get(KEY_SETTING, None)
     key = named.encode() if named else secrets.token_bytes(32)
     return surrogates(docs, key).select("doc_id", "kind", "start", "end", "surrogate")

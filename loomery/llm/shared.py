@@ -57,6 +57,14 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def read_texts(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts. A table in fewer files than the cluster has cores, which so few tasks would read
+    and work on, is dealt over all cores."""
+    rows = spark.read.parquet(path).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def release(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes tables of saved() that nothing will read again, and lets Spark drop the shuffle files
     of finished jobs, which it keeps until the driver collects its garbage."""

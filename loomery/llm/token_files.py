@@ -295,6 +295,6 @@ def read_tokens(manifest: DataFrame, out: str, digest_only: bool = False) -> Dat
 
 
 def op5_token_id_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = shared.read_texts(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     out = shared.scratch(spark, "tokens")
     return read_tokens(write_tokens(docs, out), out, digest_only=True)

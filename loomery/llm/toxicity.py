@@ -492,7 +492,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = shared.read_texts(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = fit(docs, labels).score(docs)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT
