@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,82 +26,90 @@ MAX_NODES, MAX_DEPTH = 10_000, 50
 PARAMETERS = "positive string, negative string, steps long, sampler string, cfg double, seed long, width int, height int, model string, model_hash string, vae string, clip_skip int, denoise double, version string"
 
 
-def split_parameters(line: str) -> list[tuple[str, str]]:
-    """(key, value) pairs of 'Key: value, ...'; commas in quotes and brackets do not part."""
-    parts, depth, quoted, start = [], 0, False, 0
-    for i, c in enumerate(line):
-        if c == '"' and (i == 0 or line[i - 1] != "\\"):
-            quoted = not quoted
-        elif not quoted and c in "([{":
-            depth += 1
-        elif not quoted and c in ")]}":
-            depth = max(depth - 1, 0)
-        elif c == "," and not quoted and depth == 0:
-            parts.append(line[start:i])
-            start = i + 1
-    parts.append(line[start:])
-    pairs = (p.partition(": ") for p in parts)
-    return [(k.strip(), v.strip().strip('"')) for k, _, v in pairs if v.strip()]
-
-
-def parse_block(block: str) -> dict:
-    """Positive prompt, negative prompt and parameters of one text block."""
-    prepared = re.sub(r"(Negative prompt: |Steps: )", r"\n\1", block.replace("\0", ""))
-    where, positive, negative, lines = "positive", [], [], []
-    for line in filter(None, map(str.strip, prepared.splitlines())):
-        if line.startswith("Negative prompt:"):
-            where, line = "negative", line[len("Negative prompt:") :].strip()
-        if line.startswith(BLOCK_STARTS):
-            where = "parameters"
-        if line:
-            {"positive": positive, "negative": negative, "parameters": lines}[where].append(line)
-    found = {}
-    for line in lines:
-        for key, value in split_parameters(line):
-            found.setdefault(key, value)
-    size = re.fullmatch(r"(\d+)x(\d+)", found.get("Size", ""))
-    sampler = " ".join(filter(None, (found.get("Sampler"), found.get("Scheduler"))))
-    return {
-        "positive": _prompt("\n".join(positive)),
-        "negative": _prompt(" ".join(negative)),
-        "steps": _number(int, found.get("Steps")),
-        "sampler": sampler or None,
-        "cfg": _number(float, found.get("CFG scale") or found.get("CFG")),
-        "seed": _number(int, found.get("Seed")),
-        "width": int(size[1]) if size else None,
-        "height": int(size[2]) if size else None,
-        "model": next((found[k] for k in ("Model", "Checkpoint", "Model name", "SD model") if k in found), None),
-        "model_hash": max((found[k] for k in ("Model hash", "sd_model_hash") if k in found), key=len, default=None),
-        "vae": found.get("VAE"),
-        "clip_skip": _number(int, found.get("Clip skip")),
-        "denoise": _number(float, found.get("Denoising strength")),
-        "version": found.get("Version"),
-    }
-
-
-def _prompt(value: str) -> str | None:
-    bare = re.sub(r"(?i)^positive prompt:", "", value.strip()).strip(" \t\n,;")
-    return None if bare.lower() in text.PLACEHOLDERS else value.strip()
-
-
-def _number(kind, value):
-    try:
-        return kind(value)
-    except (TypeError, ValueError):
-        return None
+def _parameter_pattern(levels: int = 4) -> str:
+    """One 'Key: value' part: up to a comma outside quotes and brackets (nested to so many levels). What is not
+    closed runs to the end."""
+    quoted, inside = r'"(?:\\.|[^"\\])*"', r'[^()\[\]{}"]'
+    bracket = rf"[(\[{{](?:{quoted}|{inside})*+[)\]}}]"
+    for _ in range(levels - 1):
+        bracket = rf"[(\[{{](?:{quoted}|{inside}|{bracket})*+[)\]}}]"
+    return rf'(?s)(?:{quoted}|{bracket}|[^,()\[\]{{}}"]|[)\]}}]|["(\[{{].*)+'
 
 
-def parse_blocks(rows: DataFrame, block: str, keep: list[str]) -> DataFrame:
-    """The kept columns with the parsed fields; null and empty blocks give nulls."""
-    kept = rows.select(*keep, F.col(block).alias("__block"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+def split_parameters(line: Column) -> Column:
+    """array<struct<key, value>> of 'Key: value, ...' in order; commas in quotes and brackets do not part."""
+    parts = F.regexp_extract_all(line, F.lit(_parameter_pattern()), F.lit(0))
+    at = lambda p: F.instr(p, ": ")
+    pair = lambda p: F.struct(F.trim(F.substring(p, F.lit(1), at(p) - 1)).alias("key"), F.btrim(F.trim(F.substring(p, at(p) + 2, F.length(p))), F.lit('"')).alias("value"), F.trim(F.substring(p, at(p) + 2, F.length(p))).alias("raw"))
+    return F.filter(F.transform(F.filter(parts, lambda p: at(p) > 0), pair), lambda x: x.raw != "")
+
+
+def block_lines(block: Column) -> Column:
+    """struct(positive, negative, parameters): the lines of a text block by part. A line of the negative prompt or of
+    parameters may begin anywhere; what follows belongs to the last part that began."""
+    prepared = F.regexp_replace(F.replace(block, F.lit("\0"), F.lit("")), r"(Negative prompt: |Steps: )", "\n$1")
+    lines = F.filter(F.transform(F.split(prepared, r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, line: Column) -> Column:
+        negative = line.startswith("Negative prompt:")
+        body = F.when(negative, F.trim(F.substring(line, F.lit(len("Negative prompt:") + 1), F.length(line)))).otherwise(line)
+        begins = body.startswith(BLOCK_STARTS[0]) | body.startswith(BLOCK_STARTS[1]) | body.startswith(BLOCK_STARTS[2])
+        where = F.when(begins, "parameters").when(negative, "negative").otherwise(held["where"])
+        own = F.when(body != "", F.array(body)).otherwise(none)
+        return F.struct(where.alias("where"), *[F.concat(held[part], F.when(where == part, own).otherwise(none)).alias(part) for part in ("positive", "negative", "parameters")])
+
+    start = F.struct(F.lit("positive").alias("where"), *[none.alias(part) for part in ("positive", "negative", "parameters")])
+    return F.aggregate(lines, start, step)
+
+
+def block_metadata(block: Column) -> Column:
+    """Positive prompt, negative prompt and parameters of a text block, as a struct; a key counts where it comes first."""
+    return F.aggregate(F.array(block_lines(block)), F.lit(None).cast(f"struct<{PARAMETERS.replace(' ', ':')}>".replace(",:", ",")), lambda _, parts: _fields(parts))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parsed = pd.DataFrame([parse_block(b or "") for b in frame["__block"]], dtype=object)
-            yield pd.concat([frame[keep].reset_index(drop=True), parsed], axis=1) if len(frame) else pd.DataFrame(columns=[*keep, *[x.split()[0] for x in PARAMETERS.split(", ")]])
 
-    return kept.mapInPandas(run, f"{schema}, {PARAMETERS}")
+def _fields(parts: Column) -> Column:
+    pairs = F.flatten(F.transform(parts["parameters"], split_parameters))
+
+    def named(key: str):
+        return lambda pair: pair.key == key
+
+    def first(*keys: str) -> Column:
+        return F.coalesce(*[F.try_element_at(F.filter(pairs, named(k)), F.lit(1))["value"] for k in keys])
+
+    def number(kind: str, *keys: str) -> Column:
+        pattern = r"[+-]?\d+" if kind != "double" else r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+        value = F.trim(first(*keys))
+        return F.when(value.rlike(f"^{pattern}$"), value).try_cast(kind)
+
+    def prompt(lines: Column, between: str) -> Column:
+        value = F.array_join(lines, between)
+        return F.when(text.is_placeholder_prompt(value), None).otherwise(value)
+
+    size = first("Size")
+    side = lambda i: F.when(size.rlike(r"^\d+x\d+$"), F.regexp_extract(size, r"^(\d+)x(\d+)$", i)).try_cast("int")
+    hashes = [first("Model hash"), first("sd_model_hash")]
+    return F.struct(
+        prompt(parts["positive"], "\n").alias("positive"),
+        prompt(parts["negative"], " ").alias("negative"),
+        number("long", "Steps").alias("steps"),
+        F.nullif(F.concat_ws(" ", F.nullif(first("Sampler"), F.lit("")), F.nullif(first("Scheduler"), F.lit(""))), F.lit("")).alias("sampler"),
+        number("double", "CFG scale", "CFG").alias("cfg"),
+        number("long", "Seed").alias("seed"),
+        side(1).alias("width"),
+        side(2).alias("height"),
+        first("Model", "Checkpoint", "Model name", "SD model").alias("model"),
+        F.when(F.length(hashes[1]) > F.coalesce(F.length(hashes[0]), F.lit(-1)), hashes[1]).otherwise(hashes[0]).alias("model_hash"),
+        first("VAE").alias("vae"),
+        number("int", "Clip skip").alias("clip_skip"),
+        number("double", "Denoising strength").alias("denoise"),
+        first("Version").alias("version"),
+    )
+
+
+def parse_blocks(rows: DataFrame, block: str, keep: list[str]) -> DataFrame:
+    """The kept columns with the parsed fields; null and empty blocks give nulls."""
+    return rows.select(*keep, block_metadata(F.coalesce(F.col(block), F.lit(""))).alias("__m")).select(*keep, "__m.*")
 
 
 def prompt_tokens(prompt: Column) -> Column:
