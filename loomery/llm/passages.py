@@ -204,10 +204,12 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     ties = later.join(inner, F.expr("place.doc_id <=> own.doc_id and place.text_hash = own.text_hash and place.at between lo and hi")).select("a", "b")
     links = components(edges.unionByName(ties.where("a <> b")).distinct())
     linked = spans.join(links.withColumnRenamed("key", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    lead = linked.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("head"))
+    # saved before they are joined, so that the joins can split a large component or a text with many copies
+    lead = shared.saved(linked.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("head")), "heads")
     parts = linked.join(lead, "component").select("doc_id", "text_hash", "start", "end", F.col("head.doc_id").alias("cluster_doc_id"), F.col("head.start").alias("cluster_start"), "removed")
 
     copied = whole.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("lo"), F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("hi")).where("not (lo <=> hi)").select("text_hash", F.col("lo.doc_id").alias("cluster_doc_id"))
+    copied = shared.saved(copied, "copied-texts")
     copies = whole.distinct().join(copied, "text_hash")
     texts = copies.select("doc_id", "text_hash", "start", "end", "cluster_doc_id", F.col("start").alias("cluster_start"), (~F.col("doc_id").eqNullSafe(F.col("cluster_doc_id"))).alias("removed"))
     return parts.unionByName(texts)
