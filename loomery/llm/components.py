@@ -35,16 +35,18 @@ def components(edges: DataFrame) -> DataFrame:
     are plain equi-joins that adaptive execution splits. Null ends are ignored.
     """
     state = shared.saved(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    was, width = None, 1 + state.count() // ROWS_A_TASK
-    for _ in range(MAX_ROUNDS):
+    n = state.count()
+    was, width = None, 1 + n // ROWS_A_TASK
+    for _ in range(MAX_ROUNDS if n else 0):
         step = _small_star(_large_star(state)).where("a <> b").distinct()
         before, state = state, shared.saved(step.coalesce(width), "edges")
-        shared.release(state.sparkSession, before)
+        shared.drop(before)
         seen = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == was or not seen.n:
             break
         was = seen
     else:
-        raise RuntimeError("the components did not settle")
+        if n:
+            raise RuntimeError("the components did not settle")
     members = state.select(F.col("a").alias("key"), F.col("b").alias("component"))
     return members.unionByName(state.select(F.col("b").alias("key"), F.col("b").alias("component")).distinct())

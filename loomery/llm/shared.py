@@ -65,12 +65,17 @@ def read_texts(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
-def release(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes tables of saved() that nothing will read again, and lets Spark drop the shuffle files
-    of finished jobs, which it keeps until the driver collects its garbage."""
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables of saved() that nothing will read again."""
     for frame in frames:
         fs, path = filesystem(frame.saved_path)
         fs.delete_dir(path)
+
+
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """drop(), and lets Spark delete the shuffle files of finished jobs, which it keeps until the driver
+    collects its garbage."""
+    drop(*frames)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
