@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, decontamination, fingerprints, line_dedup, near_dedup, paragraph_dedup, pii, token_files, toxicity, warc
+from loomery.llm import bpe, decontamination, fingerprints, lexical, line_dedup, near_dedup, paragraph_dedup, pii, resampling, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_byte_level_bpe": bpe.op9_byte_level_bpe,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+        "op11_ranked_search": lexical.op11_ranked_search,
+        "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op4_benchmark_decontamination": decontamination.OP4_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op10_minhash_near_dedup": near_dedup.OP10_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op4_benchmark_decontamination": decontamination.OP4_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op10_minhash_near_dedup": near_dedup.OP10_SQL, "op11_ranked_search": lexical.OP11_SQL, "op13_importance_resampling": resampling.OP13_SQL}
