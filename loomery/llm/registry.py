@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, decontamination, fingerprints, lexical, line_dedup, near_dedup, paragraph_dedup, pii, resampling, token_files, toxicity, warc
+from loomery.llm import bpe, decontamination, fingerprints, lexical, line_dedup, mixing, near_dedup, paragraph_dedup, pii, resampling, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_level_bpe": bpe.op9_byte_level_bpe,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
         "op11_ranked_search": lexical.op11_ranked_search,
+        "op12_mixing": mixing.op12_mixing,
         "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
