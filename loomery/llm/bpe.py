@@ -95,6 +95,35 @@ def _tokens(path: str) -> tuple[list[bytes], np.ndarray]:
     return table, np.array([len(t) for t in table], dtype=np.int64)
 
 
+@cache
+def _arena(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids one after the other, and where each begins."""
+    table, lengths = _tokens(path)
+    return np.frombuffer(b"".join(table), dtype=np.uint8), np.cumsum(lengths) - lengths
+
+
+def offsets_of(ids: np.ndarray, path: str) -> np.ndarray:
+    """Where in the UTF-8 text each id begins."""
+    lengths = _tokens(path)[1][ids]
+    return np.cumsum(lengths) - lengths
+
+
+def decode_range(ids: np.ndarray, offsets: np.ndarray, path: str, begin: int = 0, end: int | None = None) -> bytes:
+    """Bytes begin to end (by default all) of the text that has these ids at these offsets; only the ids that
+    hold them are decoded, each put at its offset."""
+    lo = max(int(np.searchsorted(offsets, begin, side="right")) - 1, 0)
+    hi = len(ids) if end is None else int(np.searchsorted(offsets, end, side="left"))
+    if lo >= hi:
+        return b""
+    arena, starts = _arena(path)
+    own, first = ids[lo:hi], int(offsets[lo])
+    lengths = _tokens(path)[1][own]
+    out = np.zeros(int(offsets[hi - 1] - first + lengths[-1]), dtype=np.uint8)
+    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(offsets[lo:hi] - first, lengths) + within] = arena[np.repeat(starts[own], lengths) + within]
+    return out[max(begin - first, 0) : None if end is None else end - first].tobytes()
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns of docs with ids (array<int>) and offsets (array<long>): where in the
     UTF-8 text each id begins.
@@ -110,11 +139,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, *, text: str = "text"
     shared.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _tokens(path)[1]
         for part, ids in _encoded(batches, path):
             cuts = pa.array([0, *accumulate(map(len, ids))], pa.int32())
             flat = np.concatenate(ids)
-            spots = np.concatenate([np.cumsum(lengths[x]) - lengths[x] for x in ids])
+            spots = np.concatenate([offsets_of(x, path) for x in ids])
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(cuts, pa.array(flat.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(spots))], names=[*kept, "ids", "offsets"])
 
     return rows.mapInArrow(run, f"{schema}{', ' * bool(kept)}ids array<int>, offsets array<bigint>")
@@ -152,9 +180,17 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, *, ids: str = "ids
     return kept.mapInArrow(run, f"{schema}, decoded binary")
 
 
+def _decoded_sha256(ids: np.ndarray, path: str) -> str:
+    offsets, digest = offsets_of(ids, path), hashlib.sha256()
+    for lo in range(0, len(ids), 1 << 17):
+        part = slice(lo, lo + (1 << 17))
+        digest.update(decode_range(ids[part], offsets[part], path))
+    return digest.hexdigest()
+
+
 def digests(docs: DataFrame, vocabulary: str | None = None, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the bytes
-    that the ids decode to): texts are encoded as by encode, and the ids decoded, in one pass."""
+    that the ids decode to): texts are encoded as by encode, and decoded from ids and offsets, in one pass."""
     path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text"))
     shared.bound_batches(docs.sparkSession)
@@ -164,7 +200,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None, *, text: str = "text
         for part, ids in _encoded(batches, path):
             values = [x.tolist() for x in ids]
             coded = [hashlib.sha256(",".join(map(names.__getitem__, x)).encode()).hexdigest() for x in values]
-            decoded = [hashlib.sha256(decode_ids(x, path)).hexdigest() for x in values]
+            decoded = [_decoded_sha256(x, path) for x in ids]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in values], pa.int64()), pa.array(coded), pa.array(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

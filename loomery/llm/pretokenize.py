@@ -162,24 +162,50 @@ def _reset(sym: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins(wide)[spread])
 
 
+#: Bytes after a place that the automaton may look at (four code points) to say whether a token begins there.
+_AHEAD = 16
+
+
 def pieces(raw: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of one text that can be tokenised apart: cuts stand before ASCII white space that
-    follows something else, where a token begins whatever came before."""
+    """Ranges of one text that can be tokenised apart, of about limit bytes.
+
+    Cuts stand before ASCII white space that follows something else, where a token begins whatever came before.
+    Where no such place comes within 2 * limit bytes, the text is cut at the last token start that the automaton
+    finds in them; only a single longer token makes a longer piece.
+    """
     at, n = 0, len(raw)
     while at < n:
         end = at + limit
         while end < n:
-            window = raw[end - 1 : end + 65536]
+            window = raw[end - 1 : min(end + 65536, at + 2 * limit)]
             cut = np.flatnonzero(SPACE[window[1:]] & ~_white_end(window)[:-1])
             if len(cut):
                 end += int(cut[0])
                 break
             end += 65536
+            if end >= at + 2 * limit:
+                end = _token_cut(raw, at, 2 * limit)
+                break
         end = min(end, n)
         yield at, end
         at = end
 
 
+def _token_cut(raw: np.ndarray, at: int, width: int) -> int:
+    """The last token start in raw[at : at + width] that does not depend on what follows; more is read if there is none."""
+    while True:
+        end = min(at + width, len(raw))
+        if end == len(raw):
+            return end
+        while (raw[end] & 0xC0) == 0x80:  # between code points
+            end -= 1
+        found = token_starts(raw[at:end], np.array([0, end - at]))
+        found = found[(found > 0) & (found < end - at - _AHEAD)]
+        if len(found):
+            return at + int(found[-1])
+        width *= 2
+
+
 def _white_end(window: np.ndarray) -> np.ndarray:
     """Bytes that may end a white space character (any non-ASCII byte is taken for one)."""
     return SPACE[window] | (window >= 0x80)

@@ -17,7 +17,8 @@ class WordCache:
     """Open addressing over 64-bit hashes of a word's bytes and length.
 
     encode is asked once for each word not seen before. Past max_words the table starts
-    anew, so memory is bounded whatever the vocabulary of the input.
+    anew, so memory is bounded whatever the vocabulary of the input; texts of more words are
+    looked up run by run.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], max_words: int = 1 << 20) -> None:
@@ -69,7 +70,7 @@ class WordCache:
         self.used, self.filled = self.used + len(made), self.filled + len(flat)
 
     def entries(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Entry of every word of raw; words begin at starts and end where the next begins."""
+        """Entry of every word of raw, at most max_words; words begin at starts and end where the next begins."""
         ends = np.append(starts[1:], len(raw))
         hashes = self.hasher(raw, starts, ends)
         found = self._find(hashes)
@@ -79,8 +80,6 @@ class WordCache:
             if self.used + len(new) > self.max_words:
                 self.clear()
                 new, first, missing = *np.unique(hashes, return_index=True), np.arange(len(hashes))
-                if len(new) > self.max_words:
-                    raise ValueError("a piece has more words than the cache holds")
             data = raw.tobytes()
             at = missing[first]
             self._add(new, [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
@@ -90,11 +89,15 @@ class WordCache:
     def encode_texts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, and n + 1 offsets into them. offsets are relative to raw."""
         starts = token_starts(raw, offsets)
-        entries = self.entries(raw, starts)
-        lens = self.lens[entries].astype(np.int64)
-        ids = gather(self.arena, self.starts[entries], lens)
-        before = np.concatenate(([0], np.cumsum(lens)))
-        return ids, before[np.searchsorted(starts, offsets)]
+        ids, lens = [self.arena[:0]], [np.zeros(1, dtype=np.int64)]
+        for lo in range(0, len(starts), self.max_words):  # entries hold until the table starts anew
+            own = starts[lo : lo + self.max_words]
+            end = starts[lo + self.max_words] if lo + self.max_words < len(starts) else len(raw)
+            entries = self.entries(raw[own[0] : end], own - own[0])
+            lens.append(self.lens[entries].astype(np.int64))
+            ids.append(gather(self.arena, self.starts[entries], lens[-1]))
+        before = np.cumsum(np.concatenate(lens))
+        return np.concatenate(ids), before[np.searchsorted(starts, offsets)]
 
     def encode_column(self, offsets: np.ndarray, raw: np.ndarray, row_slices) -> Iterator[tuple[int, list[np.ndarray]]]:
         """(first row, ids of each row) for slices of a column; a long text is encoded piece by piece."""
