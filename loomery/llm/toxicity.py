@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import shared
@@ -440,6 +440,11 @@ def _voting(sent, key: str):
     return run
 
 
+def _among(rate: float) -> Column:
+    """Whether an id's 64-bit hash is among the lowest `rate` of all; fine enough for any number of rows."""
+    return F.lit(True) if rate >= 1 else F.xxhash64("id") < F.lit(int(rate * 2**64) - 2**63).cast("long")
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_sample: int = MAX_SAMPLE) -> ToxicityModel:
     """Fits on the rows outside the held-out fold (crc32 of the id as text, mod 5, is 0).
 
@@ -456,10 +461,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     n, total = known.where(~_held_out()).count(), rows.count()
     told = min(n, max(max_sample // 2, max_sample - max(total - n, 0)))
     rates = [min(1.0, told / max(n, 1)), min(1.0, (max_sample - told) / max(total - n, 1))]
-    place = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    near = rows.where(place < int(max(rates) * 1_000_000)).join(known, "id", "left")
-    picked = F.when(F.col("toxic").isNotNull(), place < int(rates[0] * 1_000_000)).otherwise(place < int(rates[1] * 1_000_000))
-    sample = _Sample(near.where(picked).select("toxic", "text"))
+    near = rows.where(_among(max(rates))).join(known, "id", "left")
+    sample = _Sample(near.where(F.when(F.col("toxic").isNotNull(), _among(rates[0])).otherwise(_among(rates[1]))).select("toxic", "text"))
+    if total and not sample.once:
+        raise RuntimeError("the sample of a table with rows is empty")
 
     gold = {r.rid: float(r.toxic > 0) for r in sample.once if r.toxic is not None}
     seen, bad = sample.sums(gold)
