@@ -238,7 +238,8 @@ def mix(docs: DataFrame, *, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1
     head = F.greatest(F.col("start"), F.col("block") * length)
     tail = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * length)
     pieces = pieces.select(F.col("rank").cast("long").alias("rank"), "block", "doc_id", "text_hash", "start", (head - F.col("block") * length).alias("place"), (head - F.col("start")).alias("first"), (tail - head).alias("words"))
-    spans = pieces.join(slots, ["rank", "block"]).where("place < take").withColumn("n", F.least("words", F.col("take") - F.col("place")))
+    # Spark takes the slots for as small as the range of shards that they are made of: no side may be broadcast
+    spans = pieces.join(slots.hint("merge"), ["rank", "block"]).where("place < take").withColumn("n", F.least("words", F.col("take") - F.col("place")))
     return Mixture(placed, spans.select("shard", "slot", "rank", "block", "place", "doc_id", "text_hash", "start", "first", "n"))
 
 
