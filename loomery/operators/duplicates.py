@@ -36,9 +36,9 @@ def redundant_total(files: DataFrame, digest: str) -> DataFrame:
 
 def id_lists(files: DataFrame, digest: str) -> DataFrame:
     """(digest, copies, part, ids as a sorted JSON array). A group of more than LIST_IDS files has several
-    parts, by a hash of the id, so no row grows with the group."""
+    parts, by the first 32 bits of the id's MD5, so no row grows with the group."""
     sizes = groups(files, digest).select(digest, "copies", F.ceil(F.col("copies") / LIST_IDS).alias("parts"))
-    dealt = files.join(sizes, digest).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = files.join(sizes, digest).withColumn("part", F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long"), F.col("parts")))
     return dealt.groupBy(digest, "part").agg(F.max("copies").alias("copies"), F.to_json(F.sort_array(F.collect_list("id"))).alias("ids")).select(digest, "copies", "part", "ids")
 
 

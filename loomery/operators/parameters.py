@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +17,51 @@ VIDEO_MODES = [
     ("image_to_video", ["i2v", "image to video", "image2video", "imagetovideo", "loadimage"]),
     ("text_to_video", ["t2v", "text to video", "text2video", "texttovideo"]),
 ]
-MAX_NODES, MAX_DEPTH = 10_000, 50
 
 PARAMETERS = "positive string, negative string, steps long, sampler string, cfg double, seed long, width int, height int, model string, model_hash string, vae string, clip_skip int, denoise double, version string"
 
 
-def _parameter_pattern(levels: int = 4) -> str:
-    """One 'Key: value' part: up to a comma outside quotes and brackets (nested to so many levels). What is not
-    closed runs to the end."""
-    quoted, inside = r'"(?:\\.|[^"\\])*"', r'[^()\[\]{}"]'
-    bracket = rf"[(\[{{](?:{quoted}|{inside})*+[)\]}}]"
-    for _ in range(levels - 1):
-        bracket = rf"[(\[{{](?:{quoted}|{inside}|{bracket})*+[)\]}}]"
-    return rf'(?s)(?:{quoted}|{bracket}|[^,()\[\]{{}}"]|[)\]}}]|["(\[{{].*)+'
+#: Pieces between commas that are judged together; keeps the growing flags short.
+_CHUNK = 256
+
+
+def _walk(state: Column, piece: Column) -> Column:
+    """struct(quoted, depth) after a piece of text: quotes turn, brackets outside quotes nest, whatever their kind."""
+    marks = F.regexp_replace(F.translate(F.replace(piece, F.lit('\\"')), "[{]}", "(())"), r'[^()"]++', "")
+
+    def step(held: Column, mark: Column) -> Column:
+        turn = mark == '"'
+        change = F.when(held["quoted"], 0).when(mark == "(", 1).when((mark == ")") & (held["depth"] > 0), -1).otherwise(0)
+        return F.struct((held["quoted"] != turn).alias("quoted"), (held["depth"] + change).alias("depth"))
+
+    return F.when(marks == "", state).otherwise(F.aggregate(F.split(marks, ""), state, step))
 
 
 def split_parameters(line: Column) -> Column:
-    """array<struct<key, value>> of 'Key: value, ...' in order; commas in quotes and brackets do not part."""
-    parts = F.regexp_extract_all(line, F.lit(_parameter_pattern()), F.lit(0))
+    """array<struct<key, value, raw>> of 'Key: value, ...' in order; commas in quotes and brackets, nested to any depth,
+    do not part, and what is not closed runs to the end.
+
+    The line is cut at every comma; quotes and depth are carried from piece to piece, and pieces are put together
+    again where a comma does not part. No pattern repeats a group, so length and nesting cost no stack.
+    """
+    start = F.struct(F.lit(False).alias("quoted"), F.lit(0).alias("depth"))
+
+    def judge(held: Column, piece: Column) -> Column:
+        then = lambda state: F.struct(state.alias("state"), F.concat(held["flags"], F.when(~state["quoted"] & (state["depth"] == 0), "1").otherwise("0")).alias("flags"))
+        return F.transform(F.array(_walk(held["state"], piece)), then)[0]
+
+    def chunk(held: Column, pieces: Column) -> Column:
+        add = lambda x: F.struct(x["state"].alias("state"), F.concat(held["flags"], F.array(x["flags"])).alias("flags"))
+        return F.transform(F.array(F.aggregate(pieces, F.struct(held["state"].alias("state"), F.lit("").alias("flags")), judge)), add)[0]
+
+    def parts_of(pieces: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _CHUNK)), lambda i: F.slice(pieces, (i * _CHUNK + 1).cast("int"), F.lit(_CHUNK)))
+        flags = F.array_join(F.aggregate(chunks, F.struct(start.alias("state"), F.array().cast("array<string>").alias("flags")), chunk)["flags"], "")
+        ends = F.zip_with(pieces, F.split(flags, ""), lambda piece, flag: F.concat(piece, F.when(flag == "1", "\0").otherwise(",")))
+        joined = F.array_join(ends, "")
+        return F.split(F.substring(joined, F.lit(1), F.length(joined) - 1), "\0")
+
+    parts = F.flatten(F.transform(F.array(F.split(F.replace(line, F.lit("\0"), F.lit("")), ",")), parts_of))
     at = lambda p: F.instr(p, ": ")
     pair = lambda p: F.struct(F.trim(F.substring(p, F.lit(1), at(p) - 1)).alias("key"), F.btrim(F.trim(F.substring(p, at(p) + 2, F.length(p))), F.lit('"')).alias("value"), F.trim(F.substring(p, at(p) + 2, F.length(p))).alias("raw"))
     return F.filter(F.transform(F.filter(parts, lambda p: at(p) > 0), pair), lambda x: x.raw != "")
@@ -69,8 +92,12 @@ def block_metadata(block: Column) -> Column:
 
 
 def _fields(parts: Column) -> Column:
-    pairs = F.flatten(F.transform(parts["parameters"], split_parameters))
+    # a lambda's variable, so that the lines are split once and not for every field
+    split = F.array(F.flatten(F.transform(parts["parameters"], split_parameters)))
+    return F.transform(split, lambda pairs: _named_fields(parts, pairs))[0]
+
 
+def _named_fields(parts: Column, pairs: Column) -> Column:
     def named(key: str):
         return lambda pair: pair.key == key
 
@@ -78,7 +105,7 @@ def _fields(parts: Column) -> Column:
         return F.coalesce(*[F.try_element_at(F.filter(pairs, named(k)), F.lit(1))["value"] for k in keys])
 
     def number(kind: str, *keys: str) -> Column:
-        pattern = r"[+-]?\d+" if kind != "double" else r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+        pattern = r"[+-]?\d+" if kind != "double" else r"[+-]?(\d++(\.\d*+)?+|\.\d++)([eE][+-]?\d++)?"
         value = F.trim(first(*keys))
         return F.when(value.rlike(f"^{pattern}$"), value).try_cast(kind)
 
@@ -160,75 +187,6 @@ def catalog_metadata(document: Column) -> Column:
     )
 
 
-def graph_fields(workflow: str | None) -> dict:
-    """Prompts, model and sampler values of a node graph: from the single output back to its sampler.
-
-    Nodes: {id: {class_type, inputs}}; an input [id, slot] is a link. More than one sampler
-    behind the outputs, or none, gives nulls. Cycles and overlong graphs end the search.
-    """
-    empty = dict.fromkeys(("positive", "negative", "model", "steps", "cfg", "seed", "sampler", "loras"))
-    try:
-        nodes = json.loads(workflow or "null")
-    except ValueError:
-        return empty
-    if not isinstance(nodes, dict) or len(nodes) > MAX_NODES:
-        return empty
-    nodes = {str(k): v for k, v in nodes.items() if isinstance(v, dict) and isinstance(v.get("inputs"), dict)}
-
-    def kind(k: str) -> str:
-        return str(nodes[k].get("class_type", ""))
-
-    def source(k: str, name: str) -> str | None:
-        value = nodes[k]["inputs"].get(name)
-        return str(value[0]) if isinstance(value, list) and len(value) == 2 and str(value[0]) in nodes else None
-
-    def behind(start: list[str], stop) -> list[str]:
-        found, seen, front = [], set(), [(s, 0) for s in start]
-        while front:
-            k, depth = front.pop(0)
-            if k in seen or depth > MAX_DEPTH:
-                continue
-            seen.add(k)
-            if stop(k):
-                found.append(k)
-                continue
-            front.extend((s, depth + 1) for name in nodes[k]["inputs"] if (s := source(k, name)))
-        return found
-
-    outputs = [k for k in nodes if kind(k).startswith(("SaveImage", "PreviewImage", "SaveVideo", "VHS_VideoCombine"))]
-    samplers = behind(outputs, lambda k: "KSampler" in kind(k)) if outputs else [k for k in nodes if "KSampler" in kind(k)]
-    if len(samplers) != 1:
-        return empty
-    own = nodes[samplers[0]]["inputs"]
-
-    def prompt(name: str) -> str | None:
-        start = source(samplers[0], name)
-        texts = behind([start], lambda k: isinstance(nodes[k]["inputs"].get("text"), str)) if start else []
-        return nodes[texts[0]]["inputs"]["text"] if texts else None
-
-    loras, model, k = [], None, source(samplers[0], "model")
-    for _ in range(MAX_DEPTH):
-        if k is None:
-            break
-        loras += [nodes[k]["inputs"]["lora_name"]] if isinstance(nodes[k]["inputs"].get("lora_name"), str) else []
-        model = model or next((nodes[k]["inputs"][n] for n in ("ckpt_name", "unet_name") if isinstance(nodes[k]["inputs"].get(n), str)), None)
-        k = source(k, "model")
-    value = lambda name, t: own[name] if isinstance(own.get(name), t) and not isinstance(own.get(name), bool) else None
-    return {"positive": prompt("positive"), "negative": prompt("negative"), "model": model, "steps": value("steps", int), "cfg": value("cfg", (int, float)), "seed": value("seed", int), "sampler": value("sampler_name", str), "loras": loras}
-
-
-def parse_graphs(rows: DataFrame, workflow: str, key: str) -> DataFrame:
-    """key and the fields of every graph."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = pd.DataFrame([graph_fields(w) for w in frame["__w"]], columns=["positive", "negative", "model", "steps", "cfg", "seed", "sampler", "loras"], dtype=object)
-            yield pd.concat([frame[[key]].reset_index(drop=True), found], axis=1)
-
-    return rows.select(key, F.col(workflow).alias("__w")).mapInPandas(run, f"`{key}` {kind}, positive string, negative string, model string, steps long, cfg double, seed long, sampler string, loras array<string>")
-
-
 def video_mode(evidence: Column) -> Column:
     """Mode by the first keyword group that the titles and types of the active nodes hold."""
     low, out = F.lower(evidence), None

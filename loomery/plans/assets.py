@@ -136,14 +136,14 @@ def filter_excluded_table(spark: SparkSession, d: str) -> DataFrame:
 
 def _paged(name: str, descending: bool) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        """Two pages that meet among the nulls, one after the other."""
-        rows = _assets(spark, d).filter("id % 8 < 2 and id < 800")
-        found = list(library.pages(rows, "rating", "id", 60, descending=descending))
-        return spark.createDataFrame([(n, i, r.id) for n, page in enumerate(found) for i, r in enumerate(page)], "page int, place int, id long")
+        """The page after a row whose sort value is null, out of all assets."""
+        rows = _assets(spark, d)
+        found = library.page(rows, "rating", "id", descending=descending, cursor={"rating": None, "id": 1000}, limit=60)
+        return found.select("id", "rating")
 
-    order = "rating DESC NULLS LAST, id DESC" if descending else "rating ASC NULLS FIRST, id ASC"
+    beyond, order = ("id < 1000 AND rating IS NULL", "id DESC") if descending else ("rating IS NOT NULL OR id > 1000", "rating ASC NULLS FIRST, id ASC")
     QUERIES[name] = run
-    SQL[name] = f"{_WITH}, r AS (SELECT id, row_number() OVER (ORDER BY {order}) - 1 AS n FROM a WHERE id % 8 < 2 AND id < 800) SELECT CAST(n // 60 AS INTEGER) AS page, CAST(n % 60 AS INTEGER) AS place, id FROM r"
+    SQL[name] = f"{_WITH} SELECT id, rating FROM a WHERE {beyond} ORDER BY {order} LIMIT 60"
 
 
 _paged("page_nulls_down", True)
@@ -188,8 +188,7 @@ def facet_alias_counts(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT name, count, CAST(row_number() OVER (ORDER BY count DESC, name) AS INTEGER) AS place FROM (SELECT p_brand AS name, count(*) AS count FROM part GROUP BY 1)")
 def facet_sorted(spark: SparkSession, d: str) -> DataFrame:
     rows = _made(spark, d, "part", ["p_brand AS name"]).groupBy("name").agg(F.count("*").alias("count"))
-    found = facets.sort_facets(rows, "count_desc").limit(100).collect()  # a list of brands
-    return spark.createDataFrame([(r.name, r["count"], i + 1) for i, r in enumerate(found)], "name string, count long, place int")
+    return facets.numbered(rows, "count_desc").select("name", "count", "place")
 
 
 @_query("SELECT mo.resource_type, mo.name, mo.hash, coalesce((SELECT max(s_suppkey) FROM supplier WHERE 'h' || CAST(s_suppkey % 50 AS VARCHAR) = mo.hash), -1) AS local_modified FROM mo WHERE lookup_source = 'disk_scan'")
@@ -404,9 +403,9 @@ def duplicate_total(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.redundant_total(rows, "digest")
 
 
-@_query("SELECT p_brand, x.p_suppkey AS a, y.p_suppkey AS b, round(1 - levenshtein(x.n, y.n) / CAST(greatest(length(x.n), length(y.n)) AS DOUBLE), 6) AS similarity FROM (SELECT p_brand, p_partkey AS p_suppkey, p_type || ' ' || p_name AS n FROM part WHERE p_partkey % 4 = 0) x JOIN (SELECT p_brand, p_partkey AS p_suppkey, p_type || ' ' || p_name AS n FROM part WHERE p_partkey % 4 = 0) y USING (p_brand) WHERE x.p_suppkey < y.p_suppkey AND 1 - levenshtein(x.n, y.n) / CAST(greatest(length(x.n), length(y.n)) AS DOUBLE) >= 0.8")
+@_query("SELECT p_brand, x.p_suppkey AS a, y.p_suppkey AS b, round(1 - levenshtein(x.n, y.n) / CAST(greatest(length(x.n), length(y.n)) AS DOUBLE), 6) AS similarity FROM (SELECT p_brand, p_partkey AS p_suppkey, p_type || ' ' || p_name AS n FROM part) x JOIN (SELECT p_brand, p_partkey AS p_suppkey, p_type || ' ' || p_name AS n FROM part) y USING (p_brand) WHERE x.p_suppkey < y.p_suppkey AND 1 - levenshtein(x.n, y.n) / CAST(greatest(length(x.n), length(y.n)) AS DOUBLE) >= 0.8")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
-    rows = _made(spark, d, "part", ["p_brand", "p_partkey", "p_type || ' ' || p_name AS n"]).filter("p_partkey % 4 = 0")
+    rows = _made(spark, d, "part", ["p_brand", "p_partkey", "p_type || ' ' || p_name AS n"])
     return duplicates.similar_names(rows, "p_partkey", "n", "p_brand").withColumn("similarity", F.round("similarity", 6))
 
 

@@ -123,7 +123,7 @@ def membership_move(spark: SparkSession, d: str) -> DataFrame:
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     files = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), "text")
     hashed = duplicates.size_collisions(files).select("id", F.sha2("text", 256).alias("digest"))
-    return duplicates.id_lists(hashed, "digest").filter("part = 0").select("digest", "copies", (F.col("copies") - 1).alias("redundant"), "ids")
+    return duplicates.id_lists(hashed, "digest").select("digest", "copies", (F.col("copies") - 1).alias("redundant"), "part", "ids")
 
 
 def duplicate_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -304,7 +304,7 @@ SQL = {
     "or_join_split": "SELECT c_custkey AS ck, s_suppkey AS sk FROM customer, supplier WHERE c_custkey = s_suppkey OR c_nationkey = s_nationkey",
     "collection_thumbs": "WITH r AS (SELECT o_custkey AS collection, o_orderkey AS thumb, o_orderstatus = 'F' AS private, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, o_totalprice DESC, o_orderkey) AS r, row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'F' ORDER BY o_orderpriority = '1-URGENT' DESC, o_totalprice DESC, o_orderkey) AS s FROM orders) SELECT collection, count(*) AS count, max(CASE WHEN r = 1 THEN thumb END) AS thumb, max(CASE WHEN s = 1 AND NOT private THEN thumb END) AS safe_thumb FROM r GROUP BY 1",
     "membership_move": "WITH m AS (SELECT DISTINCT o_orderstatus AS collection_id, o_custkey AS asset_id FROM orders) SELECT DISTINCT CASE WHEN collection_id = 'O' AND asset_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'P' ELSE collection_id END AS collection_id, asset_id FROM m",
-    "duplicate_groups": "SELECT sha256(text) AS digest, count(*) AS copies, count(*) - 1 AS redundant, '[' || string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) || ']' AS ids FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_groups": "WITH d AS (SELECT sha256(text) AS digest, doc_id, count(*) OVER (PARTITION BY text) AS copies FROM documents) SELECT digest, copies, copies - 1 AS redundant, CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) % ((copies + 999) // 1000) AS part, '[' || string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) || ']' AS ids FROM d WHERE copies > 1 GROUP BY ALL",
     "duplicate_resolution": "WITH g AS (SELECT min(doc_id) AS id, bool_or(doc_id % 3 = 0) AS favorite, bool_or(doc_id % 5 = 0) AS pinned, bool_or(doc_id % 2 = 0 AND doc_id % 4 = 0) AS yes, bool_or(doc_id % 2 = 0 AND doc_id % 4 <> 0) AS no FROM documents GROUP BY sha256(text)) SELECT id, favorite, pinned, CASE WHEN yes AND NOT no THEN true WHEN no AND NOT yes THEN false END AS masked FROM g",
     "first_value_dedupe": "WITH r AS (SELECT CAST(s_nationkey AS VARCHAR) AS path, s_acctbal > 0 AS v, s_suppkey % 2 = 0 AS s, s_suppkey AS m, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS h FROM supplier), f AS (SELECT path, h, row_number() OVER (PARTITION BY path ORDER BY v DESC, s DESC, m DESC) AS n FROM r WHERE h IS NOT NULL) SELECT r.path, f.h AS hash, count(*) AS copies FROM r LEFT JOIN f ON f.path = r.path AND f.n = 1 GROUP BY 1, 2",
     "graph_forward": f"{_TURN} SELECT r.source_id, r.target_id, s.name AS source_name, t.name AS target_name FROM r JOIN a s ON s.id = r.source_id LEFT JOIN a t ON t.id = r.target_id",

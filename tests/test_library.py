@@ -105,6 +105,19 @@ def split_parameters(line: str) -> list[tuple[str, str]]:
     return [(k.strip(), v.strip().strip('"')) for k, _, v in pairs if v.strip()]
 
 
+def _pairs(line: str) -> list[tuple[str, str]]:
+    """As split_parameters, of the parts that hold ': '."""
+    parts, depth, quoted, current = [], 0, False, ""
+    for i, c in enumerate(line):
+        if c == "," and not quoted and depth == 0:
+            parts, current = [*parts, current], ""
+            continue
+        quoted ^= c == '"' and line[max(i - 1, 0) : i] != "\\"
+        depth = depth if quoted or c == '"' else depth + 1 if c in "([{" else max(depth - 1, 0) if c in ")]}" else depth
+        current += c
+    return [(p.split(": ", 1)[0].strip(" "), p.split(": ", 1)[1].strip(" ").strip('"')) for p in [*parts, current] if ": " in p and p.split(": ", 1)[1].strip(" ")]
+
+
 def parse_block(block: str) -> dict:
     """Positive prompt, negative prompt and parameters of one text block."""
     prepared = re.sub(r"(Negative prompt: |Steps: )", r"\n\1", block.replace("\0", ""))
@@ -156,9 +169,6 @@ def test_parameter_blocks():
     found = parse_block('cat, dog\nNegative prompt: bad\nworse\nSteps: 20, Sampler: Euler a, Seed: 5, Size: 64x32, Model: "a, b", CFG scale: 7')
     assert (found["positive"], found["negative"], found["steps"], found["width"], found["model"], found["cfg"]) == ("cat, dog", "bad worse", 20, 64, "a, b", 7.0)
     assert parse_block("")["positive"] is None and parse_block("x Steps: y")["steps"] is None
-    graph = '{"1":{"class_type":"KSampler","inputs":{"seed":3,"model":["2",0],"positive":["3",0]}},"2":{"class_type":"Loader","inputs":{"ckpt_name":"m"}},"3":{"class_type":"Text","inputs":{"text":"hi"}},"4":{"class_type":"SaveImage","inputs":{"images":["1",0]}}}'
-    found = parameters.graph_fields(graph)
-    assert (found["positive"], found["model"], found["seed"]) == ("hi", "m", 3) and parameters.graph_fields("[1]")["model"] is None
 
 
 def test_video_modes_and_probe(spark):
@@ -329,6 +339,41 @@ def test_parameter_blocks_of_many_shapes(spark):
         assert all(got[i][k] == v for k, v in want.items())
 
 
+def test_parameter_values_of_a_megabyte(spark):
+    n = 1_000_000
+    deep = "".join(random.Random(4).choice("([{x, ") for _ in range(5000))
+    values = {
+        "plain": ("y" * n, "y" * n),
+        "quoted": ('"' + "a, b: " * (n // 6) + '"', "a, b: " * (n // 6)),
+        "bracketed": ("{" + "[k: 1, (2)], " * (n // 13) + "}", "{" + "[k: 1, (2)], " * (n // 13) + "}"),
+        "nested": ("(" * 2000 + ", " + ")" * 2000, "(" * 2000 + ", " + ")" * 2000),
+        "commas": (",", ""),
+    }
+    blocks = [(k, f"cat\nSteps: 20, Version: {v}, Seed: 7") for k, (v, _) in values.items()]
+    blocks += [("unclosed", "cat\nSteps: 20, Seed: 7, Version: (" + "a, " * (n // 3)), ("open quote", 'cat\nSteps: 20, Seed: 7, Version: "' + "b, " * (n // 3)), ("many", "cat\nSteps: 20, " + "k: v, " * 100_000 + "Seed: 7"), ("deep", f"cat\nSteps: 20, Seed: 7, Version: {deep}"), ("number", "cat\nSteps: 20, CFG scale: " + "1" * n + "x, Seed: 7")]
+    got = {r.id: r for r in parameters.parse_blocks(spark.createDataFrame(blocks, "id string, block string"), "block", ["id"]).collect()}
+    assert all((r.steps, r.seed, r.positive) == (20, 7, "cat") for r in got.values())
+    assert all(got[k].version == (want or None) or k == "commas" for k, (_, want) in values.items())
+    assert got["unclosed"].version == ("(" + "a, " * (n // 3)).strip() and got["deep"].version == deep.strip() and got["number"].cfg is None
+
+
+def test_split_parameters_equals_a_scanner(spark):
+    rng = random.Random(6)
+    lines = ["".join(rng.choices('ab:,"\\()[]{} ', weights=[3, 3, 6, 4, 2, 1, 2, 2, 1, 1, 1, 1, 6], k=rng.randint(0, 60))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
+    got = {r.id: [(x.key, x.value) for x in r.p] for r in rows.select("id", parameters.split_parameters(F.col("line")).alias("p")).collect()}
+    assert all(got[i] == _pairs(line) for i, line in enumerate(lines)) and sum(len(x) > 1 for x in got.values()) > 100
+
+
+def test_duplicate_lists_are_whole(spark, monkeypatch):
+    from loomery.plans import library as plans
+
+    docs = spark.createDataFrame([(i, "same" if i < 2500 else f"other {i}", 5) for i in range(2600)], "doc_id long, text string, n_chars long")
+    monkeypatch.setattr(plans, "_table", lambda spark, d, name: docs)
+    found = plans.duplicate_groups(spark, "").collect()
+    assert sorted(i for r in found for i in json.loads(r.ids)) == list(range(2500)) and {(r.copies, r.redundant) for r in found} == {(2500, 2499)} and len(found) == 3
+
+
 def test_sources(spark, tmp_path):
     root = tmp_path / "lib"
     (root / "out" / "txt2img-images" / "day").mkdir(parents=True)
