@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomery.functions import dates, text
+from loomery.operators.keywords import containing
 
 
 def page(rows: DataFrame, sort: str, row_id: str, *, descending: bool = True, pinned: str | None = None, cursor: dict | None = None, limit: int = 1000) -> DataFrame:
@@ -133,15 +133,9 @@ def first_by(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]]) ->
 
 
 def token_matches(names: DataFrame, keywords: DataFrame) -> DataFrame:
-    """names with flagged: whether the name holds any keyword (a short table of one column keyword), whatever the case.
-
-    The keywords are gathered into one expression, so no name is paired with every keyword.
-    """
-    words = [r.keyword.strip().lower() for r in keywords.select("keyword").where("keyword is not null").distinct().limit(10_001).collect()]
-    if len(words) > 10_000:
-        raise ValueError("more than 10,000 keywords")
-    found = F.lower("name").rlike("|".join(sorted(re.escape(w) for w in words if w))) if any(words) else F.lit(False)
-    return names.withColumn("flagged", F.coalesce(found, F.lit(False)))
+    """names with flagged: whether the name holds any keyword (a table of one column keyword), whatever the case."""
+    found = containing(names, "name", keywords)
+    return found.select(*names.columns, (F.size("keywords") > 0).alias("flagged"))
 
 
 def prefix_count(rows: DataFrame, path: str, folder: str) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery import storage
 from loomery.functions import text
-from loomery.operators import collections, duplicates, facets, library, lifecycle, parameters, provenance
+from loomery.operators import collections, duplicates, facets, keywords, library, lifecycle, parameters, provenance
 from loomery.operators.search import Fields, FilterState, apply_filter
-from loomery.streaming import changes
+from loomery.streaming import changes, renames
 
 NOW = datetime(2024, 2, 15)
 
@@ -167,6 +167,25 @@ def keyword_flag(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", text.privacy_hidden(F.when(F.col("doc_id") % 7 == 0, False), F.col("text"), ["Idiot", "clown", " trash "]).alias("hidden"))
 
 
+def keyword_index(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of all part names, most with a number, looked for in all documents."""
+    fragment = F.expr("substring(p_name, CAST(1 + p_partkey % 7 AS INT), size) || CASE WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 1000 AS STRING) ELSE '' END")
+    words = _table(spark, d, "part").withColumn("size", F.explode(F.array(*map(F.lit, [1, 2, 3, 5])))).select(fragment.alias("keyword"))
+    found = keywords.containing(_table(spark, d, "documents").select("doc_id", "text"), "text", words)
+    return found.select("doc_id", F.size("keywords").cast("long").alias("n"), F.try_element_at("keywords", F.lit(1)).alias("first"))
+
+
+def upsert_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Two commits to a keyed table: new and changed prices, then the same rows again, which changes nothing."""
+    rows = _table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    held = storage.KeyedTable.create(rows.filter("o_orderkey % 4 <> 0"), storage.scratch(spark, "orders"), "o_orderkey", 16)
+    news = rows.filter("o_orderkey % 4 = 0 or o_orderkey % 7 = 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    merge = lambda old, new: lifecycle.upsert(old, new, "o_orderkey", {"o_orderstatus": lifecycle.stored})
+    held.merge(news, merge)
+    held.merge(news, merge)
+    return held.read().withColumn("version", F.lit(held.version()))
+
+
 def name_clean(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "part").withColumn("raw", F.concat(F.lit("C:\\models/"), "p_name", F.when(F.col("p_size") % 2 == 0, ".pth").otherwise(".safetensors")))
     return rows.select("p_partkey", text.clean_name(F.col("raw")).alias("name"), text.match_key(F.col("raw")).alias("match_key"))
@@ -248,18 +267,35 @@ def catalog_json(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "part").select("p_partkey", m.alias("m")).select("p_partkey", "m.model", "m.model_hash", "m.positive", "m.negative", "m.steps", "m.cfg", "m.sampler", "m.type", "m.vae", "m.clip_skip", "m.upscaler", "m.intermediate")
 
 
+def _change_log(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "modify", "click", "create", "purchase", "rename_from", "signup", "rename_to", "error", "remove")]), F.col("event_type"))
+    path = F.concat(F.lit("/lib/"), F.pmod("user_id", F.lit(10)).cast("string"), F.lit("/"), F.col("user_id").cast("string"), F.lit(".png"))
+    return _table(spark, d, "events").select(F.col("event_id").alias("seq"), kind.alias("kind"), path.alias("path"), F.col("ts").alias("at"))
+
+
 def stream_coalesce(spark: SparkSession, d: str) -> DataFrame:
     """Changes made of events, through a file stream in one micro-batch."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = base or f"file://{tempfile.mkdtemp(prefix='loomery-')}"
-    root = f"{base.rstrip('/')}/changes-{datetime.now():%H%M%S%f}"
-    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "modify", "click", "create", "purchase", "rename_from", "signup", "rename_to", "error", "remove")]), F.col("event_type"))
-    log = _table(spark, d, "events").select(F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("/lib/"), F.pmod("user_id", F.lit(10)).cast("string"), F.lit("/"), F.col("user_id").cast("string"), F.lit(".png")).alias("path"))
-    log.write.json(f"{root}/log")
+    root = storage.scratch(spark, "changes")
+    _change_log(spark, d).drop("at").write.json(f"{root}/log")
     changes.watch(spark, f"{root}/log", f"{root}/state", lambda batch, n: batch.write.mode("append").parquet(f"{root}/out"), once=True).awaitTermination()
-    return spark.read.schema("kind string, path string, old_path string").parquet(f"{root}/out").groupBy("kind").agg(F.count("*").alias("n"))
+    return spark.read.schema(renames.RESOLVED).parquet(f"{root}/out").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def stream_renames(spark: SparkSession, d: str) -> DataFrame:
+    """The same changes in several micro-batches, in the order of their time; halves of a rename wait in the state. The
+    last file holds a change long after, for which all that still waits expires."""
+    root, log = storage.scratch(spark, "renames"), _change_log(spark, d)
+    cuts = log.agg(F.percentile_approx("seq", [i / 6 for i in range(1, 6)]).alias("q")).first().q or []
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):  # one file after the other, as a watcher writes them
+        part = log.where((F.lit(lo).isNull() | (F.col("seq") > F.lit(lo))) & (F.lit(hi).isNull() | (F.col("seq") <= F.lit(hi))))
+        part.coalesce(1).write.mode("append").json(f"{root}/log")
+    late = log.agg(F.max("seq").alias("seq"), (F.max("at") + F.expr("INTERVAL 1000 DAYS")).alias("at"))
+    late.select((F.col("seq") + 1).alias("seq"), F.lit("tick").alias("kind"), F.lit("/tick.png").alias("path"), "at").coalesce(1).write.mode("append").json(f"{root}/log")
+    side = renames.stateful_session(spark)
+    keep = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out")
+    renames.watch(side, f"{root}/log", f"{root}/state", keep, wait_ms=100 * 24 * 3600 * 1000, by_event=True, files_a_batch=1, once=True).awaitTermination()
+    found = spark.read.schema(f"{renames.RESOLVED}, batch long").parquet(f"{root}/out").where("kind <> 'tick'")
+    return found.select("kind", "path", "old_path").distinct()
 
 
 QUERIES = {
@@ -268,8 +304,8 @@ QUERIES = {
         media_stats, avg_positive, histogram_coalesce, keyword_top40, param_ranges, distinct_values, filtered_counters, smart_counts_one_pass, timeline_buckets,
         facet_counts_union, facet_bridge_counts, facet_disjunctive, facet_build_ranked, facet_refresh, facet_alias_merge, or_join_split,
         collection_thumbs, membership_move, duplicate_groups, duplicate_resolution, first_value_dedupe,
-        graph_forward, graph_backlinks, unique_resolution, keyword_flag, name_clean, path_class, url_clean, similarity_pairs, json_explode,
-        upsert_merge, three_way_merge, tombstone_restore, import_new_files, parse_params, prompt_tokens, catalog_json, stream_coalesce,
+        graph_forward, graph_backlinks, unique_resolution, keyword_flag, keyword_index, upsert_partitions, name_clean, path_class, url_clean, similarity_pairs, json_explode,
+        upsert_merge, three_way_merge, tombstone_restore, import_new_files, parse_params, prompt_tokens, catalog_json, stream_coalesce, stream_renames,
     )
 }
 
@@ -285,6 +321,16 @@ FROM k LEFT JOIN c USING (key) LEFT JOIN b ON b.key = k.key AND b.r = 1 LEFT JOI
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _TURN = "WITH a AS (SELECT conv_id * 1000 + turn AS id, conv_id || '/' || turn AS name FROM conversations), u AS (SELECT name, CASE WHEN count(*) = 1 THEN min(id) END AS one FROM a GROUP BY name), e AS (SELECT conv_id * 1000 + turn AS source_id, role, conv_id || '/' || (turn - 1) AS name FROM conversations), r AS (SELECT e.*, u.one AS target_id FROM e LEFT JOIN u USING (name))"
 
+_RENAMES = """
+WITH l AS (SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'modify' WHEN 'click' THEN 'create' WHEN 'purchase' THEN 'rename_from' WHEN 'signup' THEN 'rename_to' ELSE 'remove' END AS kind,
+  '/lib/' || CAST(user_id % 10 AS VARCHAR) || '/' || CAST(user_id AS VARCHAR) || '.png' AS path, user_id % 10 AS folder FROM events),
+s AS (SELECT *, sum(CASE WHEN kind = 'rename_from' THEN 1 ELSE -1 END) OVER (PARTITION BY folder ORDER BY seq) AS w FROM l WHERE kind IN ('rename_from', 'rename_to')),
+t AS (SELECT *, kind = 'rename_to' AND w < least(0, coalesce(min(w) OVER (PARTITION BY folder ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS alone FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY folder, kind ORDER BY seq) AS n FROM t WHERE NOT alone),
+p AS (SELECT CASE WHEN b.path IS NULL THEN 'remove' ELSE 'rename' END AS kind, coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NOT NULL THEN a.path END AS old_path
+  FROM n a LEFT JOIN n b ON b.folder = a.folder AND b.n = a.n AND b.kind = 'rename_to' WHERE a.kind = 'rename_from'),
+u AS (SELECT * FROM p UNION SELECT 'create', path, NULL FROM t WHERE alone UNION SELECT kind, path, NULL FROM l WHERE kind IN ('modify', 'create', 'remove'))"""
+
 SQL = {
     "media_stats": "SELECT count(*) AS total, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'O') AS open, CAST(coalesce(sum(l_linenumber), 0) AS BIGINT) AS total_size FROM lineitem",
     "avg_positive": "SELECT CAST(floor(avg(l_quantity) + 0.5) AS BIGINT) AS mean FROM lineitem WHERE l_quantity > 0",
@@ -311,6 +357,8 @@ SQL = {
     "graph_backlinks": f"{_TURN} SELECT DISTINCT coalesce(r.target_id, n.id) AS used_id, r.source_id, r.role FROM r LEFT JOIN a n ON r.target_id IS NULL AND n.name = r.name WHERE coalesce(r.target_id, n.id) IS NOT NULL",
     "unique_resolution": "SELECT c_mktsegment || '/' || CAST(c_custkey % 200 AS VARCHAR) AS name, CASE WHEN count(*) = 1 THEN min(c_custkey) END AS target_id FROM customer GROUP BY 1",
     "keyword_flag": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN false ELSE contains(lower(text), 'idiot') OR contains(lower(text), 'clown') OR contains(lower(text), 'trash') END AS hidden FROM documents",
+    "keyword_index": "WITH k AS (SELECT DISTINCT lower(trim(substring(p_name, CAST(1 + p_partkey % 7 AS BIGINT), size) || CASE WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 1000 AS VARCHAR) ELSE '' END)) AS k FROM part, (VALUES (1), (2), (3), (5)) s(size)), h AS (SELECT doc_id, k FROM documents JOIN k ON contains(lower(text), k) WHERE k <> '') SELECT d.doc_id, count(k) AS n, min(k) AS first FROM documents d LEFT JOIN h USING (doc_id) GROUP BY 1",
+    "upsert_partitions": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CAST(1 AS INTEGER) AS version FROM orders",
     "name_clean": "SELECT p_partkey, trim(p_name) AS name, regexp_replace(lower(trim(p_name)), '[\\s_.,-]+', '', 'g') AS match_key FROM part",
     "path_class": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'txt2img' WHEN 1 THEN 'img2img' WHEN 2 THEN 'extras' WHEN 3 THEN 'grid' ELSE 'unknown' END AS kind FROM pages",
     "url_clean": "SELECT page_id, lower(CASE WHEN list_extract(regexp_split_to_array(trim(url), '[\\\\/]'), -1) <> '' THEN list_extract(regexp_split_to_array(trim(url), '[\\\\/]'), -1) ELSE trim(url) END) AS base FROM pages",
@@ -323,5 +371,6 @@ SQL = {
     "parse_params": "SELECT p_partkey, p_name || ', <lora:fine:0.8>' AS positive, CASE WHEN k = 0 THEN 'blurry, bad ' || p_brand END AS negative, CASE WHEN k < 2 THEN CAST(p_size AS BIGINT) END AS steps, CASE WHEN k < 2 THEN 'Euler a' END AS sampler, CASE WHEN k < 2 THEN CAST(7.5 AS DOUBLE) END AS cfg, CASE WHEN k < 2 THEN p_partkey END AS seed, CASE WHEN k < 2 THEN CAST(512 AS INTEGER) END AS width, CASE WHEN k < 2 THEN CAST(768 AS INTEGER) END AS height, CASE WHEN k < 2 THEN 'x, y' END AS model, CASE WHEN k < 2 THEN CAST(2 AS INTEGER) END AS clip_skip FROM (SELECT *, p_partkey % 3 AS k FROM part)",
     "prompt_tokens": "SELECT p_partkey, p_brand || CASE WHEN p_size % 2 = 0 THEN '|second' ELSE '' END AS loras, CASE WHEN p_size % 3 = 0 THEN 'h' ELSE '' END AS hypernets, CASE WHEN p_size % 2 = 0 THEN 'style|detail_b' ELSE '' END AS embeddings FROM part",
     "catalog_json": "SELECT p_partkey, p_brand AS model, CASE WHEN k = 0 THEN 'abc' END AS model_hash, CASE k WHEN 1 THEN p_name || ' tail' WHEN 3 THEN NULL ELSE p_name END AS positive, CASE WHEN k = 2 THEN 'bad' END AS negative, CASE WHEN k < 2 THEN CAST(p_size AS BIGINT) END AS steps, CAST(CASE k WHEN 0 THEN 7.5 WHEN 1 THEN 5 END AS DOUBLE) AS cfg, CASE k WHEN 0 THEN 'euler' WHEN 1 THEN 'lms' WHEN 3 THEN 'ddim' END AS sampler, CASE WHEN k = 1 THEN 'txt2img' END AS type, CASE WHEN k = 0 THEN 'v' END AS vae, CASE WHEN k = 0 AND p_size > 0 THEN p_size END AS clip_skip, CASE WHEN k = 2 THEN 'esrgan' END AS upscaler, k = 3 AS intermediate FROM (SELECT *, p_partkey % 4 AS k FROM part)",
-    "stream_coalesce": "WITH l AS (SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'modify' WHEN 'click' THEN 'create' WHEN 'purchase' THEN 'rename_from' WHEN 'signup' THEN 'rename_to' ELSE 'remove' END AS kind, '/lib/' || CAST(user_id % 10 AS VARCHAR) || '/' || CAST(user_id AS VARCHAR) || '.png' AS path, user_id % 10 AS folder FROM events), f AS (SELECT folder, path AS a, row_number() OVER (PARTITION BY folder ORDER BY seq) AS n FROM l WHERE kind = 'rename_from'), t AS (SELECT folder, path AS b, row_number() OVER (PARTITION BY folder ORDER BY seq) AS n FROM l WHERE kind = 'rename_to'), p AS (SELECT CASE WHEN b IS NULL THEN 'remove' WHEN a IS NULL THEN 'create' ELSE 'rename' END AS kind, coalesce(b, a) AS path, CASE WHEN b IS NOT NULL THEN a END AS old_path FROM f FULL JOIN t USING (folder, n)), u AS (SELECT * FROM p UNION SELECT kind, path, NULL FROM l WHERE kind IN ('modify', 'create', 'remove')) SELECT kind, count(*) AS n FROM u GROUP BY 1",
+    "stream_coalesce": f"{_RENAMES} SELECT kind, count(*) AS n FROM u GROUP BY 1",
+    "stream_renames": f"{_RENAMES} SELECT kind, path, old_path FROM u",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,18 +17,27 @@ def targets(changes: DataFrame) -> DataFrame:
     return changes.filter(F.col("path").rlike(WATCHED) & ~F.lower("path").rlike(r"[/\\]\.?thumb(?:nail)?s?[/\\]"))
 
 
+def folder_of(path: str) -> Column:
+    return F.regexp_replace(path, r"/[^/]*$", "")
+
+
 def coalesce(changes: DataFrame) -> DataFrame:
-    """(kind, path, old_path): renames paired in order (n-th from with n-th to), an unpaired from is a
-    remove and an unpaired to a create, repeats go. Changes carry seq, and folder if several are watched.
+    """(kind, path, old_path): a rename_to takes the oldest rename_from before it that no other took, else it is a create; a
+    rename_from that none takes is a remove; repeats go. Changes carry seq, and folder if several are watched.
 
-    Pairing is per folder, so folders are numbered apart.
+    How many wait is a walk that a from steps up and a to steps down, not below zero; the k-th to that finds one gets
+    the k-th from. Folders are numbered apart.
     """
-    folder = F.col("folder") if "folder" in changes.columns else F.regexp_replace("path", r"/[^/]*$", "")
+    folder = F.col("folder") if "folder" in changes.columns else folder_of("path")
     rows = changes.withColumn("__folder", folder)
-    order = F.row_number().over(Window.partitionBy("__folder", "kind").orderBy("seq"))
-    sides = rows.filter(F.col("kind").isin("rename_from", "rename_to")).withColumn("n", order)
-    a = sides.filter("kind = 'rename_from'").select("__folder", "n", F.col("path").alias("old_path"))
-    b = sides.filter("kind = 'rename_to'").select("__folder", "n", F.col("path").alias("new_path"))
+    by_folder = Window.partitionBy("__folder").orderBy("seq")
+    before = by_folder.rowsBetween(Window.unboundedPreceding, -1)
+    sides = rows.filter(F.col("kind").isin("rename_from", "rename_to")).withColumn("__from", F.col("kind") == "rename_from")
+    sides = sides.withColumn("__walk", F.sum(F.when(F.col("__from"), 1).otherwise(-1)).over(by_folder))
+    sides = sides.withColumn("__finds", F.col("__walk") >= F.least(F.lit(0), F.coalesce(F.min("__walk").over(before), F.lit(0))))
+    sides = sides.withColumn("n", F.sum((F.col("__from") | F.col("__finds")).cast("int")).over(Window.partitionBy("__folder", "__from").orderBy("seq")))
+    a = sides.filter("__from").select("__folder", "n", F.col("path").alias("old_path"))
+    b = sides.filter("not __from").select("__folder", F.when(F.col("__finds"), F.col("n")).alias("n"), F.col("path").alias("new_path"))
     pairs = a.join(b, ["__folder", "n"], "full")
     kind = F.when(F.col("new_path").isNull(), "remove").when(F.col("old_path").isNull(), "create").otherwise("rename")
     renames = pairs.select(kind.alias("kind"), F.coalesce("new_path", "old_path").alias("path"), F.when(kind == "rename", F.col("old_path")).alias("old_path"))
