@@ -1,8 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over all item windows, each text scanned once.
 
-Normal form: A-Z lower-cased, words are runs of [0-9a-z] and non-ASCII characters, joined by
-single spaces. A pattern is a window of such words between two spaces, so a match begins and
-ends at word borders. Offsets of hit words lead back into the original text.
+Normal form: A-Z lower-cased, words are runs of [0-9a-z] and non-ASCII characters. The automaton reads word
+ids, so a pattern is a window of ten symbols and begins and ends at word borders. Offsets of hit words lead
+back into the original text.
 """
 
 from __future__ import annotations
@@ -11,47 +11,28 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm import shared
+from loomery.llm import automaton, shared
 
 #: Other ASCII bytes separate words; A-Z become a-z; bytes of non-ASCII characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _NORMAL_TABLE = np.frombuffer(NORMAL, dtype=np.uint8)
 
-#: Bytes of item text that one automaton may hold. Up to that size the items are broadcast; a larger benchmark
-#: is cut into blocks, kept in files that executors read, and every block is one more scan of the texts.
-BLOCK_BYTES = 2 << 20
+#: Bytes of item text that one automaton may hold: some 25 million states of 16 bytes, built by one task (1.4 GB for 20 MB), kept in one
+#: file that the workers of a host map. A larger benchmark is cut into blocks, and every block is one more scan.
+BLOCK_BYTES = 24 << 20
 
-_built: dict[tuple[str, int], object] = {}
+_loaded: dict[str, automaton.WordAutomaton] = {}
 
 
 def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
 
-def build_automaton(items: list[tuple[str, bytes]], window: int):
-    """Automaton over the windows of (item id, space-joined words); its values are (words in it, item ids)."""
-    holders: dict[bytes, tuple[int, set[str]]] = {}
-    for item, normal in items:
-        words = normal.split()
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if words else 0):
-            pattern = b" " + b" ".join(words[i : i + size]) + b" "
-            holders.setdefault(pattern, (size, set()))[1].add(item)
-    automaton = ahocorasick.Automaton()
-    for pattern, (size, found) in holders.items():
-        automaton.add_word(pattern.decode("latin-1"), (size, tuple(found)))
-    if holders:
-        automaton.make_automaton()
-    return automaton if holders else None
-
-
 def _item_rows(items: DataFrame) -> DataFrame:
     """(item, normal) of the items that have words: the id as text and the words joined by spaces."""
 
@@ -83,113 +64,104 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     schema = f"{_ddl(kept)}, {added}"
     total = rows.agg(F.sum(F.octet_length("normal"))).first()[0] or 0
-    token = uuid.uuid4().hex
-    if total <= BLOCK_BYTES:
-        held = spark.sparkContext.broadcast([(r.item, r.normal.encode("utf-8", "surrogatepass")) for r in rows.collect()])
-        return kept.mapInArrow(_Answer(text, _Automaton((token, 0), held, None, window)), schema)
-    n = -(-2 * total // BLOCK_BYTES)
-    blocks = shared.saved(rows.withColumn("block", F.pmod(F.xxhash64("item", "normal"), F.lit(n)).cast("int")).repartitionById(n, "block").sortWithinPartitions("block"), "items")
+    if not total:
+        return kept.mapInArrow(_Answer(text, None), schema)
+    n = 1 if total <= BLOCK_BYTES else -(-2 * total // BLOCK_BYTES)
+    paths = _automata(rows, n, window)
+    if n == 1:
+        return kept.mapInArrow(_Answer(text, paths[0]), schema)
     body = F.col(f"`{text}`").cast("string")
     texts = kept.select(F.xxhash64(body).alias("text_hash"), F.md5(body).alias("text_sum"), body.alias("text")).where("text is not null")
     found = None
-    for k in range(n):
-        scan = texts.mapInArrow(_Find(_Automaton((token, k), None, (blocks.saved_path, k), window)), "text_hash long, text_sum string, found array<struct<first:int,last:int,items:array<string>>>")
+    for path in paths:
+        scan = texts.mapInArrow(_Find(path), "text_hash long, text_sum string, found array<struct<first:long,last:long,items:array<string>>>")
         found = scan if found is None else found.unionByName(scan)
     found = found.distinct().groupBy("text_hash", "text_sum").agg(F.flatten(F.collect_list("found")).alias("found"))
     both = kept.alias("d").join(found.alias("f"), (F.xxhash64(F.col(f"d.`{text}`").cast("string")) == F.col("f.text_hash")) & (F.md5(F.col(f"d.`{text}`").cast("string")) == F.col("f.text_sum")), "left")
-    return both.select(*[F.col(f"d.`{c}`") for c in kept.columns], F.col("f.found").alias("__found")).mapInArrow(_Answer(text, None), schema)
+    return both.select(*[F.col(f"d.`{c}`") for c in kept.columns], F.col("f.found").alias("__found")).mapInArrow(_Answer(text, None, ready=True), schema)
 
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-class _Automaton:
-    """The automaton of one block of items, built once in a worker; a worker holds one at a time."""
+def _automata(rows: DataFrame, n: int, window: int) -> list[str]:
+    """Files of the automata of n blocks of items, each built by one task."""
+    spark = rows.sparkSession
+    folder = shared.scratch(spark, "automata")
 
-    def __init__(self, key: tuple[str, int], held, files: tuple[str, int] | None, window: int) -> None:
-        self.key, self.held, self.files, self.window = key, held, files, window
-
-    def items(self) -> list[tuple[str, bytes]]:
-        if self.held is not None:
-            return self.held.value
-        path, block = self.files
-        fs, root = shared.filesystem(path)
-        table = ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=["item", "normal"], filter=ds.field("block") == block)
-        return [(i, x.encode("utf-8", "surrogatepass")) for i, x in zip(table["item"].to_pylist(), table["normal"].to_pylist(), strict=True)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.select(["item", "normal"]) for b in batches]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        items, texts = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns)
+        fs, root = shared.filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.arrow"  # an attempt that is lost leaves a file that nobody reads
+        automaton.write(automaton.build(items, texts, window), fs, f"{root}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
 
-    def get(self):
-        if self.key not in _built:
-            _built.clear()
-            _built[self.key] = build_automaton(self.items(), self.window)
-        return _built[self.key]
+    blocks = rows.coalesce(1) if n == 1 else rows.withColumn("block", F.pmod(F.xxhash64("item", "normal"), F.lit(n)).cast("int")).repartitionById(n, "block")
+    return [r.path for r in blocks.mapInArrow(run, "path string").collect()]  # one a block
 
 
-def _matches(automaton, raw: bytes) -> tuple[int, list[tuple[int, int, tuple]]]:
-    """Words of a text and its matches: first word, word after the last, item ids."""
-    words = raw.translate(NORMAL).split()
-    if automaton is None or not words:
-        return len(words), []
-    normal = b" " + b" ".join(words) + b" "
-    found = list(automaton.iter(normal.decode("latin-1")))
-    if not found:
-        return len(words), []
-    gaps = np.flatnonzero(np.frombuffer(normal, dtype=np.uint8) == 32)
-    last = np.searchsorted(gaps, [end for end, _ in found])  # words before the closing space
-    return len(words), [(int(e) - size, int(e), ids) for e, (_, (size, ids)) in zip(last, found, strict=True)]
+def _open(path: str | None) -> automaton.WordAutomaton | None:
+    """The automaton of a file; a worker holds one at a time."""
+    if path is not None and path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = automaton.read(*shared.filesystem(path))
+    return _loaded.get(path)
 
 
 class _Find:
     """Matches of one block in the texts that have any."""
 
-    def __init__(self, source: _Automaton) -> None:
-        self.source = source
+    def __init__(self, path: str) -> None:
+        self.path = path
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = self.source.get()
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("items", pa.list_(pa.string()))]))
+        own = _open(self.path)
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("items", pa.list_(pa.string()))]))
         for batch in batches:
-            found = [_matches(automaton, x.as_py() or b"")[1] for x in batch.column(2).cast(pa.large_binary())]
-            spots = [i for i, x in enumerate(found) if x]
-            rows = [[{"first": a, "last": b, "items": sorted(ids)} for a, b, ids in found[i]] for i in spots]
+            found = automaton.matches(batch.column(2), own)[1]
+            spots = sorted(found)
+            rows = [[{"first": a, "last": b, "items": own.items_of(s)} for a, b, s in found[i]] for i in spots]
             take = pa.array(spots, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(rows, kind)], names=["text_hash", "text_sum", "found"])
 
 
 class _Answer:
-    """The added columns, from an automaton or from the matches in the last column."""
+    """The added columns, from an automaton, or from the matches in the last column if they are ready."""
 
-    def __init__(self, text: str, source: _Automaton | None) -> None:
-        self.text, self.source = text, source
+    def __init__(self, text: str, path: str | None, ready: bool = False) -> None:
+        self.text, self.path, self.ready = text, path, ready
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = self.source.get() if self.source is not None else None
+        own = _open(self.path)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                yield self.answer(whole.slice(at, 2048), automaton)
-
-    def answer(self, batch: pa.RecordBatch, automaton) -> pa.RecordBatch:
-        texts = batch.column(batch.schema.get_field_index(self.text)).cast(pa.large_binary())
-        kept = batch if self.source is not None else batch.select(range(batch.num_columns - 1))
-        ready = None if self.source is not None else batch.column(batch.num_columns - 1).to_pylist()
-        n_words, hit, runs, ids = [], [], [], []
-        for row, x in enumerate(texts):
-            raw = x.as_py() or b""
-            n, found = _matches(automaton, raw)
-            if ready is not None:
-                found = [(m["first"], m["last"], m["items"]) for m in ready[row] or ()]
-            covered = _merge([(a, b) for a, b, _ in found])
-            n_words.append(n)
-            hit.append(sum(b - a for a, b in covered))
-            runs.append(_offsets(raw, covered))
-            ids.append(sorted({i for _, _, own in found for i in own}))
+                yield self.answer(whole.slice(at, 2048), own)
+
+    def answer(self, batch: pa.RecordBatch, own: automaton.WordAutomaton | None) -> pa.RecordBatch:
+        texts = batch.column(batch.schema.get_field_index(self.text)).cast(pa.large_string())
+        n_words, found = automaton.matches(texts, own)
+        kept = batch
+        if self.ready:
+            kept = batch.select(range(batch.num_columns - 1))
+            ready = batch.column(batch.num_columns - 1).to_pylist()
+            found = {i: [(m["first"], m["last"], m["items"]) for m in x] for i, x in enumerate(ready) if x}
+        covered = {i: _merge([(a, b) for a, b, _ in x]) for i, x in found.items()}
+        ids = {i: sorted({name for s in {s if isinstance(s, int) else tuple(s) for _, _, s in x} for name in (own.items_of(s) if isinstance(s, int) else s)}) for i, x in found.items()}
+        every = range(batch.num_rows)
+        hit = [sum(b - a for a, b in covered.get(i, ())) for i in every]
         columns = [
             pa.array(n_words, pa.int64()),
             pa.array(hit, pa.int64()),
-            pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]),
+            pa.array([len(ids.get(i, ())) for i in every], pa.int64()),
+            pa.array([hashlib.sha256(",".join(ids.get(i, ())).encode()).hexdigest() for i in every]),
             pa.array([h > 0 for h in hit]),
-            pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            pa.array([_offsets(texts[i].as_py().encode("utf-8", "surrogatepass"), covered[i]) if i in covered else [] for i in every], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ]
         names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"]
         return pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*kept.schema.names, *names])
