@@ -44,7 +44,8 @@ def write_warc(pages: DataFrame, out: str, *, page_id: str = "page_id", url: str
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "size": F.octet_length("html")})
     keys = rows.where(F.col("size") >= min_revisit_bytes).where("page_id is not null").select("page_id", "digest")
-    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # saved, so that the join can split a payload that very many pages have
+    firsts = shared.saved(keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
     roles = keys.join(firsts, "digest")
     n = shards or shared.shard_count(spark, rows.agg(F.sum("size")).first()[0])
     bounds = shared.range_bounds(rows.select("page_id"), "page_id", n)

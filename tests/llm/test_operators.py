@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from loomery.llm import bpe, decontamination, fingerprints, line_dedup, near_dedup, paragraph_dedup, pii, pretokenize, similarity, token_files, toxicity, warc
 from loomery.llm.cuckoo import CuckooFilter
@@ -604,3 +605,110 @@ def _edited_by_block(text, seed):
     at = seed * 700
     words[at : at + 300 * (seed + 1)] = _prose(6000 + seed, 300 * (seed + 1)).split(" ")
     return " ".join(words)
+
+
+@pytest.mark.parametrize("prior", [(1.0, 1.0), (0.3, 4.0), (9.0, 1.5), (0.1, 0.1)])
+@pytest.mark.parametrize("plan", [near_dedup.CONTRACT, near_dedup.DEFAULT, paragraph_dedup.PLAN])
+def test_posterior_cutoffs_hold_the_miss_for_any_prior(plan, prior):
+    p, cuts = plan.percent / 100, similarity.cutoffs(plan, prior)
+    n = [(t + 1) * plan.batch for t in range(plan.batches)]
+    lost = sum(math.comb(k, m) * p**m * (1 - p) ** (k - m) for k, cut in zip(n, cuts, strict=True) for m in range(cut))
+    assert lost <= 0.25 * plan.miss and cuts[-1] > n[-1] // 3 and list(cuts) == sorted(cuts)
+    # a pair stays exactly if its posterior chance reaches one bound, the same for every batch
+    tails = similarity._posteriors(plan, prior)
+    below, kept = max(x[c - 1] for x, c in zip(tails, cuts, strict=True) if c), min(x[c] for x, c in zip(tails, cuts, strict=True))
+    assert below <= kept
+
+
+def test_prior_follows_the_candidates():
+    rng = np.random.default_rng(4)
+    s = rng.beta(6, 2, 4000)
+    a, b = similarity.fitted_prior(rng.binomial(160, s + (1 - s) / 256), 160)
+    assert abs(a / (a + b) - 0.75) < 0.02 and 5 < a + b < 12
+    assert similarity.fitted_prior(np.array([5]), 160) == similarity.UNIFORM
+
+
+def test_large_groups_of_bare_sketches(spark, monkeypatch):
+    """Members that no star joins, in blocks of sketches; pairs just under the similarity fail on full sets."""
+    monkeypatch.setattr(similarity, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(similarity, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(similarity, "SKETCH_BLOCK", 4)
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    base = _prose(7001, 400)
+    texts = []
+    for i in range(14):
+        words = base.split(" ")
+        for j in range(i % 7):
+            at = (i * 53 + j * 61) % 390
+            words[at : at + 8] = _prose(8000 + 31 * i + j, 8).split(" ")
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(near_dedup.near_duplicates(docs, plan=near_dedup.CONTRACT).select("doc_id", "component_id").collect())
+    want = _components({i: _sets(t, 3) for i, t in enumerate(texts)}, 85)
+    assert got == want and len(set(want.values())) > 1
+
+
+def test_components_of_a_large_hub(spark, monkeypatch):
+    from loomery.llm import components
+
+    monkeypatch.setattr(components, "ROWS_A_TASK", 10)
+    edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(30)] + [(None, 5), (7, 7)]
+    got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(200)} | {1000 + i: 1000 for i in range(31)}
+
+
+def test_hub_rows_can_be_split(spark):
+    """Once the smallest neighbours are saved, adaptive execution finds the hub's rows on one side of a plain join."""
+    from loomery.llm import components
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(1, 300_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        star = components._large_star(edges, True)
+        star.write.format("noop").mode("overwrite").save()
+        star.collect()
+        assert "isSkewJoin=true" in star._jdf.queryExecution().toString() or "skew=true" in star._jdf.queryExecution().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_long_text_without_white_space_of_many_words():
+    """1.1 million different words in one text: longer than the cache, and no white space to cut at."""
+    import tiktoken
+    from loomery.llm import wordcache
+    from loomery.llm.arrays import row_slices, text_buffers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    text = "".join(f"{chr(0x4E00 + i % 20000)}{chr(0x4E00 + i // 97)}!" for i in range(60_000))
+    cache = wordcache.WordCache(lambda words: [bpe.merge_word(w, ranks) for w in words], max_words=5000)
+    offsets, raw = text_buffers(pa.array([text, "a short one"]))
+    ids = [x.tolist() for _, part in cache.encode_column(offsets, raw, row_slices) for x in part]
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert ids == [library.encode_ordinary(text), library.encode_ordinary("a short one")]
+    spans = list(pretokenize.pieces(np.frombuffer(text.encode(), dtype=np.uint8), 1 << 12))
+    assert max(b - a for a, b in spans) <= 1 << 14 and spans[0][0] == 0 and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_decoding_a_range_from_offsets():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    text = "Ärger naïve 漢字 don't stop 12345 \n\n  end".encode()
+    ids = np.array(bpe.merge_word(text, ranks))
+    offsets = bpe.offsets_of(ids, path)
+    assert bpe.decode_range(ids, offsets, path) == text
+    assert all(bpe.decode_range(ids, offsets, path, a, b) == text[a:b] for a in range(0, len(text), 3) for b in range(a, len(text) + 1, 2))
+
+
+def test_toxicity_sample_of_ten_thousand_million_rows(spark):
+    """The threshold of a tiny rate is not rounded to nothing: of 2^64 hashes it takes the rate's share."""
+    for rate in (4000 / 1e10, 0.3, 1e-12):
+        bound = int(re.search(r"(-\d+)", toxicity._among(rate)._jc.toString().replace(" ", "")).group())
+        assert abs((bound + 2**63) / 2**64 / rate - 1) < 1e-6
+    ids = spark.range(20_000)
+    assert abs(ids.where(toxicity._among(0.1)).count() / 2000 - 1) < 0.1 and ids.where(toxicity._among(1.0)).count() == 20_000
