@@ -95,11 +95,18 @@ class CuckooFilter:
         return False
 
     def delete(self, keys: np.ndarray) -> None:
-        """Removes one stored fingerprint for every key."""
-        marks, first, second = self._place(keys)
-        for mark, a, b in zip(marks, first, second, strict=True):
-            for bucket in (a, b):
-                at = np.flatnonzero(self.table[bucket] == mark)
-                if len(at):
-                    self.table[bucket, at[0]] = 0
-                    break
+        """Removes one stored fingerprint for every key: in its first bucket, or else in its second."""
+        mark, bucket, other = self._place(keys)
+        for _ in range(2):
+            # keys of one bucket and fingerprint take its copies in turn
+            order = np.lexsort((mark, bucket))
+            of, marks = bucket[order], mark[order]
+            head = np.append(True, (of[1:] != of[:-1]) | (marks[1:] != marks[:-1])) if len(of) else np.zeros(0, dtype=bool)
+            turn = np.arange(len(of)) - np.maximum.accumulate(np.where(head, np.arange(len(of)), 0))
+            there = self.table[of] == marks[:, None]
+            spot = np.argsort(~there, axis=1, kind="stable")  # the slots that hold it first
+            found = turn < there.sum(1)
+            self.table[of[found], spot[found, turn[found]]] = 0
+            left = np.sort(order[~found])
+            mark, bucket = mark[left], other[left]
+            other = bucket

@@ -3,17 +3,20 @@
 An index is three tables in the shared folder. postings has one row for each document and
 distinct long line key; refs counts these references exactly and knows the largest doc_id of
 a key; filters holds one cuckoo filter per shard of the keys with at least min_docs
-references, which are all that as many documents can hold. Inserting or deleting documents rewrites postings and refs and inserts into or
-deletes from the filters exactly the keys that cross the threshold, so every step can be
-taken back. Filters only spare the exact join rows that cannot match; the join and a count of
-distinct doc_ids among what is left decide.
+references, which are all that as many documents can hold. Each table is a list of parts: an
+insertion adds its postings, a deletion the ids that are gone, both the new counts of the keys
+they touch, and new filters of the shards in which a key crosses the threshold; what was there
+stays as it is, so every step can be taken back, and compact() puts the parts together. Filters
+only spare the exact join rows that cannot match; the join and a count of distinct doc_ids
+among what is left decide.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -99,16 +102,22 @@ def _build_filters(frequent: DataFrame, shards: int) -> DataFrame:
     return dealt.mapInArrow(run, "shard int, filter binary")
 
 
-@dataclass
+@dataclass(frozen=True)
 class LineIndex:
-    """An immutable state; insert and delete return the next one."""
+    """An immutable state; insert and delete return the next one, which shares the tables of this one.
 
-    postings: DataFrame
-    refs: DataFrame
-    filters: DataFrame
+    posting_parts and gone_parts: (version, table); postings of a version lose the documents that are gone in a later
+    one. ref_parts and filter_parts: tables of rows with their version; of each key and shard the newest row counts.
+    """
+
+    posting_parts: tuple[tuple[int, DataFrame], ...]
+    gone_parts: tuple[tuple[int, DataFrame], ...]
+    ref_parts: tuple[DataFrame, ...]
+    filter_parts: tuple[DataFrame, ...]
     shards: int
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
+    version: int = 0
 
     @classmethod
     def build(cls, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> LineIndex:
@@ -119,34 +128,69 @@ class LineIndex:
         """
         shards = shards or shared.shuffle_width(docs.sparkSession)
         postings = shared.saved(line_postings(docs, doc_id, text, min_chars), "line-postings")
+        return cls._of(postings, shards, min_chars, min_docs)
+
+    @classmethod
+    def _of(cls, postings: DataFrame, shards: int, min_chars: int, min_docs: int) -> LineIndex:
         refs = shared.saved(_count(postings), "line-refs")
         filters = shared.saved(_build_filters(refs.where(F.col("refs") >= min_docs), shards), "line-filters")
-        return cls(postings, refs, filters, shards, min_chars, min_docs)
+        zero = F.lit(0).alias("version")
+        return cls(((0, postings),), (), (refs.select("*", zero),), (filters.select("*", zero),), shards, min_chars, min_docs)
+
+    @property
+    def postings(self) -> DataFrame:
+        """All postings of documents that are not gone."""
+        parts = []
+        for version, part in self.posting_parts:
+            for later, gone in self.gone_parts:
+                if later > version:
+                    part = part.join(gone, "doc_id", "left_anti").select("h1", "h2", "doc_id", "text_hash")
+            parts.append(part)
+        return reduce(DataFrame.unionByName, parts)
+
+    @property
+    def refs(self) -> DataFrame:
+        """(h1, h2, refs, last_doc) of every key."""
+        return self._newest(self.ref_parts, ["h1", "h2"], ["refs", "last_doc"]).where("refs > 0")
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._newest(self.filter_parts, ["shard"], ["filter"])
+
+    @staticmethod
+    def _newest(parts: tuple[DataFrame, ...], keys: list[str], values: list[str]) -> DataFrame:
+        if len(parts) == 1:
+            return parts[0].select(*keys, *values)
+        best = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("best"))
+        return best.select(*keys, "best.*")
 
     def insert(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
-        new = shared.saved(line_postings(docs, doc_id, text, self.min_chars), "line-postings-new")
-        postings = shared.saved(self.postings.unionByName(new), "line-postings")
-        joined = self.refs.unionByName(_count(new)).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.max("last_doc").alias("last_doc"))
-        return self._next(postings, shared.saved(joined, "line-refs"))
+        """With all rows of docs. Written are their postings, the counts of their keys, and filters that change."""
+        new = shared.saved(line_postings(docs, doc_id, text, self.min_chars), "line-postings")
+        counts = _count(new)
+        was = self.refs.join(counts.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        now = was.unionByName(counts).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.max("last_doc").alias("last_doc"))
+        return self._next(was, now, postings=new)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """Without the documents whose ids doc_ids holds in its first column."""
-        gone = doc_ids.select(F.col(doc_ids.columns[0]).cast("long").alias("doc_id")).distinct()
-        touched = self.postings.join(gone, "doc_id", "left_semi").select("h1", "h2").distinct()
-        postings = shared.saved(self.postings.join(gone, "doc_id", "left_anti").select(*self.postings.columns), "line-postings")
-        # counts of touched keys are taken anew from what is left, all others stand
-        anew = _count(postings.join(touched, ["h1", "h2"], "left_semi"))
-        refs = self.refs.join(touched, ["h1", "h2"], "left_anti").unionByName(anew)
-        return self._next(postings, shared.saved(refs, "line-refs"))
-
-    def _next(self, postings: DataFrame, refs: DataFrame) -> LineIndex:
-        """The filters after the keys that crossed the threshold were inserted or deleted."""
-        was = self.refs.where(F.col("refs") >= self.min_docs).select("h1", "h2")
-        now = refs.where(F.col("refs") >= self.min_docs).select("h1", "h2")
-        up = now.join(was, ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(1).alias("step"))
-        down = was.join(now, ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(-1).alias("step"))
-        changes = up.unionByName(down).select(_shard(self.shards).alias("shard"), "h1", "step")
-        rebuilt = now.select(_shard(self.shards).alias("shard"), "h1")
+        """Without the documents whose ids doc_ids holds in its first column. Written are the ids, the counts of their keys,
+        taken anew from what is left, and filters that change."""
+        gone = shared.saved(doc_ids.select(F.col(doc_ids.columns[0]).cast("long").alias("doc_id")).distinct(), "line-gone")
+        touched = shared.saved(self.postings.join(gone, "doc_id", "left_semi").select("h1", "h2").distinct(), "line-touched")
+        left = _count(self.postings.join(touched, ["h1", "h2"], "left_semi").join(gone, "doc_id", "left_anti"))
+        was = self.refs.join(touched, ["h1", "h2"], "left_semi")
+        none = touched.join(left, ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(0).cast("long").alias("refs"), F.lit(None).cast("long").alias("last_doc"))
+        return self._next(was, left.unionByName(none), gone=gone)
+
+    def _next(self, was: DataFrame, now: DataFrame, *, postings: DataFrame | None = None, gone: DataFrame | None = None) -> LineIndex:
+        """The state after the counts of some keys changed from was to now."""
+        version = self.version + 1
+        now = shared.saved(now.withColumn("version", F.lit(version)), "line-refs")
+        frequent = lambda x: x.where(F.col("refs") >= self.min_docs).select("h1", "h2")
+        up = frequent(now).join(frequent(was), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(1).alias("step"))
+        down = frequent(was).join(frequent(now), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(-1).alias("step"))
+        changes = shared.saved(up.unionByName(down).select(_shard(self.shards).alias("shard"), "h1", "step"), "line-changes")
+        refs = (*self.ref_parts, now)
 
         def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             kept = CuckooFilter.from_bytes(left["filter"].iloc[0]) if len(left) else CuckooFilter.for_size(len(right))
@@ -154,31 +198,42 @@ class LineIndex:
             full = not kept.insert(right.loc[right["step"] > 0, "h1"].to_numpy())
             return pd.DataFrame({"shard": np.array([key[0]], dtype=np.int32), "filter": [None if full else kept.to_bytes()]})
 
-        stepped = shared.saved(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, "shard int, filter binary"), "line-filters-next")
+        held = self.filters.join(changes.select("shard").distinct(), "shard", "left_semi")
+        stepped = shared.saved(held.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, "shard int, filter binary"), "line-filters-next")
         full = stepped.where("filter is null").select("shard")
-        larger = rebuilt.join(full, "shard", "left_semi").groupBy("shard").applyInPandas(lambda k, x: pd.DataFrame({"shard": np.array([k[0]], dtype=np.int32), "filter": [CuckooFilter.build(x["h1"].to_numpy()).to_bytes()]}), "shard int, filter binary")
-        filters = shared.saved(stepped.where("filter is not null").unionByName(larger), "line-filters")
-        return LineIndex(postings, refs, filters, self.shards, self.min_chars, self.min_docs)
+        every = frequent(self._newest(refs, ["h1", "h2"], ["refs", "last_doc"])).select(_shard(self.shards).alias("shard"), "h1")
+        larger = every.join(full, "shard", "left_semi").groupBy("shard").applyInPandas(lambda k, x: pd.DataFrame({"shard": np.array([k[0]], dtype=np.int32), "filter": [CuckooFilter.build(x["h1"].to_numpy()).to_bytes()]}), "shard int, filter binary")
+        filters = stepped.where("filter is not null").unionByName(larger) if not full.isEmpty() else stepped
+        filters = shared.saved(filters.withColumn("version", F.lit(version)), "line-filters")
+        shared.drop(changes, stepped)
+        own = ((version, postings),) if postings is not None else ()
+        less = ((version, gone),) if gone is not None else ()
+        return replace(self, posting_parts=self.posting_parts + own, gone_parts=self.gone_parts + less, ref_parts=refs, filter_parts=(*self.filter_parts, filters), version=version)
+
+    def compact(self) -> LineIndex:
+        """The same state in one part each, for when the parts have become many."""
+        return self._of(shared.saved(self.postings, "line-postings"), self.shards, self.min_chars, self.min_docs)
 
     def probable(self) -> DataFrame:
         """The postings whose keys pass the filters: all of frequent keys, few others."""
+        postings = self.postings
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         if size <= BROADCAST_BYTES:
-            held = self.postings.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
-            return self.postings.mapInArrow(_Probe(held, self.shards), self.postings.schema)
-        rows = self.postings.withColumn("shard", _shard(self.shards))
-        columns = self.postings.columns
+            held = postings.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
+            return postings.mapInArrow(_Probe(held, self.shards), postings.schema)
+        rows = postings.withColumn("shard", _shard(self.shards))
+        columns = postings.columns
         sizes = sorted(rows.groupBy("shard").count().collect())  # one short row a shard
         spans = [-(-n // ROWS_A_TASK) for _, n in sizes]
         starts = np.concatenate(([0], np.cumsum(spans))).tolist()
         if not sizes:
-            return self.postings
-        places = self.postings.sparkSession.createDataFrame([(k, a, n) for (k, _), a, n in zip(sizes, starts, spans, strict=False)], "shard int, start int, span int")
+            return postings
+        places = postings.sparkSession.createDataFrame([(k, a, n) for (k, _), a, n in zip(sizes, starts, spans, strict=False)], "shard int, start int, span int")
         places = F.broadcast(places)  # as many rows as shards
         spread = rows.join(places, "shard").select((F.col("start") + F.pmod(F.xxhash64("doc_id", "h1"), "span")).cast("int").alias("task"), *columns, F.lit(None).cast("binary").alias("filter"))
         held = self.filters.join(places, "shard").select(F.explode(F.sequence("start", F.col("start") + F.col("span") - 1)).alias("task"), *[F.lit(None).cast("long").alias(c) for c in columns], "filter")
         dealt = spread.unionByName(held).repartitionById(starts[-1], "task").sortWithinPartitions(F.col("filter").isNull())
-        return dealt.select(*columns, "filter").mapInArrow(_probe_own, self.postings.schema)
+        return dealt.select(*columns, "filter").mapInArrow(_probe_own, postings.schema)
 
     def drops(self) -> DataFrame:
         """(doc_id, text_hash, keys): for each document the hashes of the keys whose lines it loses."""

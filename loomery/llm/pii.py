@@ -4,11 +4,13 @@ Every detected entity has a kind and a canonical form; all mentions of that form
 surrogate core, drawn from a keyed hash, and each mention renders the core in its own format
 (punctuation, case, length). Cores are checked against all originals and against each other
 over the whole corpus, and drawn again until no two entities of a kind share one. The parts of
-a person's name are entities of their own, so a later mention by surname agrees.
+a person's name are entities of their own; once a document has them, its other mentions by first
+name or surname alone are found and agree.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
@@ -41,9 +43,14 @@ _TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "
 #: Phrases after which a name stands, whatever it is.
 CUES = ["my name is", "mein name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "με λένε", "dear", "name:", "nom:", "nombre:", "имя:", "signed", "regards,", "sincerely,", "grüßen,", "cordialement,", "atentamente,"]
 _CUES = rf"(?i:(?<!\w)(?:{'|'.join(CUES)}),?)"
+#: Words after such a phrase that are no names.
+NOT_NAMES = "Sir Sirs Madam Customer Customers Client Clients Friend Friends Team All Colleague Colleagues User Users Member Members Reader Readers Student Students Guest Guests Editor Manager Parents Everyone Diary Santa God Lord The Not Mr Mrs Ms Miss Dr Herr Frau Damen Herren Monsieur Madame Señor Señora".split()
+#: Calling codes of one and of two digits; all others have three.
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 _SYLLABLES = {"greek": ("βα", "δεν", "γο", "κα", "λι", "μαρ", "νο", "πε", "ρα", "σιν", "τα", "φο"), "latin": ("ba", "den", "fi", "gor", "hal", "ken", "lo", "mar", "nes", "rin", "sel", "tor", "vi", "wen"), "cyrillic": ("бо", "вел", "гри", "дан", "зор", "ков", "лин", "мар", "нов", "рас", "тев", "шин")}
 
 _CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-Ώ][a-zß-öø-ÿа-яёα-ωά-ώ'-]+"
+_UPPER = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω'-]+"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in order of precedence; group 1 is the entity.
@@ -53,6 +60,7 @@ PATTERNS = [
     ("access_key", re.compile(r"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])")),
     ("hex_secret", re.compile(r"(?<![0-9A-Za-z])([0-9a-f]{40})(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![\d.-])([3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|[25]\d{15})(?![\d-])")),
+    ("phone", re.compile(r"(?<![\w+])(00[1-9]\d{0,2}[ .-](?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4})(?!\d)")),
     ("phone", re.compile(r"(?<![\d+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4})(?!\d)")),
     ("phone", re.compile(r"(?<![\w.+-])(\d{3}([ .-])\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{5,8}|0\d(?:[ .]\d{2}){4})(?![\w-]|\.\d)")),
     ("phone", re.compile(r"(?i:\b(?:phone|call|tel|fax|mobile|telefon|téléphone|teléfono|тел)\b[.: ]{0,3})(\(?\d{2,5}\)?(?:[ ./-]?\d{2,4}){2,5})(?![\w-]|\.\d)")),
@@ -62,7 +70,8 @@ PATTERNS = [
     ("ip", re.compile(rf"(?<![\d.])({_OCTET}(?:\.{_OCTET}){{3}})(?!\d|\.\d)")),
 ]
 _NAME = re.compile(rf"(?<!\w)(?:({'|'.join(_TITLES)})\.? )?({_CAPITAL})(?: ({_CAPITAL}))?")
-_INTRODUCED = re.compile(rf"{_CUES}\s{{1,3}}({_CAPITAL})(?: ({_CAPITAL}))?")
+_INTRODUCED = re.compile(rf"{_CUES}\s{{1,3}}(?:({_CAPITAL})(?: ({_CAPITAL}))?|({_UPPER})(?: ({_UPPER}))?)")
+_BARE_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _DIGIT = re.compile(r"\d")
 
 
@@ -94,10 +103,43 @@ def find_entities(text: str) -> list[tuple[str, int, int]]:
         if a >= last:
             taken.append((kind, a, b))
             last = b
-    names = [x for x in _names(text) if not any(a < x[2] and x[1] < b for _, a, b in taken)]
+    names = _free(_names(text), taken)
+    if names:
+        names = sorted([*names, *_free(_again(text, names), [*taken, *names])], key=lambda x: x[1])
     return sorted([*taken, *names], key=lambda x: x[1])
 
 
+def _free(found: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those that overlap none that are taken."""
+    taken = sorted(taken, key=lambda x: x[1])
+    starts = [a for _, a, _ in taken]
+    out = []
+    for x in found:
+        i = bisect.bisect_left(starts, x[2])
+        if not i or taken[i - 1][2] <= x[1]:
+            out.append(x)
+    return out
+
+
+def _again(text: str, names: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Later and earlier mentions of a document's own names by one of their words, capitalised or in capitals; a word in
+    small letters is not taken for a name."""
+    kinds: dict[str, str] = {}
+    for kind, a, b in names:
+        word = text[a:b]
+        for form in (word, word.capitalize(), word.upper()):
+            kinds.setdefault(form, kind)
+    return [(kinds[m[0]], m.start(), m.end()) for m in _BARE_WORD.finditer(text) if m[0] in kinds and not m[0].islower()]
+
+
+def mentions(text: str) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, canonical form) of the entities of a document. A telephone number in its national form is the
+    one in international form that the document also has, if they agree in all but the country."""
+    found = [(kind, a, b, canonical(kind, text[a:b])) for kind, a, b in find_entities(text)]
+    abroad = {c.partition("|")[2]: c for kind, _, _, c in found if kind == "phone" and not c.startswith("|")}
+    return [(kind, a, b, abroad.get(c[1:], c) if kind == "phone" and c.startswith("|") else c) for kind, a, b, c in found]
+
+
 def _names(text: str) -> list[tuple[str, int, int]]:
     """First names of the lists that a title or surname goes with, surnames after titles, and whatever a phrase introduces."""
     found: dict[int, tuple[str, int, int]] = {}
@@ -112,12 +154,13 @@ def _names(text: str) -> list[tuple[str, int, int]]:
             found[m.start(3 if last else 2)] = (f"surname_{_script(last or first)}", *m.span(3 if last else 2))
     low = text.lower()
     for m in _INTRODUCED.finditer(text) if any(cue in low for cue in CUES) else ():
-        if m[1] in _TITLES:
+        one, two = (1, 2) if m[1] else (3, 4)
+        if m[one].capitalize() in NOT_NAMES:
             continue
-        kind = _GENDER_OF.get(m[1])
-        found.setdefault(m.start(1), (f"first_{kind}" if kind else f"given_{_script(m[1])}", m.start(1), m.end(1)))
-        if m[2]:
-            found.setdefault(m.start(2), (f"surname_{_script(m[2])}", m.start(2), m.end(2)))
+        kind = _GENDER_OF.get(m[one].capitalize())
+        found.setdefault(m.start(one), (f"first_{kind}" if kind else f"given_{_script(m[one])}", m.start(one), m.end(one)))
+        if m[two] and m[two].capitalize() not in NOT_NAMES:
+            found.setdefault(m.start(two), (f"surname_{_script(m[two])}", m.start(two), m.end(two)))
     return sorted(found.values(), key=lambda x: x[1])
 
 
@@ -133,7 +176,7 @@ def canonical(kind: str, value: str) -> str:
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", value)
     if kind == "phone":
-        return re.sub(r"\D", "", value)
+        return _number(value)
     if kind == "iban":
         return value.replace(" ", "")
     if kind == "ip6":
@@ -143,6 +186,16 @@ def canonical(kind: str, value: str) -> str:
     return value
 
 
+def _number(value: str) -> str:
+    """country|number of a telephone number, the country empty in national form; a zero before the number goes."""
+    digits, country = re.sub(r"\D", "", value), ""
+    if value.startswith("+") or digits.startswith("00"):
+        digits = digits if value.startswith("+") else digits[2:]
+        country = next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+        digits = digits[len(country) :]
+    return f"{country}|{digits[1:] if digits.startswith('0') else digits}"
+
+
 def _stream(key: bytes, *parts: str) -> Iterator[int]:
     block = 0
     while True:
@@ -188,8 +241,8 @@ def surrogate_core(kind: str, core: str, key: bytes, attempt: int) -> str:
             return body + str(next(draw) % 10)
         return body + str(-_luhn(body + "0") % 10)
     if kind == "phone":
-        keep = max(len(core) - 10, 0)
-        return core[:keep] + "".join(str((2 + next(draw) % 8) if i == 0 else next(draw) % 10) for i in range(len(core) - keep))
+        country, _, number = core.partition("|")
+        return f"{country}|" + "".join(str((2 + next(draw) % 8) if i == 0 else next(draw) % 10) for i in range(len(number)))
     if kind == "iban":
         return core[:2] + _shape(core[2:], draw)
     if kind == "ip":
@@ -209,6 +262,10 @@ def surrogate_core(kind: str, core: str, key: bytes, attempt: int) -> str:
 
 def render(kind: str, value: str, core: str) -> str:
     """core in the format of the mention."""
+    if kind == "phone":  # what stands before the number itself, such as 00, a country or a zero, stays
+        number = core.partition("|")[2]
+        before = sum(c.isdigit() for c in value) - len(number)
+        core = re.sub(r"\D", "", value)[:before] + number
     if kind in ("card", "ssn", "phone"):
         digits = iter(core)
         return "".join(next(digits) if c.isdigit() else c for c in value)
@@ -238,9 +295,9 @@ def detect(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
                 take, found = [], []
                 for i, value in enumerate(batch.column(2)):
                     body = value.as_py()
-                    for what, a, b in find_entities(body):
+                    for what, a, b, form in mentions(body):
                         take.append(i)
-                        found.append((what, a, b, body[a:b], canonical(what, body[a:b])))
+                        found.append((what, a, b, body[a:b], form))
                 spots = pa.array(take, pa.int64())
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 columns = [pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)]

@@ -8,13 +8,14 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.llm import bpe, decontamination, fingerprints, line_dedup, near_dedup, paragraph_dedup, pii, pretokenize, similarity, token_files, toxicity, warc
+from loomery.llm import bpe, decontamination, fingerprints, line_dedup, near_dedup, paragraph_dedup, pii, pretokenize, shared, similarity, token_files, toxicity, warc
 from loomery.llm.cuckoo import CuckooFilter
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -712,3 +713,69 @@ def test_toxicity_sample_of_ten_thousand_million_rows(spark):
         assert abs((bound + 2**63) / 2**64 / rate - 1) < 1e-6
     ids = spark.range(20_000)
     assert abs(ids.where(toxicity._among(0.1)).count() / 2000 - 1) < 0.1 and ids.where(toxicity._among(1.0)).count() == 20_000
+
+
+def test_line_index_writes_deltas_only(spark, tmp_path):
+    lines = [f"a line of forty characters and some more {i}" for i in range(8)]
+    texts = {i: "\n".join(lines[: 1 + i % 8]) + f"\nown {i}" for i in range(30)}
+    schema = "doc_id long, text string"
+    rows = lambda keep: spark.createDataFrame([(i, texts[i]) for i in sorted(keep)], schema)
+    folder = Path(shared.shared_dir(spark).removeprefix("file://")) / "loomery"
+    sizes = lambda: {p: p.stat().st_mtime_ns for p in folder.glob("line-*/*.parquet")}
+
+    def check(index, keep):
+        got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup_lines(rows(keep), index).collect()}
+        assert got == _line_brute({i: texts[i] for i in keep})
+
+    first = line_dedup.LineIndex.build(rows(range(20)), shards=3)
+    before = sizes()
+    second = first.insert(rows(range(20, 30)))
+    third = second.delete(spark.createDataFrame([(i,) for i in (3, 7, 15, 23, 29)], "doc_id long"))
+    fourth = third.insert(rows([7, 29]))
+    assert all(sizes()[p] == t for p, t in before.items())  # what was there is not written again
+    assert sum(r.n for r in [second.posting_parts[-1][1].selectExpr("count(*) n").first()]) == sum(1 + i % 8 for i in range(20, 30))
+    kept = set(range(30)) - {3, 15, 23}
+    check(first, range(20)), check(second, range(30)), check(third, kept - {7, 29}), check(fourth, kept)
+    whole = fourth.compact()
+    check(whole, kept)
+    assert sorted(map(tuple, whole.refs.collect())) == sorted(map(tuple, fourth.refs.collect())) and len(whole.posting_parts) == 1
+    nothing = fourth.delete(spark.createDataFrame([(i,) for i in range(30)], "doc_id long"))
+    assert nothing.refs.count() == 0 and nothing.postings.count() == 0
+
+
+def test_cuckoo_deletes_whole_arrays():
+    rng = np.random.default_rng(9)
+    keys = rng.integers(1, 1 << 62, 5000)
+    made = CuckooFilter.build(keys)
+    stored = np.count_nonzero(made.table)
+    made.delete(keys[:2000])
+    assert made.contains(keys[2000:]).all() and np.count_nonzero(made.table) == stored - 2000
+    made.delete(keys[2000:])
+    assert np.count_nonzero(made.table) == 0
+
+
+PEOPLE = [
+    ("My name is Rachel Green. Later Green went home and Rachel left; RACHEL saw green apples.", ["rachel", "Green", "GREEN"]),
+    ("MY NAME IS JOHN SMITH. Smith came.", ["john", "smith"]),
+]
+
+
+@pytest.mark.parametrize(("text", "gone"), PEOPLE)
+def test_pii_later_mentions(spark, text, gone):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = pii.replace_entities(docs, pii.surrogates(docs, b"k")).first().text
+    assert not any(re.search(rf"\b{w}\b", out, re.IGNORECASE if w.lower() != "green" else 0) for w in gone)
+    shown = [out[a:b] for _, a, b in pii.find_entities(out)]
+    assert len({w.lower() for w in shown}) == 2  # two parts of one name, whatever their case
+
+
+def test_pii_telephone_numbers_agree(spark):
+    texts = ["+1 (415) 555-0100 or 415-555-0100", "0049 30 1234567, +49 30 1234567, +49 (0)30 1234567, tel 030 1234567", "tel 030 1234568", "Dear Sir, dear Customer, dear Team, DEAR FRIENDS"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.surrogates(docs, b"k")
+    out = {r.doc_id: r.text for r in pii.replace_entities(docs, found).collect()}
+    numbers = {i: [re.sub(r"\D", "", x)[-k:] for x in re.split(r" or |, ", out[i])] for i, k in ((0, 10), (1, 9))}
+    assert len(set(numbers[0])) == 1 and len(set(numbers[1])) == 1 and numbers[0][0] != "4155550100"
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}", out[0]) and out[1].startswith("0049 ") and "+49 (0)" in out[1]
+    assert out[3] == texts[3] and out[2] != texts[2] and re.sub(r"\D", "", out[2])[-9:] != numbers[1][0]
+    assert pii.canonical("phone", "+44 20 7946 0958") != pii.canonical("phone", "+33 20 7946 0958")
