@@ -226,3 +226,16 @@ def strongest(candidates: Column) -> Column:
     best = F.array_min(F.transform(candidates, lambda c: c["rank"]))
     values = F.array_distinct(F.transform(F.filter(candidates, lambda c: c["rank"] == best), lambda c: c["value"]))
     return F.when(F.size(values) == 1, values[0])
+
+
+def evidence(candidates: DataFrame, keys: list[str], rank: str, value: str) -> DataFrame:
+    """keys, value, rank, n, conflict: of each key's candidates the value of the lowest rank (the smallest of several), how
+    many values there are, and whether any differ. Null values are no evidence.
+
+    Best rank, value and the two ends of the values are one small state that is combined before the shuffle, so a key
+    with very many candidates does not meet in one task.
+    """
+    rows = candidates.where(F.col(value).isNotNull())
+    best = F.min(F.struct(F.col(rank).alias("rank"), F.col(value).alias("value"))).alias("best")
+    found = rows.groupBy(*keys).agg(best, F.count("*").alias("n"), (F.min(value) != F.max(value)).alias("conflict"))
+    return found.select(*keys, "best.value", "best.rank", "n", "conflict")

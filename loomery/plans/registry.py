@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomery.operators import library as pages
 from loomery.operators.search import Fields, compile_query
-from loomery.plans import assets, graphs, library, search
+from loomery.plans import assets, graphs, jobs, library, search
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**search.QUERIES, **library.QUERIES, **assets.QUERIES, **graphs.QUERIES}
+    return {**search.QUERIES, **library.QUERIES, **assets.QUERIES, **graphs.QUERIES, **jobs.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**search.SQL, **library.SQL, **assets.SQL, **graphs.SQL}
+    return {**search.SQL, **library.SQL, **assets.SQL, **graphs.SQL, **jobs.SQL}

@@ -59,9 +59,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 class KeyedTable:
     """A table in hash partitions of its key; a commit writes only the partitions it changes.
 
-    Layout below path: data/bucket=B/version=V/*.parquet, and versions/version=V/*.parquet with one row
-    (bucket, held) for each bucket: the version in which it was last written. A version counts once its list of
-    buckets is complete, so a commit that stops half way changes nothing that is read, readers of an older
+    Layout below path: data/bucket=B/version=V/*.parquet, notes/version=V (what a commit has to say of itself), and
+    versions/version=V/*.parquet with one row (bucket, held) for each bucket: the version in which it was last
+    written. A version counts once its list of buckets is complete, so a commit that stops half way changes nothing that is read, readers of an older
     version are not disturbed, and a commit that is run again replaces what the first run left behind. One
     writer commits at a time.
     """
@@ -101,28 +101,48 @@ class KeyedTable:
         paths = [p for b, v in sorted(some.items()) if _exists(self.spark, p := f"{self.path}/data/bucket={b}/version={v}")]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def merge(self, rows: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> dict[str, int]:
+    def notes(self, kind: str) -> list[str]:
+        """The notes of a kind of all versions, oldest first."""
+        version = self.version()
+        if not _exists(self.spark, f"{self.path}/notes"):
+            return []
+        rows = self.spark.read.schema("kind string, note string, version int").parquet(f"{self.path}/notes")
+        return [r.note for r in rows.where((F.col("kind") == kind) & (F.col("version") <= version)).orderBy("version", "note").collect()]
+
+    def merge(self, rows: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], notes: list[tuple[str, str]] | None = None) -> dict[str, int]:
         """One commit of combine(stored, incoming), which returns the merged rows with __change: new, changed,
         same or untouched, for the buckets that rows fall into. Buckets without a new or changed row keep their
-        files. Returns how many rows there were of each change."""
+        files. notes: (kind, note) that hold exactly if this commit does. Returns how many rows there were of each change."""
         held = self.listing()
         rows = rows.withColumn("bucket", self.bucket(len(held)))
         touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most one a bucket
         if not touched:
+            if notes:
+                self._commit(self._listed(held), self._noted(notes))
             return {}
         merged = saved(combine(self.read(buckets=touched), rows.drop("bucket")).withColumn("bucket", self.bucket(len(held))), "merge")
         counts = merged.groupBy("bucket", "__change").agg(F.count("*").alias("n")).collect()
         dirty = sorted({r.bucket for r in counts if r["__change"] in ("new", "changed")})
-        if dirty:
-            v = self.version() + 1
-            self._write(merged.where(F.col("bucket").isin(dirty)).drop("__change"), v)
-            held = held | dict.fromkeys(dirty, v)
-            self._commit(self.spark.createDataFrame(sorted(held.items()), "bucket int, held int"), v)
+        if dirty or notes:
+            v = self._noted(notes or [])
+            if dirty:
+                self._write(merged.where(F.col("bucket").isin(dirty)).drop("__change"), v)
+            self._commit(self._listed(held | dict.fromkeys(dirty, v)), v)
         out: dict[str, int] = {}
         for r in counts:
             out[r["__change"]] = out.get(r["__change"], 0) + r.n
         return out
 
+    def _listed(self, held: dict[int, int]) -> DataFrame:
+        return self.spark.createDataFrame(sorted(held.items()), "bucket int, held int")
+
+    def _noted(self, notes: list[tuple[str, str]]) -> int:
+        """The next version, its notes written; what a commit that stopped had noted for it is replaced."""
+        v = self.version() + 1
+        if notes or _exists(self.spark, f"{self.path}/notes/version={v}"):
+            self.spark.createDataFrame(notes, "kind string, note string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/notes/version={v}")
+        return v
+
     def _write(self, rows: DataFrame, version: int) -> None:
         plain = rows.drop("bucket")
         if not _exists(self.spark, f"{self.path}/schema"):
