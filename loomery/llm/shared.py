@@ -91,8 +91,8 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bytes of rows in one shard of a range-dealt table.
-SHARD_BYTES = 512 << 20
+#: Bytes of rows in one shard of a range-dealt table, and keys at most that its cut points are taken from.
+SHARD_BYTES, SAMPLE_KEYS = 512 << 20, 1 << 20
 
 
 def shard_count(spark: SparkSession, total: int | None) -> int:
@@ -104,8 +104,8 @@ def range_bounds(keys: DataFrame, key: str, shards: int, per_shard: int = 64) ->
     """At most shards - 1 ascending cut points of an integer key, the same for the same rows in any order.
 
     The distinct keys whose hashes are smallest are a uniform sample that needs no random
-    numbers; its size depends on the number of shards only. It balances the shards and
-    decides nothing else: every row still lands in exactly one shard.
+    numbers; it has 64 keys a shard, or SAMPLE_KEYS of very many shards. It balances the shards
+    and decides nothing else: every row still lands in exactly one shard.
     """
     if shards <= 1:
         return []
@@ -115,7 +115,7 @@ def range_bounds(keys: DataFrame, key: str, shards: int, per_shard: int = 64) ->
         .groupBy("k")
         .agg(F.lit(1).alias("one"))
         .orderBy(F.xxhash64("k"), "k")
-        .limit(shards * per_shard)
+        .limit(min(shards * per_shard, SAMPLE_KEYS))
         .collect()
     )
     found = sorted(r.k for r in sample)
