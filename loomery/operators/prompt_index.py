@@ -45,7 +45,7 @@ class PromptIndex:
         rows.select("id").write.mode("overwrite").parquet(f"{self.path}/gone/segment={s}")
         found = rows.select("id", F.posexplode(_words(F.col("prompt"))).alias("at", "word"))
         postings = found.groupBy("word", "id").agg(F.sort_array(F.collect_list("at")).alias("positions"))  # as many as the prompt's words
-        postings = postings.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(self.buckets)).cast("int"))
+        postings = postings.withColumn("bucket", self._bucket(F.col("word")))
         dealt = postings.repartition("bucket").sortWithinPartitions("word")
         dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/segment={s}")
         words = self.spark.read.schema("word string, bucket int").parquet(f"{self.path}/postings/segment={s}").distinct()
@@ -59,13 +59,19 @@ class PromptIndex:
         paths = [f"{self.path}/{table}/segment={s}" for s in range(n)]
         return self.spark.read.schema(f"{schema}, segment int").option("basePath", f"{self.path}/{table}").parquet(*paths)
 
-    def postings(self, match: Column, exact: bool) -> DataFrame:
-        """(id, positions, segment) of the words that match. Only the partitions of such words are read: those of the one word
-        if it is exact, else those that the list of words names."""
-        words = self._read("words", "word string, bucket int").where(match).select("bucket").distinct()
-        buckets = sorted(r.bucket for r in words.collect())  # at most as many as there are
+    def _bucket(self, word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(self.buckets)).cast("int")
+
+    def postings(self, match: Column, exact: str | None = None) -> DataFrame:
+        """(id, positions, segment) of the words that match. Only the partitions of such words are read: that of one exact
+        word, which is known when the query is planned, or those that the list of words names."""
         rows = self._read("postings", "word string, id string, positions array<int>, bucket int")
-        return rows.where(F.col("bucket").isin(buckets) & match).select("id", "positions", "segment")
+        if exact is not None:
+            rows = rows.where(F.col("bucket") == self._bucket(F.lit(exact)))
+        else:
+            words = self._read("words", "word string, bucket int").where(match).select("bucket").distinct()
+            rows = rows.where(F.col("bucket").isin(sorted(r.bucket for r in words.collect())))  # at most as many as there are
+        return rows.where(match).select("id", "positions", "segment")
 
     def candidates(self, phrase: str) -> DataFrame | None:
         """(id) of the prompts that have the phrase's words next to each other; None if it has no word."""
@@ -80,7 +86,7 @@ class PromptIndex:
             ends = i < len(words) - 1 or not low.endswith(word)
             column = F.col("word")
             match = (column == word) if begins and ends else column.startswith(word) if begins else column.endswith(word) if ends else F.contains(column, F.lit(word))
-            at = self.postings(match, begins and ends).select("id", "segment", F.explode("positions").alias("at")).select("id", "segment", (F.col("at") - i).alias("start")).distinct()
+            at = self.postings(match, word if begins and ends else None).select("id", "segment", F.explode("positions").alias("at")).select("id", "segment", (F.col("at") - i).alias("start")).distinct()
             found = at if found is None else found.join(at, ["id", "segment", "start"])
         gone = self._read("gone", "id string").groupBy("id").agg(F.max("segment").alias("last"))
         return found.select("id", "segment").distinct().join(gone, "id").where("segment >= last").select("id").distinct()
