@@ -83,10 +83,11 @@ class KeyedTable:
 
     def version(self) -> int:
         """The newest version whose list of buckets is complete."""
-        v = 0
-        while _exists(self.spark, f"{self.path}/versions/version={v + 1}/_SUCCESS"):
-            v += 1
-        return v
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+        fs = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [status.getPath().getName() for status in fs.listStatus(place)]
+        found = sorted((int(n.partition("=")[2]) for n in names if n.startswith("version=")), reverse=True)
+        return next(v for v in found if _exists(self.spark, f"{self.path}/versions/version={v}/_SUCCESS"))
 
     def listing(self, version: int | None = None) -> dict[int, int]:
         """{bucket: version in which it was last written}: as many entries as there are buckets."""
