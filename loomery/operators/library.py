@@ -45,8 +45,11 @@ def pages(rows: DataFrame, sort: str, row_id: str, limit: int, **options) -> Ite
         cursor = found[-1].asDict()
 
 
-def media_stats(rows: DataFrame, conditions: dict[str, Column], size: str) -> DataFrame:
-    """One row: total, the count under each condition, and the sum of size (0 if there are no rows)."""
+def media_stats(rows: DataFrame, conditions: dict[str, Column], size: str, row_id: str | None = None) -> DataFrame:
+    """One row: total, the count under each condition, and the sum of size (0 if there are no rows). With row_id an
+    asset that a join brought several times counts once."""
+    if row_id is not None:
+        rows = rows.dropDuplicates([row_id])
     counts = [F.count_if(c).alias(name) for name, c in conditions.items()]
     return rows.agg(F.count("*").alias("total"), *counts, F.coalesce(F.sum(size), F.lit(0)).alias("total_size"))
 

@@ -9,9 +9,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery import storage
 from loomery.functions import text
 from loomery.operators.library import best_key
 
+#: Rounds in which moves of ids are doubled: 2^16 moves in a row.
+MAX_MOVES = 16
+
 Policy = Callable[[Column, Column], Column]
 
 # column policies of an upsert: (stored, incoming) -> kept
@@ -80,6 +84,25 @@ def remap(table: DataFrame, moves: DataFrame, column: str) -> DataFrame:
     return table.join(new, column, "left").select(*[F.coalesce("new_id", column).alias(c) if c == column else F.col(c) for c in table.columns]).distinct()
 
 
+def move_identity(tables: dict[str, tuple[DataFrame, list[str]]], moves: DataFrame) -> dict[str, DataFrame]:
+    """Every table after the ids in its columns went through moves (old_id, new_id): assets, memberships, bridges, edges,
+    facets alike. tables: {name: (table, its id columns)}.
+
+    Moves that follow one another (a to b, b to c) are one move to their end. Of several moves of one id the smallest
+    new_id counts, and a move along a cycle is none. Ids that meet become one row where the rest of the row is equal.
+    """
+    step = moves.where("old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id"))
+    step, settled = storage.saved(step, "moves"), -1
+    for _ in range(MAX_MOVES):
+        on = step.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("further"))
+        ahead = storage.saved(step.join(on, "new_id", "left").select("old_id", F.coalesce("further", "new_id").alias("new_id"), F.col("further").isNotNull().alias("moved")), "moves")
+        step, before, settled = ahead.select("old_id", "new_id"), settled, ahead.where("not moved").count()
+        if settled == before:  # what is left goes in circles
+            break
+    ends = step.join(step.select(F.col("old_id").alias("new_id")), "new_id", "left_anti").select("old_id", "new_id")
+    return {name: reduce(lambda t, c: remap(t, ends, c), columns, table) for name, (table, columns) in tables.items()}
+
+
 def new_files(listing: DataFrame, *known: DataFrame) -> DataFrame:
     """Files of a listing that none of the id tables (id) knows, newest first."""
     ids = known[0].select("id")
@@ -109,11 +132,16 @@ def reset_on_change(assets: DataFrame, incoming_rows: DataFrame, columns: list[s
     return joined.select(*[F.when(~differs, F.col(c)).alias(c) if c in columns else F.coalesce(F.when(differs, F.col({"modified": "__m", "size": "__s"}[c])), F.col(c)).alias(c) if c in ("modified", "size") else F.col(c) for c in assets.columns])
 
 
-def thumbnail_queue(assets: DataFrame, failures: DataFrame, now: Column, limit: int) -> DataFrame:
-    """Assets whose thumbnail is missing, outdated or upgradeable and that did not fail within the last hour."""
+def thumbnail_queue(assets: DataFrame, failures: DataFrame, now: Column, limit: int, cursor: dict | None = None) -> DataFrame:
+    """Assets whose thumbnail is missing, outdated or upgradeable and that did not fail within the last hour, newest first;
+    those after a cursor (modified, id of the last one of the page before) if it is given."""
     held = failures.filter(F.col("failed_at") > now - F.expr("INTERVAL 1 HOUR")).select("id")
     need = F.col("thumb").isNull() | (F.col("thumb_at") < F.col("modified")) | F.coalesce(F.col("upgradeable"), F.lit(False))
-    return assets.filter(need).join(held, "id", "left_anti").orderBy(F.desc("modified"), "id").limit(limit)
+    if cursor is not None:
+        at = F.lit(cursor["modified"])
+        older = F.col("modified").isNull() if cursor["modified"] is None else (F.col("modified") < at) | F.col("modified").isNull()
+        need = need & ((older & ~F.col("modified").eqNullSafe(at)) | (F.col("modified").eqNullSafe(at) & (F.col("id") > F.lit(cursor["id"]))))
+    return assets.filter(need).join(held, "id", "left_anti").orderBy(F.col("modified").desc_nulls_last(), "id").limit(limit)
 
 
 def harvest(dictionary: DataFrame, names: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomery import storage
 from loomery.functions import guidance
-from loomery.operators import jobs, parameters
+from loomery.operators import jobs, library, lifecycle, parameters
 from loomery.operators.prompt_index import PromptIndex
 
 
@@ -92,7 +93,33 @@ def evidence_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return parameters.evidence(candidates, ["l_orderkey", "field"], "rank", "value")
 
 
-QUERIES = {f.__name__: f for f in (sync_increments, facet_queue, reparse_steps, prompt_index, guidance_classes, evidence_conflicts)}
+def identity_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Customers that move, some of them twice and two along a cycle, in their memberships, edges and counts."""
+    ids = _table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    to = lambda by, n: ids.where(F.col("k") % 10 == by).select(F.col("k").alias("old_id"), (F.col("k") + n).alias("new_id"))
+    moves = to(0, 1).unionByName(to(1, 1)).unionByName(to(5, 1)).unionByName(to(6, -1))
+    orders = _table(spark, d, "orders")
+    members = orders.select(F.col("o_orderstatus").alias("collection"), F.col("o_custkey").alias("asset_id")).distinct()
+    edges = orders.select(F.col("o_custkey").alias("source_id"), (F.col("o_custkey") % 20).alias("target_id")).distinct()
+    moved = lifecycle.move_identity({"members": (members, ["asset_id"]), "edges": (edges, ["source_id", "target_id"])}, moves)
+    own = moved["members"].select(F.lit("members").alias("what"), F.col("collection").alias("a"), F.col("asset_id").cast("string").alias("b"))
+    return own.unionByName(moved["edges"].select(F.lit("edges").alias("what"), F.col("source_id").cast("string").alias("a"), F.col("target_id").cast("string").alias("b")))
+
+
+def media_stats_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that a join with their lines brought several times, each counted once."""
+    rows = _table(spark, d, "orders").join(_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), "o_orderkey")
+    return library.media_stats(rows, {"open": F.col("o_orderstatus") == "O"}, "o_custkey", "o_orderkey")
+
+
+def thumbnail_queue_page(spark: SparkSession, d: str) -> DataFrame:
+    """The page of the queue after a cursor."""
+    rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "t").alias("thumb"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderdate").cast("timestamp")).alias("modified"), F.lit(None).cast("timestamp").alias("thumb_at"), F.lit(False).alias("upgradeable"))
+    failures = rows.select("id", F.lit("2000-01-01").cast("timestamp").alias("failed_at")).limit(0)
+    return lifecycle.thumbnail_queue(rows, failures, F.lit("2024-01-01").cast("timestamp"), 50, {"modified": datetime(1996, 6, 1), "id": 500}).select("id")
+
+
+QUERIES = {f.__name__: f for f in (identity_cascade, media_stats_joined, thumbnail_queue_page, sync_increments, facet_queue, reparse_steps, prompt_index, guidance_classes, evidence_conflicts)}
 
 
 def _has(words: list) -> str:
@@ -119,7 +146,12 @@ SELECT p_partkey, c[1] AS category, c[2] AS subtype, CAST(c[3] AS INTEGER) AS ru
 
 _EVIDENCE = "SELECT l_orderkey, 'mode' AS field, l_linenumber AS rank, 'm' || CAST(l_suppkey % 7 AS VARCHAR) AS value FROM lineitem UNION ALL SELECT l_orderkey, 'flag', l_linenumber, l_returnflag FROM lineitem UNION ALL SELECT l_orderkey, 'status', l_linenumber, l_linestatus FROM lineitem WHERE l_linenumber > 1"
 
+_MOVED = "CASE {0} % 10 WHEN 0 THEN {0} + 2 WHEN 1 THEN {0} + 1 ELSE {0} END"
+
 SQL = {
+    "identity_cascade": f"WITH c AS (SELECT c_custkey AS k, {_MOVED.format('c_custkey')} AS n FROM customer), o AS (SELECT o_orderstatus AS s, coalesce(c.n, o_custkey) AS a, coalesce(t.n, o_custkey % 20) AS b FROM orders LEFT JOIN c ON c.k = o_custkey LEFT JOIN c t ON t.k = o_custkey % 20) SELECT DISTINCT 'members' AS what, s AS a, CAST(a AS VARCHAR) AS b FROM o UNION ALL SELECT DISTINCT 'edges', CAST(a AS VARCHAR), CAST(b AS VARCHAR) FROM o",
+    "media_stats_joined": "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS open, CAST(coalesce(sum(o_custkey), 0) AS BIGINT) AS total_size FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
+    "thumbnail_queue_page": "WITH q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS m FROM orders WHERE o_orderkey % 2 = 1) SELECT id FROM q WHERE m < TIMESTAMP '1996-06-01' OR m IS NULL OR (m = TIMESTAMP '1996-06-01' AND id > 500) ORDER BY m DESC NULLS LAST, id LIMIT 50",
     "sync_increments": "SELECT event_id AS id, date_trunc('day', ts) AS created, event_type, CAST(0 AS BIGINT) AS taken_last FROM events",
     "facet_queue": "SELECT o_orderpriority AS key, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END) AS BIGINT) AS count, 0 AS left FROM orders GROUP BY 1",
     "reparse_steps": "SELECT p_partkey AS id, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 3 <> 0 THEN CAST(p_size AS BIGINT) END AS steps, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 3 <> 0 THEN p_partkey END AS seed, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 7 <> 0 THEN 2 ELSE 1 END AS parser_version, 8 AS done FROM part",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomery import storage
 from loomery.functions import guidance
-from loomery.operators import jobs, parameters
+from loomery.operators import jobs, lifecycle, parameters
 from loomery.operators.prompt_index import PromptIndex
 
 DAY = datetime(2024, 5, 1)
@@ -158,3 +158,15 @@ def test_evidence_and_its_conflicts(spark):
         own = sorted((r, v) for a, f, r, v in rows if (a, f) == key and v)
         want[key] = (own[0][1], own[0][0], len(own), len(Counter(v for _, v in own)) > 1)
     assert got == want
+
+
+def test_identities_move_through_every_table(spark):
+    moves = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (200, 201), (200, 202), (300, 300), (400, 100)]
+    table = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    tables = {
+        "members": (table([("c", 1), ("c", 39), ("c", 40), ("d", 100), ("d", 200), ("d", 5000)], "collection string, asset_id long"), ["asset_id"]),
+        "edges": (table([(1, 2, "x"), (3, 200, "x"), (None, 300, "y"), (400, 7, "z")], "source_id long, target_id long, role string"), ["source_id", "target_id"]),
+    }
+    moved = lifecycle.move_identity(tables, table(moves, "old_id long, new_id long"))
+    assert sorted(map(tuple, moved["members"].collect())) == [("c", 40), ("d", 100), ("d", 201), ("d", 5000)]
+    assert sorted(map(tuple, moved["edges"].collect()), key=str) == sorted([(40, 40, "x"), (40, 201, "x"), (None, 300, "y"), (400, 40, "z")], key=str)
