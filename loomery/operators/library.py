@@ -9,10 +9,21 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery import storage
 from loomery.functions import dates, text
 from loomery.operators.keywords import containing
 
 
+def _keys(sort: str, row_id: str, descending: bool, pinned: str | None) -> list[tuple[str, Column, bool]]:
+    """(name, column, whether it goes down) of the keys of a page order."""
+    first = [(pinned, F.coalesce(F.col(pinned).cast("boolean"), F.lit(False)), True)] if pinned else []
+    return first + [(c, F.col(c), descending) for c in (sort, row_id)]
+
+
+def _ordered(rows: DataFrame, keys: list[tuple[str, Column, bool]]) -> DataFrame:
+    return rows.orderBy(*[c.desc_nulls_last() if down else c.asc_nulls_first() for _, c, down in keys])
+
+
 def page(rows: DataFrame, sort: str, row_id: str, *, descending: bool = True, pinned: str | None = None, cursor: dict | None = None, limit: int = 1000) -> DataFrame:
     """One keyset page ordered by (pinned desc,) sort, id. cursor is the last row of the page before.
 
@@ -20,11 +31,11 @@ def page(rows: DataFrame, sort: str, row_id: str, *, descending: bool = True, pi
     one: every row is on one page. The cursor is a filter and the order a top-k, so no page is
     sorted whole or skipped over.
     """
-    keys = [(F.coalesce(F.col(pinned).cast("boolean"), F.lit(False)), True, None if cursor is None else bool(cursor[pinned]))] if pinned else []
-    keys += [(F.col(c), descending, None if cursor is None else cursor[c]) for c in (sort, row_id)]
+    keys = _keys(sort, row_id, descending, pinned)
     if cursor is not None:
         after, same = F.lit(False), F.lit(True)
-        for column, down, value in keys:
+        for name, column, down in keys:
+            value = bool(cursor[name]) if name == pinned else cursor[name]
             if value is None:
                 beyond, equal = F.lit(False) if down else column.isNotNull(), column.isNull()
             else:
@@ -34,7 +45,7 @@ def page(rows: DataFrame, sort: str, row_id: str, *, descending: bool = True, pi
             after = after | (same & F.coalesce(beyond, F.lit(False)))
             same = same & F.coalesce(equal, F.lit(False))
         rows = rows.filter(after)
-    return rows.orderBy(*[c.desc_nulls_last() if down else c.asc_nulls_first() for c, down, _ in keys]).limit(limit)
+    return _ordered(rows, keys).limit(limit)
 
 
 def pages(rows: DataFrame, sort: str, row_id: str, limit: int, **options) -> Iterator[list[Row]]:
@@ -45,6 +56,25 @@ def pages(rows: DataFrame, sort: str, row_id: str, limit: int, **options) -> Ite
         cursor = found[-1].asDict()
 
 
+def paged(rows: DataFrame, sort: str, row_id: str, limit: int, *, descending: bool = True, pinned: str | None = None) -> DataFrame:
+    """rows with page and place, both from 0: all pages of the walk at once, without a scan for each and without the driver.
+
+    Rows are sorted range by range and saved; the place of a row is the count of the ranges before and that
+    within its range.
+    """
+    order = _ordered(rows, _keys(sort, row_id, descending, pinned))
+    order = storage.saved(order.withColumn("__place", F.monotonically_increasing_id()), "paged")
+    part = F.shiftright("__place", 33)
+    sizes = order.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a partition
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r.part, before))
+        before += r.n
+    parts = F.broadcast(rows.sparkSession.createDataFrame(starts, "__part long, __before long"))
+    n = F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1)
+    return order.join(parts, part == F.col("__part")).select(*rows.columns, ((n - n % limit) / limit).cast("long").alias("page"), (n % limit).cast("int").alias("place"))
+
+
 def media_stats(rows: DataFrame, conditions: dict[str, Column], size: str, row_id: str | None = None) -> DataFrame:
     """One row: total, the count under each condition, and the sum of size (0 if there are no rows). With row_id an
     asset that a join brought several times counts once."""

@@ -146,7 +146,18 @@ def _paged(name: str, descending: bool) -> None:
     SQL[name] = f"{_WITH} SELECT id, rating FROM a WHERE {beyond} ORDER BY {order} LIMIT 60"
 
 
-_paged("page_nulls_down", True)
+def _all_pages(name: str, descending: bool) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """All pages of all assets; those of null ratings are the last ones down and the first ones up."""
+        found = library.paged(_assets(spark, d).select("id", "rating"), "rating", "id", 60, descending=descending)
+        return found.select(F.col("page").cast("int").alias("page"), "place", "id", "rating")
+
+    order = "rating DESC NULLS LAST, id DESC" if descending else "rating ASC NULLS FIRST, id ASC"
+    QUERIES[name] = run
+    SQL[name] = f"{_WITH}, r AS (SELECT id, rating, row_number() OVER (ORDER BY {order}) - 1 AS n FROM a) SELECT CAST(n // 60 AS INTEGER) AS page, CAST(n % 60 AS INTEGER) AS place, id, rating FROM r"
+
+
+_all_pages("page_nulls_down", True)
 _paged("page_nulls_up", False)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from loomery.functions import dates, text
 from loomery.operators import collections, duplicates, facets, library, lifecycle, parameters, provenance
 from loomery.operators.search import Fields, FilterState, apply_filter, compile_query, parse_chips, tokenize, validate
+from loomery.plans import assets
 from loomery.sources import files
 from loomery.streaming import changes
 
@@ -226,6 +227,36 @@ def test_pages_hold_every_row_once(spark, values, size, down, pin):
     assert found == [i for i, v, p in sorted(rows, key=lambda r: (not r[2] if pin else 0, *null(r[1]), -r[0] if down else r[0]))]
 
 
+@pytest.mark.parametrize("down", [True, False])
+@pytest.mark.parametrize("pin", [None, "p"])
+def test_pages_at_once_equal_the_walk(spark, down, pin):
+    rows = [(i, None if i % 3 == 0 else float(i * 7919 % 50), None if i % 5 == 0 else i % 7 == 0) for i in range(700)]
+    table = spark.createDataFrame(rows, "id int, v double, p boolean").repartition(3)
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges, however few rows
+    try:
+        got = library.paged(table, "v", "id", 97, descending=down, pinned=pin)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    walk = list(library.pages(table, "v", "id", 97, descending=down, pinned=pin))
+    assert got.columns == ["id", "v", "p", "page", "place"] and len(walk) == 8
+    assert sorted((r.page, r.place, r.id) for r in got.collect()) == [(n, i, r.id) for n, page in enumerate(walk) for i, r in enumerate(page)]
+    assert library.paged(table.where("false"), "v", "id", 97).collect() == []
+
+
+@pytest.mark.parametrize("name", ["page_nulls_down"])
+def test_page_queries_hold_all_assets(spark, sf_dir, name):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    got = assets.QUERIES[name](spark, sf_dir).orderBy("page", "place").collect()
+    assert [60 * r.page + r.place for r in got] == list(range(orders.count()))
+    assert {r.id for r in got} == {r.o_orderkey for r in orders.select("o_orderkey").collect()}
+    down, rows = name == "page_nulls_down", assets._assets(spark, sf_dir)
+    for cursor in (None, {"rating": None, "id": 1000}):  # a page after any row is a stretch of them
+        page = [r.id for r in library.page(rows, "rating", "id", descending=down, cursor=cursor, limit=60).collect()]
+        at = next(i for i, r in enumerate(got) if r.id == page[0])
+        assert page == [r.id for r in got[at : at + 60]] and (at == 0) == (cursor is None)
+
+
 @pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
 def test_dates_are_utc_wherever_the_host_is(spark, monkeypatch, zone):
     monkeypatch.setenv("TZ", zone)
