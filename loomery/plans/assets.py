@@ -134,18 +134,6 @@ def filter_excluded_table(spark: SparkSession, d: str) -> DataFrame:
     return apply_filter(_assets(spark, d), FilterState(), BARE, tables).select("id")
 
 
-def _paged(name: str, descending: bool) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        """The page after a row whose sort value is null, out of all assets."""
-        rows = _assets(spark, d)
-        found = library.page(rows, "rating", "id", descending=descending, cursor={"rating": None, "id": 1000}, limit=60)
-        return found.select("id", "rating")
-
-    beyond, order = ("id < 1000 AND rating IS NULL", "id DESC") if descending else ("rating IS NOT NULL OR id > 1000", "rating ASC NULLS FIRST, id ASC")
-    QUERIES[name] = run
-    SQL[name] = f"{_WITH} SELECT id, rating FROM a WHERE {beyond} ORDER BY {order} LIMIT 60"
-
-
 def _all_pages(name: str, descending: bool) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         """All pages of all assets; those of null ratings are the last ones down and the first ones up."""
@@ -158,7 +146,7 @@ def _all_pages(name: str, descending: bool) -> None:
 
 
 _all_pages("page_nulls_down", True)
-_paged("page_nulls_up", False)
+_all_pages("page_nulls_up", False)
 
 
 def _used(spark: SparkSession, d: str) -> DataFrame:

@@ -244,7 +244,7 @@ def test_pages_at_once_equal_the_walk(spark, down, pin):
     assert library.paged(table.where("false"), "v", "id", 97).collect() == []
 
 
-@pytest.mark.parametrize("name", ["page_nulls_down"])
+@pytest.mark.parametrize("name", ["page_nulls_down", "page_nulls_up"])
 def test_page_queries_hold_all_assets(spark, sf_dir, name):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     got = assets.QUERIES[name](spark, sf_dir).orderBy("page", "place").collect()
