@@ -405,7 +405,7 @@ def duplicate_total(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT p_brand, x.p_suppkey AS a, y.p_suppkey AS b, round(1 - levenshtein(x.n, y.n) / CAST(greatest(length(x.n), length(y.n)) AS DOUBLE), 6) AS similarity FROM (SELECT p_brand, p_partkey AS p_suppkey, p_type || ' ' || p_name AS n FROM part) x JOIN (SELECT p_brand, p_partkey AS p_suppkey, p_type || ' ' || p_name AS n FROM part) y USING (p_brand) WHERE x.p_suppkey < y.p_suppkey AND 1 - levenshtein(x.n, y.n) / CAST(greatest(length(x.n), length(y.n)) AS DOUBLE) >= 0.8")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
     rows = _made(spark, d, "part", ["p_brand", "p_partkey", "p_type || ' ' || p_name AS n"])
-    return duplicates.similar_names(rows, "p_partkey", "n", "p_brand").withColumn("similarity", F.round("similarity", 6))
+    return duplicates.similar_names(rows.filter("n IS NOT NULL"), "p_partkey", "n", "p_brand", digits=6)
 
 
 @_query("SELECT owner_id, count(*) AS count, CASE WHEN owner_id <> 'u2' THEN 'n' || owner_id END AS user_name FROM a GROUP BY 1")

@@ -10,6 +10,7 @@ import time
 import zlib
 from datetime import datetime
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from loomery.functions import dates, text
 from loomery.operators import collections, duplicates, facets, library, lifecycle, parameters, provenance
 from loomery.operators.search import Fields, FilterState, apply_filter, compile_query, parse_chips, tokenize, validate
-from loomery.plans import assets
+from loomery.plans import assets, registry
 from loomery.sources import files
 from loomery.streaming import changes
 
@@ -360,6 +361,41 @@ def test_similar_names_equal_all_pairs(spark):
         assert {(r.a, r.b) for r in duplicates.similar_names(rows, "id", "n", "w", threshold).collect()} == want
 
 
+def test_similar_names_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "CHUNK", 4, raising=False)
+    names = ["large red bolt", "large red bold", "small red bolt", "large reed bolt", "", None]
+    held = [(i, names[i * 7 % 6], i % 2) for i in range(90)] + [(3, names[3], 1), (None, names[0], 0), (91, names[0], None)]
+    rows = spark.createDataFrame(held, "id int, n string, w int")
+    like = {frozenset((names[0], names[1])): 0.928571, frozenset((names[0], names[3])): 0.933333, frozenset((names[1], names[3])): 0.866667}
+    want = []
+    for i, n, w in held:
+        for j, m, v in held:
+            if None not in (i, j, w) and w == v and i < j:
+                alike = 1.0 if (n or "") == (m or "") else like.get(frozenset((n, m)), 0.0)
+                want += [(w, i, j, alike)] * (alike >= 0.8)
+    found = duplicates.similar_names(rows, "id", "n", "w").withColumn("similarity", F.round("similarity", 6))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    # rows are paired from saved lists: no step joins, groups or compares pairs of rows
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Join|Aggregate|levenshtein", plan)
+
+
+def _odd_parts(spark, path):
+    rows = [(k, n, b, t, 1, 1.0) for k, (n, b, t) in enumerate([("red bolt", "B1", "SMALL"), (None, "B1", "SMALL"), (None, "B1", "SMALL"), ("red bold", "B1", "SMALL"), ("red bolt", None, "SMALL"), ("red bolt", "B1", None), ("", "B1", ""), ("", "B1", "")] * 30, -120)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["similar_names"])
+def test_similar_names_of_odd_parts_equal_sql(spark, tmp_path, name):
+    d = _odd_parts(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{d}/part.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in registry.queries()[name](spark, d).select(*columns).collect()) == sorted(want.fetchall())
+
+
 def test_parameter_blocks_of_many_shapes(spark):
     nested = 'x\nSteps: 3, Hashes: {"a, b": {"c": [1, 2]}, "d": 1}, Version: v1 (a, b), CFG: 4, Note: "open, Seed: 9'
     blocks = [nested, "a\nNegative prompt: \nSeed: 3, Model: m\nNegative prompt: again\nmore", "p, Steps: 4, Size: 1x2x3, Seed: -5, Model hash: ab, sd_model_hash: abcd, Sampler: , Scheduler: Karras", "Positive prompt: none,\nSteps: x, CFG scale: .5, Steps: 7", "cat", "cat\nSteps: 20", "cat\nNegative prompt: bad\nSteps: 5, Seed: 7, Size: 8x9", "Steps: 1, Sampler: Euler a, Model: m", "", None, "a\nb\nNegative prompt: c\nd\nSteps: 2, CFG scale: 1.5"]
