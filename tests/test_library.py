@@ -386,7 +386,7 @@ def _odd_parts(spark, path):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["similar_names"])
+@pytest.mark.parametrize("name", ["similar_names", "similarity_pairs"])
 def test_similar_names_of_odd_parts_equal_sql(spark, tmp_path, name):
     d = _odd_parts(spark, tmp_path)
     con = duckdb.connect()
