@@ -129,10 +129,10 @@ def is_placeholder_prompt(prompt: Column) -> Column:
     return F.lower(F.regexp_replace(bare, r"^[\s,;]+|[\s,;]+$", "")).isin(PLACEHOLDERS)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length; two empty texts are alike."""
+def similarity(a: Column, b: Column, edits: Column | None = None) -> Column:
+    """1 - edit distance (edits, if it is known) / longer length; two empty texts are alike."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+    return F.when(longer == 0, 1.0).otherwise(1 - (F.levenshtein(a, b) if edits is None else edits) / longer)
 
 
 def to_milliseconds(stamp: Column) -> Column:
